@@ -1,0 +1,29 @@
+"""Intermediate tables in the folder that the cluster shares.
+
+Iterative operators cut their lineage here.  The tables are plain Parquet, so
+a lost executor costs a re-read and never a recomputation of the job so far.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; a temporary one only if none is set."""
+    known = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("docweave.scratch", None)
+    if not known:
+        known = "file://" + tempfile.mkdtemp(prefix="docweave-")
+        spark.conf.set("docweave.scratch", known)
+    return known.rstrip("/")
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """df, written to the shared folder and read back with the same schema."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
