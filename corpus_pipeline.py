@@ -16,8 +16,8 @@ from docweave.llm.scratch import saved
 from docweave.shipping import ship
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: cosine with the nearest language below which a text is no prose of any; documents of a known language score over 0.5
-LEAST_SCORE = 0.3
+#: about twice the standard deviation of an unrelated text's cosine, 1 / sqrt(DIMENSIONS); a word or two of a known language score more
+LEAST_SCORE = 0.06
 
 
 def _documents(df: DataFrame) -> DataFrame:
