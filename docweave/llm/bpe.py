@@ -12,8 +12,8 @@ encoded anew, and the window grows by a token on each side whose edge fails the
 test, until both edges pass; the tokens outside are then proven stable.  The join is
 associative, with the empty run as its unit.
 
-Words recur, so a worker keeps the ids of up to ``CACHE`` words and starts anew
-beyond; this bounds its memory and changes no result.  Decoding concatenates
+Words recur, so a worker keeps the ids of the first ``CACHE`` words and of as many
+recent matches; this bounds its memory and changes no result.  Decoding concatenates
 the bytes of id runs up a tree.
 
 Null and empty texts have no ids; their decoded bytes are empty.  Rows are
@@ -24,6 +24,7 @@ other columns pass through, and columns of the output's names are replaced.
 from __future__ import annotations
 
 import base64
+import struct
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -34,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LEAF = 16
-CACHE = 300_000
+CACHE = 400_000
 RUN = 4096
 #: Unicode's White_Space: fixed values
 WHITE = r"\t-\r \x85\xa0  -     　"
@@ -47,22 +48,47 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
+def compiled_pattern(pattern: str) -> regex.Pattern:
+    """The pattern with Unicode's White_Space for its white space, as the libraries have it."""
+    return regex.compile(pattern.replace(r"[^\s", rf"[^{WHITE}").replace(r"\s", f"[{WHITE}]").replace(r"\S", f"[^{WHITE}]"))
+
+
+class Pieces(dict):
+    """Matches of the split pattern to their ids, as little-endian 32-bit integers."""
+
+    def __init__(self, encode: Callable[[str], bytes], limit: int = CACHE):
+        super().__init__()
+        self.encode, self.limit = encode, limit
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= self.limit:
+            self.clear()
+        out = self.encode(piece)
+        if len(piece) <= 64:
+            self[piece] = out
+        return out
+
+
 class Words(dict):
-    """Words of a text, cut before single spaces, to what ``encode`` makes of them.
+    """Words of a text, cut before single spaces, to their ids.
 
     The split pattern's matches start at every space that stands between other
     characters, so such words can be encoded apart and looked up whole.
     """
 
-    def __init__(self, encode: Callable[[str], bytes], limit: int = CACHE):
+    def __init__(self, pattern: str, encode: Callable[[str], bytes], limit: int = CACHE):
         super().__init__()
-        self.encode, self.limit = encode, limit
+        self.cut, self.pieces, self.limit = compiled_pattern(pattern), Pieces(encode, limit), limit
+
+    def matches(self, text: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, self.cut.findall(text)))
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= self.limit:
-            self.clear()
-        out = self.encode(" " + word)
-        if len(word) <= 64:
+        if word.isascii() and word.isalpha():  # one match
+            out = self.pieces[" " + word]
+        else:
+            out = self.matches(" " + word)
+        if len(self) < self.limit and len(word) <= 64:
             self[word] = out
         return out
 
@@ -70,33 +96,33 @@ class Words(dict):
         if not text:
             return b""
         if TORN.search(text):
-            return self.encode(text)
+            return self.matches(text)
         first, *rest = text.split(" ")
-        return self.encode(first) + b"".join(map(self.__getitem__, rest))
+        return self.matches(first) + b"".join(map(self.__getitem__, rest))
 
 
 class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
-        self.cut = regex.compile(pattern.replace(r"[^\s", rf"[^{WHITE}").replace(r"\s", f"[{WHITE}]").replace(r"\S", f"[^{WHITE}]"))
         self.stable = lru_cache(100_000)(self._stable)
-        self.words = Words(self.encode_matches)
+        self.words = Words(pattern, self.encode_match)
 
     def leaf(self, data: bytes) -> list[int]:
         """Merges the pair of lowest rank, leftmost first, until none is left."""
-        ranks = self.ranks
+        rank = self.ranks.get
+        none = len(self.ranks)
         parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                rank = ranks.get(parts[i] + parts[i + 1])
-                if rank is not None and (best is None or rank < best):
-                    best, at = rank, i
-            if best is None:
-                break
+        pairs = [rank(data[i : i + 2], none) for i in range(len(data) - 1)]
+        while pairs and (best := min(pairs)) < none:
+            at = pairs.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [ranks[p] for p in parts]
+            del pairs[at]
+            if at:
+                pairs[at - 1] = rank(parts[at - 1] + parts[at], none)
+            if at < len(pairs):
+                pairs[at] = rank(parts[at] + parts[at + 1], none)
+        return [self.ranks[p] for p in parts]
 
     def _stable(self, a: int, b: int) -> bool:
         return self.leaf(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
@@ -119,13 +145,11 @@ class Codec:
         half = len(data) // 2
         return self.join(self.encode_bytes(data[:half]), self.encode_bytes(data[half:]))
 
-    def encode_matches(self, text: str) -> bytes:
-        out: list[int] = []
-        for match in self.cut.findall(text):
-            data = match.encode("utf-8", "replace")
-            whole = self.ranks.get(data)
-            out += self.encode_bytes(data) if whole is None else [whole]
-        return np.array(out, "<i4").tobytes()
+    def encode_match(self, match: str) -> bytes:
+        data = match.encode("utf-8", "replace")
+        whole = self.ranks.get(data)
+        ids = self.encode_bytes(data) if whole is None else [whole]
+        return struct.pack(f"<{len(ids)}i", *ids)
 
     def encode(self, text: str | None) -> bytes:
         """The ids as little-endian 32-bit integers."""

@@ -20,7 +20,9 @@ columns are dropped.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -118,18 +120,38 @@ class Packer:
         return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), ARROW, strict=True)], schema=ARROW)
 
 
-def tokenizer(path: str) -> Callable[[str], bytes]:
-    """Ids of a text as little-endian 32-bit integers, special tokens as ordinary text."""
+def byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: itself if printable, else the next from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+def piece_encoder(path: str) -> Callable[[str], bytes]:
+    """Ids of a match of the split pattern by the tokenizer's own model.
+
+    Special tokens' strings are ordinary text.
+    """
     from tokenizers import Tokenizer
 
-    known = Tokenizer.from_file(path)
-    known.encode_special_tokens = True
-    return lambda text: np.array(known.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    model, letters = Tokenizer.from_file(path).model, byte_letters()
+
+    def encode(piece: str) -> bytes:
+        ids = [t.id for t in model.tokenize(piece.encode("utf-8", "replace").decode("latin-1").translate(letters))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    return encode
+
+
+@lru_cache(1)
+def words_of(path: str, pattern: str) -> Words:
+    """One per worker process."""
+    return Words(pattern, piece_encoder(path))
 
 
-def _first_pass(path: str, end: bytes, window: int, open_windows: int, least: int):
+def _first_pass(path: str, pattern: str, end: bytes, window: int, open_windows: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(tokenizer(path))
+        words = words_of(path, pattern)
         packer = Packer(TaskContext.get().partitionId() << 40, window, open_windows, least)
         held = 0
         for batch in batches:
@@ -163,12 +185,12 @@ def _merge(window: int, open_windows: int, least: int, level: int, last: bool):
 
 
 def pack(
-    df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, window: int = WINDOW, open_windows: int = OPEN, least_piece: int = LEAST
+    df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, window: int = WINDOW, open_windows: int = OPEN, least_piece: int = LEAST
 ) -> DataFrame:
     """Pieces: doc_id, start, length, ids (little-endian 32-bit), doc_tokens, sequence_id, offset."""
     end = np.array([end_id], "<u4").tobytes()
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col))
-    first = saved(docs.mapInArrow(_first_pass(path, end, window, open_windows, least_piece), SCHEMA), "packed")
+    first = saved(docs.mapInArrow(_first_pass(path, pattern, end, window, open_windows, least_piece), SCHEMA), "packed")
     done, rest, level = [first.where("NOT is_open")], first.where("is_open"), 1
     tasks = (rest.agg(F.max(F.expr("sequence_id >> 40"))).first()[0] or 0) + 1
     while True:

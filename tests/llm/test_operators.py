@@ -273,10 +273,10 @@ def test_packing_odd_rows_over_many_tasks(spark, odd):
     rows = [(i, f"text {i} " * (i % 90)) for i in range(600)] + [r[:2] for r in ODD if r[0] is not None]
     rows = [(k + 1000 if len(t or "") > 100_000 else k, t) for k, t in rows if k not in range(1, 8)] + [(1, ""), (2, None), (7, ODD[-1][1])]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(150)
-    out = packing.pack(df, JSON, open_windows=2).withColumn("ids_crc32", F.crc32("ids"))
+    out = packing.pack(df, JSON, PATTERN, open_windows=2).withColumn("ids_crc32", F.crc32("ids"))
     assert check_packing(out.collect(), rows) < 0.01
-    assert packing.pack(odd.limit(0), JSON).collect() == []
-    assert packing.pack(odd.where("doc_id IS NULL"), JSON).count() > 0
+    assert packing.pack(odd.limit(0), JSON, PATTERN).collect() == []
+    assert packing.pack(odd.where("doc_id IS NULL"), JSON, PATTERN).count() > 0
 
 
 # 6 lines -----------------------------------------------------------------------------------------
