@@ -33,10 +33,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 LEAF = 16
-CACHE = 400_000
+CACHE = 300_000
 RUN = 4096
+SLICE = 512
 #: Unicode's White_Space: fixed values
 WHITE = r"\t-\r \x85\xa0  -     　"
 #: white space that a cut before a single space could tear
@@ -162,36 +164,48 @@ class Codec:
         return self.decode(ids[:half]) + self.decode(ids[half:])
 
 
+    def decoded(self, ids: pa.Array) -> pa.Array:
+        return pa.array([self.decode(np.asarray(i.values).tolist() if i.is_valid else []) for i in ids], pa.binary())
+
+
 @lru_cache(2)
 def codec(path: str, pattern: str) -> Codec:
     """One per worker process; the ranks are read where the task runs."""
     return Codec(load_ranks(path), pattern)
 
 
-def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """df with the ids of each text, an array of integers."""
+def _appended(df: DataFrame, columns: dict[str, str], made: Callable[[Codec, pa.RecordBatch], list[pa.Array]], path: str, pattern: str) -> DataFrame:
+    """df with columns (name to type) computed from SLICE rows at a time."""
+    kept = df.drop(*columns)
+    names = kept.columns
+    schema = StructType([*kept.schema.fields, *(StructField(n, StructType.fromDDL(f"x {t}")[0].dataType) for n, t in columns.items())])
 
-    @F.arrow_udf("array<int>")
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
-        for texts in batches:
-            data = [c.encode(t.as_py()) for t in texts]
-            ends = np.cumsum([0] + [len(d) // 4 for d in data]).astype(np.int32)
-            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(data), "<i4")))
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                own = part.select(names)
+                yield pa.RecordBatch.from_arrays([*own.columns, *made(c, part)], names=[*names, *columns])
 
-    return df.withColumn(ids_col, run(text_col))
+    return df.mapInArrow(run, schema)
 
 
-def decode(df: DataFrame, path: str, pattern: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
-    """df with the bytes that the ids stand for; null ids give none."""
+def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", bytes_col: str | None = None) -> DataFrame:
+    """df with the ids of each text, an array of integers; with bytes_col, also what they decode to."""
 
-    @F.arrow_udf("binary")
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        c = codec(path, pattern)
-        for ids in batches:
-            yield pa.array([c.decode(np.asarray(i.values).tolist() if i.is_valid else []) for i in ids], pa.binary())
+    def made(c: Codec, part: pa.RecordBatch) -> list[pa.Array]:
+        data = [c.encode(t.as_py()) for t in part.column(text_col)]
+        ends = np.cumsum([0] + [len(d) // 4 for d in data]).astype(np.int32)
+        ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(data), "<i4")))
+        return [ids] if bytes_col is None else [ids, c.decoded(ids)]
 
-    return df.withColumn(bytes_col, run(ids_col))
+    return _appended(df, {ids_col: "array<int>"} | ({bytes_col: "binary"} if bytes_col else {}), made, path, pattern)
+
+
+def decode(df: DataFrame, path: str, pattern: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
+    """df with the bytes that the ids stand for; null ids give none."""
+    return _appended(df, {bytes_col: "binary"}, lambda c, part: [c.decoded(part.column(ids_col))], path, pattern)
 
 
 def ids_text(ids: Column) -> Column:

@@ -146,7 +146,7 @@ def piece_encoder(path: str) -> Callable[[str], bytes]:
 @lru_cache(1)
 def words_of(path: str, pattern: str) -> Words:
     """One per worker process."""
-    return Words(pattern, piece_encoder(path))
+    return Words(pattern, piece_encoder(path), 400_000)
 
 
 def _first_pass(path: str, pattern: str, end: bytes, window: int, open_windows: int, least: int):

@@ -25,8 +25,7 @@ def op2_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    ids = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, pattern).drop("text")
-    both = bpe.decode(ids, ranks, pattern)
+    both = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, pattern, bytes_col="decoded")
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
