@@ -2,12 +2,31 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from docweave.plans.analytics import STATEMENTS, Statement
+
 FLAGSHIP = "hybrid_rrf_search"
+TABLE = re.compile(r"(?<!\{)\{([a-z]+)\}(?!\})")
+
 
+def _run(statement: Statement) -> Callable[[SparkSession, str], DataFrame]:
+    names = set(TABLE.findall(statement.sql))
+    return lambda spark, sf_dir: spark.sql(statement.sql, **{n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names})
 
-def queries() -> dict:
-    return {}
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from docweave.operators import retrieval
+    from docweave.sources import corpus
+
+    return {k: _run(s) for k, s in STATEMENTS.items()} | retrieval.QUERIES | corpus.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from docweave.operators import retrieval
+    from docweave.sources import corpus
+
+    return {k: s.oracle or TABLE.sub(r"\1", s.sql) for k, s in STATEMENTS.items()} | retrieval.ORACLES | corpus.ORACLES
