@@ -2,31 +2,27 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docweave.plans.analytics import STATEMENTS, Statement
+from docweave.operators import retrieval
+from docweave.plans.analytics import STATEMENTS
+from docweave.sources import corpus
+from docweave.streaming import windows
+from docweave.tables import plain, run_sql
 
 FLAGSHIP = "hybrid_rrf_search"
-TABLE = re.compile(r"(?<!\{)\{([a-z]+)\}(?!\})")
+Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _run(statement: Statement) -> Callable[[SparkSession, str], DataFrame]:
-    names = set(TABLE.findall(statement.sql))
-    return lambda spark, sf_dir: spark.sql(statement.sql, **{n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names})
+def _run(sql: str) -> Query:
+    return lambda spark, sf_dir: run_sql(spark, sf_dir, sql)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from docweave.operators import retrieval
-    from docweave.sources import corpus
-
-    return {k: _run(s) for k, s in STATEMENTS.items()} | retrieval.QUERIES | corpus.QUERIES
+def queries() -> dict[str, Query]:
+    return {k: _run(s.sql) for k, s in STATEMENTS.items()} | retrieval.QUERIES | corpus.QUERIES | windows.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    from docweave.operators import retrieval
-    from docweave.sources import corpus
-
-    return {k: s.oracle or TABLE.sub(r"\1", s.sql) for k, s in STATEMENTS.items()} | retrieval.ORACLES | corpus.ORACLES
+    return {k: s.oracle or plain(s.sql) for k, s in STATEMENTS.items()} | retrieval.ORACLES | corpus.ORACLES | windows.ORACLES

@@ -1 +1,183 @@
-QUERIES, ORACLES = {}, {}
+"""From pages and texts to Markdown, sections and chunks.
+
+HTML is reduced with built-in regular expressions.  Splitting Markdown into
+sections and chunks is a fold over one document's lines, so it is one function per
+document whose rows are exploded by position.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docweave.shipping import ship
+from docweave.tables import table
+
+#: chunk sizes in estimated tokens, and blocks repeated from the piece before: fixed values
+MOST_TOKENS, LEAST_TOKENS, OVERLAP = 512, 50, 2
+
+_TAGS = [
+    (r"(?is)<(script|style|nav|footer)\b.*?</\1>", ""),
+    (r"(?s)<!--.*?-->", ""),
+    (r"(?is)<h1[^>]*>(.*?)</h1>", "\n\n# $1\n\n"),
+    (r"(?is)<h2[^>]*>(.*?)</h2>", "\n\n## $1\n\n"),
+    (r"(?is)<h3[^>]*>(.*?)</h3>", "\n\n### $1\n\n"),
+    (r"(?is)<li[^>]*>(.*?)</li>", "\n- $1"),
+    (r"""(?is)<a\b[^>]*href=["']([^"']*)["'][^>]*>(.*?)</a>""", "[$2]($1)"),
+    (r"(?is)</?(b|strong)\b[^>]*>", "**"),
+    (r"(?is)</?(i|em)\b[^>]*>", "*"),
+    (r"(?i)<br\s*/?>", "\n"),
+    (r"(?i)</?(p|div|article|section|ul|ol|table|tr)\b[^>]*>", "\n\n"),
+    (r"(?s)<[^>]+>", ""),
+    ("&lt;", "<"),
+    ("&gt;", ">"),
+    ("&quot;", '"'),
+    ("&nbsp;", " "),
+    ("&amp;", "&"),
+    (r"[ \t]+\n", "\n"),
+    (r"\n{3,}", "\n\n"),
+]
+
+
+def html_to_markdown(html: Column) -> Column:
+    """Without scripts, styles, navigation, footers and comments; at most one blank line in a row."""
+    for pattern, put in _TAGS:
+        html = F.regexp_replace(html, F.lit(pattern), F.lit(put))
+    return F.btrim(html, F.lit(" \n\t"))
+
+
+def estimated_tokens(text: str) -> int:
+    words = len(text.split())
+    return max(1, int(words * 1.3)) if words else 1
+
+
+def sections(text: str) -> list[tuple[str, int, str]]:
+    """(heading path, level, content) by headings outside fences; empty ones are left out."""
+    out: list[tuple[str, int, str]] = []
+    stack: list[tuple[int, str]] = []
+    lines: list[str] = []
+    path, level, fenced, any_heading = "Preamble", 0, False, False
+
+    def close() -> None:
+        if body := "\n".join(lines).strip():
+            out.append((path, level, body))
+        lines.clear()
+
+    for line in text.split("\n"):
+        fenced ^= line.lstrip().startswith(("```", "~~~"))
+        m = None if fenced else re.match(r"(#{1,6})\s+(.+?)\s*$", line)
+        if not m:
+            lines.append(line)
+            continue
+        close()
+        any_heading, level = True, len(m[1])
+        stack = [s for s in stack if s[0] < level] + [(level, m[2])]
+        path = " > ".join(name for _, name in stack)
+    close()
+    return out if any_heading else [("Document", 1, body) for _, _, body in out]
+
+
+_BLOCK = re.compile(r"```.*?(?:```|\Z)|(?:^\|.*(?:\n|\Z))+", re.DOTALL | re.MULTILINE)
+
+
+def blocks(text: str) -> list[str]:
+    """Fenced code, tables and paragraphs, none of which is cut."""
+    out: list[str] = []
+    at = 0
+    for m in _BLOCK.finditer(text):
+        out += re.split(r"\n\s*\n", text[at : m.start()]) + [m[0]]
+        at = m.end()
+    out += re.split(r"\n\s*\n", text[at:])
+    return [b.strip() for b in out if b.strip()]
+
+
+def pieces(text: str, most: int = MOST_TOKENS) -> list[str]:
+    """Blocks packed greedily; each piece but the first starts with the last blocks of the one before."""
+    packed: list[list[str]] = []
+    used = 0
+    for block in blocks(text):
+        cost = estimated_tokens(block)
+        if not packed or used + cost > most:
+            packed.append([])
+            used = 0
+        packed[-1].append(block)
+        used += cost
+    return ["\n\n".join((packed[i - 1][-OVERLAP:] if i else []) + own) for i, own in enumerate(packed)]
+
+
+def parent_heading(path: str) -> str:
+    first = path.split(" + ")[0]
+    return first.rsplit(" > ", 1)[0]
+
+
+Chunk = tuple[str, int, str, int, str | None]
+
+
+def chunks(text: str, most: int = MOST_TOKENS, least: int = LEAST_TOKENS) -> list[Chunk]:
+    """(heading path, level, content, tokens, parent content): large sections in parts, small neighbours merged."""
+    out: list[Chunk] = []
+    for path, level, body in sections(text):
+        if estimated_tokens(body) <= most:
+            out.append((path, level, body, estimated_tokens(body), None))
+        else:
+            parts = pieces(body, most)
+            out += [(f"{path} (part {k})", level, p, estimated_tokens(p), body) for k, p in enumerate(parts, 1)]
+    merged: list[Chunk] = []
+    for c in out:
+        if merged and (b := merged[-1])[3] < least and parent_heading(b[0]) == parent_heading(c[0]) and b[3] + c[3] <= most:
+            body = f"{b[2]}\n\n{c[2]}"
+            merged[-1] = (b[0] if b[0] == c[0] else f"{b[0]} + {c[0]}", b[1], body, estimated_tokens(body), b[4] or c[4])
+        else:
+            merged.append(c)
+    return merged
+
+
+_CHUNK = "array<struct<heading_path: string, heading_level: int, content: string, token_count: int, parent_content: string>>"
+
+
+def chunked(df: DataFrame, id_col: str, markdown_col: str) -> DataFrame:
+    """(id, chunk_index, heading_path, heading_level, content, token_count, parent_content)."""
+
+    @F.pandas_udf(_CHUNK)
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        names = ["heading_path", "heading_level", "content", "token_count", "parent_content"]
+        for series in texts:
+            yield series.map(lambda t: [dict(zip(names, c, strict=True)) for c in chunks(t or "")])
+
+    return df.select(id_col, F.posexplode(run(markdown_col)).alias("chunk_index", "c")).select(id_col, "chunk_index", "c.*")
+
+
+def as_markdown(docs: DataFrame) -> DataFrame:
+    """Documents as Markdown: the source as title, a section for every tenth line, lines as paragraphs."""
+    lines = F.split("text", "\n")
+    body = F.array_join(F.transform(lines, lambda x, i: F.concat(F.when(i % 10 == 0, F.concat(F.lit("## Part "), i.cast("string"), F.lit("\n\n"))).otherwise(""), x)), "\n\n")
+    return docs.select("doc_id", F.concat(F.lit("# "), F.coalesce("source", F.lit("none")), F.lit("\n\n"), body).alias("markdown"))
+
+
+def q_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", html_to_markdown(F.col("html")).alias("markdown"))
+
+
+def q_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return chunked(as_markdown(table(spark, sf_dir, "documents")), "doc_id", "markdown")
+
+
+def q_chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = q_chunks(spark, sf_dir).groupBy("doc_id")
+    return stats.agg(
+        F.count(F.lit(1)).alias("total_chunks"),
+        F.sum("token_count").alias("tokens"),
+        F.min("token_count").alias("least"),
+        F.max("token_count").alias("most"),
+        F.round(F.avg("token_count"), 1).alias("mean"),
+        F.count("parent_content").alias("with_parent"),
+    )
+
+
+QUERIES = {"html_to_markdown": q_html, "chunk_documents": q_chunks, "chunk_token_stats": q_chunk_stats}
+ORACLES: dict[str, str] = {}
