@@ -80,15 +80,15 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP6_SQL = """
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
-    generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS at FROM documents
+    generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents
 ), keyed AS (
-  SELECT doc_id, at, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+  SELECT doc_id, pos, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines
 ), common AS (
   SELECT key, max(doc_id) AS keeper FROM keyed WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5
 )
 SELECT k.doc_id, count(*) AS n_lines, count(*) FILTER (WHERE c.key IS NOT NULL AND k.doc_id <> c.keeper) AS n_dropped,
-  sha256(coalesce(string_agg(k.line, chr(10) ORDER BY k.at) FILTER (WHERE c.key IS NULL OR k.doc_id = c.keeper), '')) AS kept_sha256
+  sha256(coalesce(string_agg(k.line, chr(10) ORDER BY k.pos) FILTER (WHERE c.key IS NULL OR k.doc_id = c.keeper), '')) AS kept_sha256
 FROM keyed k LEFT JOIN common c ON k.key = c.key
 GROUP BY k.doc_id
 """
