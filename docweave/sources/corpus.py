@@ -81,7 +81,7 @@ def sections(text: str) -> list[tuple[str, int, str]]:
     return out if any_heading else [("Document", 1, body) for _, _, body in out]
 
 
-_BLOCK = re.compile(r"```.*?(?:```|\Z)|(?:^\|.*(?:\n|\Z))+", re.DOTALL | re.MULTILINE)
+_BLOCK = re.compile(r"```.*?(?:```|\Z)|(?:^\|[^\n]*(?:\n|\Z))+", re.DOTALL | re.MULTILINE)
 
 
 def blocks(text: str) -> list[str]:
