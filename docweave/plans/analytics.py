@@ -242,8 +242,8 @@ FROM calls c LEFT JOIN rates r ON r.model = c.model GROUP BY c.model
 add(
     "cost_attribution_share",
     """
-SELECT event_id, user_id, round(value / sum(value) OVER (PARTITION BY user_id), 8) AS share,
-  round(0.5 * value / sum(value) OVER (PARTITION BY user_id), 8) AS charge FROM {events} WHERE value > 0
+SELECT e.event_id, e.user_id, round(e.value / t.total, 8) AS share, round(0.5 * e.value / t.total, 8) AS charge FROM {events} e
+JOIN (SELECT user_id, sum(value) AS total FROM {events} WHERE value > 0 GROUP BY user_id) t ON t.user_id = e.user_id WHERE e.value > 0
 """,
 )
 add(
@@ -278,7 +278,7 @@ SELECT doc_id, CASE WHEN length(text) = 0 THEN 0 ELSE CAST(greatest(1, floor(len
 """,
 )
 add("slug_products", "SELECT p_partkey, lower(regexp_replace(trim(p_name), '[^A-Za-z0-9]+', '-')) AS slug FROM {part}", "SELECT p_partkey, lower(regexp_replace(trim(p_name), '[^A-Za-z0-9]+', '-', 'g')) AS slug FROM part")
-add("normalised_name_match", "SELECT p_partkey, p_name FROM {part} WHERE replace(replace(replace(lower(p_name), ' ', ''), '-', ''), '_', '') LIKE '%part1%'")
+add("normalised_name_match", "SELECT p_partkey, p_name FROM {part} WHERE replace(replace(replace(lower(p_name), ' ', ''), '-', ''), '_', '') LIKE '%redw%'")
 add(
     "no_answer_classifier",
     "SELECT role, count(*) AS n, count(*) FILTER (WHERE regexp_like(lower(substr(text, 1, 500)), 'not found|no information|cannot answer|unable to')) AS no_answer FROM {conversations} GROUP BY role",
@@ -352,4 +352,13 @@ add("expiry_sweep", f"SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderdate <
 add("upsert_by_key", "SELECT coalesce(n.doc_id, o.doc_id) AS doc_id, coalesce(n.quality, 0) AS quality, n.doc_id IS NULL AS inserted FROM {labels} n FULL OUTER JOIN {documents} o ON n.doc_id = o.doc_id")
 add("log_lines_filtered", "SELECT event_id, user_id, value FROM {events} WHERE event_type = 'error' AND props LIKE '%1%' ORDER BY ts DESC, event_id DESC LIMIT 100")
 add("grouping_sets_usage", "SELECT event_type, user_id % 5 AS team, count(*) AS n FROM {events} GROUP BY GROUPING SETS ((event_type), (user_id % 5), ())", "SELECT event_type, team, count(*) AS n FROM (SELECT event_type, user_id % 5 AS team FROM events) t GROUP BY GROUPING SETS ((event_type), (team), ())")
-add("chunk_median_upper", "SELECT lang, element_at(sort_array(collect_list(n_chars)), CAST(floor(count(n_chars) / 2) AS INT) + 1) AS upper_median FROM {documents} GROUP BY lang", "SELECT lang, max(n_chars) FILTER (WHERE rn = n // 2 + 1) AS upper_median FROM (SELECT lang, n_chars, row_number() OVER (PARTITION BY lang ORDER BY n_chars) AS rn, count(*) OVER (PARTITION BY lang) AS n FROM documents) t GROUP BY lang")
+add(
+    "chunk_median_upper",
+    """
+SELECT lang, min(n_chars) AS upper_median FROM (
+  SELECT lang, n_chars, sum(n) OVER (PARTITION BY lang ORDER BY n_chars ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto, sum(n) OVER (PARTITION BY lang) AS whole FROM (
+    SELECT lang, n_chars, count(*) AS n FROM {documents} WHERE n_chars IS NOT NULL GROUP BY lang, n_chars) c) t
+WHERE upto > floor(whole / 2) GROUP BY lang
+""",
+    "SELECT lang, max(n_chars) FILTER (WHERE rn = n // 2 + 1) AS upper_median FROM (SELECT lang, n_chars, row_number() OVER (PARTITION BY lang ORDER BY n_chars) AS rn, count(*) OVER (PARTITION BY lang) AS n FROM documents) t GROUP BY lang",
+)
