@@ -193,7 +193,7 @@ add(
 add(
     "running_average_hits",
     """
-SELECT p.p_partkey, p.p_size + u.k AS hits, round((p.p_retailprice * p.p_size + u.total) / (p.p_size + u.k), 4) AS mean_similarity FROM {part} p
+SELECT p.p_partkey, p.p_size + u.k AS hits, (p.p_retailprice * p.p_size + u.total) / (p.p_size + u.k) AS mean_similarity FROM {part} p
 JOIN (SELECT l_partkey, count(*) AS k, CAST(sum(CAST(l_discount AS DECIMAL(6, 2))) AS DOUBLE) AS total FROM {lineitem} GROUP BY l_partkey) u ON u.l_partkey = p.p_partkey
 """,
 )

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docweave.functions.text import enriched
 from docweave.shipping import ship
 from docweave.tables import table
 
@@ -158,6 +159,49 @@ def as_markdown(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.concat(F.lit("# "), F.coalesce("source", F.lit("none")), F.lit("\n\n"), body).alias("markdown"))
 
 
+def sectioned(df: DataFrame, id_col: str, markdown_col: str) -> DataFrame:
+    """(id, section_index, heading_path, heading_level, content)."""
+
+    @F.pandas_udf("array<struct<heading_path: string, heading_level: int, content: string>>")
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for series in texts:
+            yield series.map(lambda t: [{"heading_path": p, "heading_level": n, "content": c} for p, n, c in sections(t or "")])
+
+    return df.select(id_col, F.posexplode(run(markdown_col)).alias("section_index", "s")).select(id_col, "section_index", "s.*")
+
+
+def preview(chunk_rows: DataFrame, id_col: str) -> DataFrame:
+    """(id, markdown): a document's chunks in order, a blank line between them."""
+    ordered = F.array_sort(F.collect_list(F.struct("chunk_index", "content")))
+    return chunk_rows.groupBy(id_col).agg(F.array_join(F.transform(ordered, lambda c: c["content"]), "\n\n").alias("markdown"))
+
+
+def q_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return sectioned(as_markdown(table(spark, sf_dir, "documents")), "doc_id", "markdown")
+
+
+#: as_markdown gives a section for every tenth line of a text, whose lines are its paragraphs
+SECTIONS_SQL = """
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY part) - 1 AS section_index, title || ' > Part ' || part * 10 AS heading_path, 2 AS heading_level, body AS content FROM (
+  SELECT doc_id, title, part, regexp_replace(regexp_replace(body, '^[ \\t\\r\\n\\f\\v]+', ''), '[ \\t\\r\\n\\f\\v]+$', '') AS body FROM (
+    SELECT doc_id, title, i // 10 AS part, string_agg(line, chr(10) || chr(10) ORDER BY i) AS body FROM (
+      SELECT doc_id, coalesce(source, 'none') AS title, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM documents) l
+    GROUP BY doc_id, title, i // 10) p) s WHERE body <> ''
+"""
+
+
+def q_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entities = F.split("source", "[^A-Za-z0-9]+")
+    text = enriched(F.col("content"), F.col("heading_path"), F.when(F.col("doc_id") % 3 == 0, "api_reference").otherwise("other"), entities)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return q_chunks(spark, sf_dir).join(docs, "doc_id").select("doc_id", "chunk_index", text.alias("text"))
+
+
+def q_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preview(q_chunks(spark, sf_dir), "doc_id")
+
+
 def q_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", html_to_markdown(F.col("html")).alias("markdown"))
 
@@ -179,5 +223,5 @@ def q_chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"html_to_markdown": q_html, "chunk_documents": q_chunks, "chunk_token_stats": q_chunk_stats}
-ORACLES: dict[str, str] = {}
+QUERIES = {"html_to_markdown": q_html, "chunk_documents": q_chunks, "chunk_token_stats": q_chunk_stats, "markdown_sections": q_sections, "enrich_chunks": q_enriched, "markdown_preview": q_preview}
+ORACLES = {"markdown_sections": SECTIONS_SQL}

@@ -28,17 +28,46 @@ def windows_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def windows_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs the stream over what is there and returns its complete result, one row a window and type."""
-    schema = table(spark, sf_dir, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
+    stream = _streamed(spark, sf_dir)
     name = f"windows_{uuid.uuid4().hex}"
     run = windowed(stream).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.table(name)
 
 
+def waits(published: DataFrame, started: DataFrame, within: str = "1 hour", late: str = "1 hour") -> DataFrame:
+    """Each user's views within an hour after a click, and how long they waited; over streams the join's state ends with the watermark."""
+    a = published.where("event_type = 'click'").selectExpr("event_id AS click", "user_id", "CAST(ts AS TIMESTAMP) AS clicked").withWatermark("clicked", late)
+    b = started.where("event_type = 'view'").selectExpr("event_id AS view", "user_id AS viewer", "CAST(ts AS TIMESTAMP) AS viewed").withWatermark("viewed", late)
+    met = a.join(b, F.expr(f"viewer = user_id AND viewed >= clicked AND viewed <= clicked + INTERVAL {within}"))
+    return met.select("click", "view", "user_id", F.expr("unix_micros(viewed) - unix_micros(clicked)").alias("waited_us"))
+
+
+def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = table(spark, sf_dir, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
+
+
+def waits_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    return waits(events, events)
+
+
+def waits_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stream-stream join over what is there; inner matches come out at once."""
+    name = f"waits_{uuid.uuid4().hex}"
+    run = waits(_streamed(spark, sf_dir), _streamed(spark, sf_dir)).writeStream.outputMode("append").format("memory").queryName(name).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.table(name)
+
+
+WAITS_SQL = """
+SELECT a.event_id AS click, b.event_id AS view, a.user_id, epoch_us(b.ts) - epoch_us(a.ts) AS waited_us FROM events a
+JOIN events b ON b.user_id = a.user_id AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 1 HOUR WHERE a.event_type = 'click' AND b.event_type = 'view'
+"""
 SQL = """
 SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, round(sum(value), 2) AS total, max(value) AS most
 FROM events GROUP BY CAST(ts AS DATE), event_type
 """
-QUERIES = {"window_batch": windows_batch, "window_stream": windows_stream}
-ORACLES = {"window_batch": SQL, "window_stream": SQL}
+QUERIES = {"window_batch": windows_batch, "window_stream": windows_stream, "queue_wait": waits_batch, "queue_wait_stream": waits_stream}
+ORACLES = {"window_batch": SQL, "window_stream": SQL, "queue_wait": WAITS_SQL, "queue_wait_stream": WAITS_SQL}
