@@ -128,6 +128,29 @@ def test_simhash_odd_rows(spark, odd):
     assert simhash.near_duplicates(odd.limit(0)).collect() == []
 
 
+def test_resembling_texts(spark):
+    r = np.random.default_rng(8)
+    words = [f"w{k}" for k in range(4000)]
+    rows, want = [], []
+    for g in range(60):
+        base = list(r.choice(words, int(r.integers(200, 900))))
+        for k in range(3):  # copies with one word in 150 changed: resemblance about 0.93 to the first, 0.87 to each other
+            own = base.copy()
+            for at in r.choice(len(base), len(base) // 150 * (k > 0), replace=False):
+                own[at] = "changed%d" % at
+            rows.append((3 * g + k, " ".join(own)))
+            want.append(3 * g)
+    rows += [(1000, None), (1001, ""), (1002, " \n"), (None, rows[0][1]), (None, "alone with no id"), (1003, rows[0][1]), (1003, rows[0][1])]
+    want += [1000, 1000, 1000, 0, None, 0, 0]
+    got = simhash.resembling(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    wrong = sum(a != b for a, b in zip(sorted(map(tuple, got), key=str), sorted(((i, w) for (i, _), w in zip(rows, want, strict=True)), key=str), strict=True))
+    assert wrong <= 3  # of 120 near copies; nothing else is ever joined
+    joined = {i: c for i, c in got if i is not None}
+    assert all(c is not None and (c == i or c // 3 == i // 3) for i, c in joined.items() if i < 1000)
+    assert simhash.resembling(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
 def test_links_of_hot_fingerprints(spark):
     r = np.random.default_rng(2)
     marks = [int(m) for m in r.integers(0, 2**62, 40)]
