@@ -4,9 +4,11 @@ import math
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from docweave import registry
-from docweave.sources import corpus
+from docweave.functions import text
+from docweave.sources import corpus, specs
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -67,3 +69,26 @@ def test_chunks():
 def test_blocks_keep_code_and_tables():
     text = "p one\n\n```\na\n\nb\n```\n\n| x |\n| y |\n\nq"
     assert corpus.blocks(text) == ["p one", "```\na\n\nb\n```", "| x |\n| y |", "q"]
+
+
+def test_front_matter_and_titles(spark):
+    rows = [("---\ntitle: A\nlayer: \"api\"\n---\nbody",), ("no matter",), (None,), ("---\nopen",)]
+    df = spark.createDataFrame(rows, "t string").select(*text.front_matter(F.col("t"), "title", "layer"))
+    assert [tuple(r) for r in df.collect()] == [("body", "A", "api"), ("no matter", None, None), (None, None, None), ("---\nopen", None, None)]
+    heads = [("Document", "T", None, None), ("Preamble", "T", None, None), ("A > B", "T", "api", "x"), ("Document", "T", "api", None)]
+    got = spark.createDataFrame(heads, "h string, t string, l string, p string").select(text.titled(*map(F.col, "htlp")))
+    assert [r[0] for r in got.collect()] == ["T", "T > Preamble", "[api] x > A > B", "[api]"]
+
+
+def test_enriched_is_cut(spark):
+    df = spark.createDataFrame([("w " * 2000, "H"), ("**a** ```\n**b**\n```", "")], "c string, h string")
+    one, two = (r[0] for r in df.select(text.enriched(F.col("c"), F.col("h"), F.lit("other"), F.array(F.lit("e")))).collect())
+    assert one.startswith("[H]\n[entities: e]\nw w") and len(one.split()) < 768 / 1.3 + 3
+    assert two == "[entities: e]\na ```\n**b**\n```"
+
+
+def test_broken_descriptions(spark):
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "{"), (4, "[]"), (5, "<x/>")], "id long, t string")
+    for f in (specs.openapi_sections, specs.proto_items, specs.proto_external_types, specs.postman_requests):
+        assert f(df, "id", "t").collect() == []
+    assert text.nfkc(F.col("t")) is not None and spark.createDataFrame([("\ufb01",)], "t string").select(text.nfkc(F.col("t"))).first()[0] == "fi"
