@@ -70,10 +70,9 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     return majority(shingle_hashes(text, words))
 
 
-def wide_fingerprint(text: str | None, words: int, parts: int = 4) -> list[int]:
+def wide_fingerprint(h: np.ndarray, parts: int = 4) -> list[int]:
     """Fingerprints of the same shingles under several hashes, each remixed from the first."""
     out = []
-    h = shingle_hashes(text, words)
     for k in range(parts):
         mixed = h ^ np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
         for _ in range(2):
@@ -163,55 +162,88 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 WORD_MARKS = ["mark_0", "mark_1"]
 CHECKS = ["check_0", "check_1", "check_2", "check_3"]
+#: min-wise samples: a pair at resemblance 0.8 shares none of 20 samples of 4 shingles with probability 3e-5
+BANDS, SAMPLE = 20, 4
+SEEDS, FACTORS = np.random.default_rng(5).integers(0, 1 << 64, (2, BANDS * SAMPLE, 1), np.uint64) | np.array([0, 1], np.uint64)[:, None, None]
 
 
-def _resemble(radius: int, check_radius: int):
+def band_keys(h: np.ndarray) -> np.ndarray:
+    """A key for each sample of the shingles, the smallest ones under SAMPLE orders; none without shingles."""
+    if not len(h):
+        return np.zeros(0, np.uint64)
+    least = np.min([((part ^ SEEDS) * FACTORS).min(1) for part in np.array_split(h, len(h) // 4096 + 1)], axis=0).reshape(BANDS, SAMPLE)
+    key = np.zeros(BANDS, np.uint64)
+    for k in range(SAMPLE):
+        key = (key ^ least[:, k]) * np.uint64(0xD6E8FEB86659FD93)
+        key ^= key >> np.uint64(32)
+    return key
+
+
+def _marks(words: int):
+    names = ["_id", "_hash", "key", "size", *WORD_MARKS, *CHECKS, "bands"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, bands = [], []
+            for value in batch.column(2):
+                text = value.as_py()
+                h = np.unique(shingle_hashes(text, words))
+                key = xxhash.xxh64_intdigest(h.astype("<u8").tobytes())
+                rows.append([key, len(h), word_fingerprint(text), word_fingerprint(text, 43), *wide_fingerprint(h)])
+                bands.append(band_keys(h).view(np.int64))
+            values = np.array(rows, np.uint64).reshape(-1, len(names) - 3).view(np.int64)
+            ends = np.cumsum([0, *map(len, bands)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *bands])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(v) for v in values.T.copy()), lists], names=names)
+
+    return run, ", ".join(f"{n} long" for n in names[:-1]) + ", bands array<long>"
+
+
+def _resemble(check_radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in grouped(batches, ["code", "block_i", "block_j"]):
             left, right = split_sides(table)
-
-            def apart(name: str) -> np.ndarray:
-                marks = table[name].to_numpy().view(np.uint64)  # noqa: B023  used within the iteration
-                return np.bitwise_count(marks[left][:, None] ^ marks[right][None, :]).astype(np.uint16)  # noqa: B023
-
-            linked = np.minimum(*map(apart, WORD_MARKS)) <= radius
-            linked &= sum(map(apart, CHECKS)) <= check_radius
-            nodes = table["node"].to_numpy()
-            u, v = star_edges(nodes, labels(nodes, left, right, linked))
+            nodes = table["key"].to_numpy()
+            u, v = star_edges(nodes, labels(nodes, left, right, _near(table, left, right, check_radius)))
             if len(u):
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
     return run
 
 
+def _near(table: pa.Table, left: np.ndarray, right: np.ndarray, check_radius: int) -> np.ndarray:
+    apart = np.zeros((len(left), len(right)), np.uint16)
+    for name in CHECKS:
+        marks = table[name].to_numpy().view(np.uint64)
+        apart += np.bitwise_count(marks[left][:, None] ^ marks[right][None, :])
+    return apart <= check_radius
+
+
 def resembling(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 5, check_radius: int = 48) -> DataFrame:
-    """(id, component_id) for texts whose shingles of ``words`` words resemble each other at about 0.8.
+    """(id, component_id) for texts whose sets of shingles of ``words`` words resemble each other at 0.8.
 
     Shingle fingerprints of such texts differ in up to a fifth of their bits, for
-    which covering tables are too many.  Fingerprints of the same texts' single
-    words are much closer, so two of those, under different hashes, find the pairs:
-    covering tables hold each, and a pair needs at most ``radius`` bits in one.  The
-    shingles decide: at resemblance 0.8 their 256 bits differ in 39 on average with
-    deviation 6, at 0.5 in 69 with deviation 7.
-
-    Tables carry classes' ids alone; fingerprints join those that meet.
+    which covering tables are too many.  Candidates come from two kinds of marks:
+    fingerprints of the same texts' single words under two hashes, each in covering
+    tables of ``radius`` bits, which are close where words were swapped; and
+    fingerprints of parts of a text, min-wise samples of its shingles that must be
+    equal, which are shared with a chance that depends on the resemblance alone,
+    whether words were swapped or a passage was added, removed or cut.  The 256 bits
+    of the shingles' fingerprints decide.
+
+    Texts with equal sets of shingles form one class first; classes are named by a
+    hash of the set, so that ids may repeat.
     """
-    marks = WORD_MARKS + CHECKS
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = (t.as_py() for t in batch.column(1))
-            rows = [[word_fingerprint(t), word_fingerprint(t, 43), *wide_fingerprint(t, words)] for t in texts]
-            values = np.array(rows, np.uint64).reshape(-1, len(marks)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(values[:, k]) for k in range(len(marks)))], names=["_id", *marks])
-
-    texts = df.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    marked = saved(texts.mapInArrow(run, "_id long, " + ", ".join(f"{m} long" for m in marks)), "fingerprints")
-    classes = saved(marked.groupBy(*marks).agg(F.min("_id").alias("node")), "classes")
-    named = classes.where("node IS NOT NULL")
-    masked = F.array(*[F.col(m).bitwiseAND(F.lit(_signed(k))) for m in WORD_MARKS for k in covering_masks(radius)])
-    keyed = named.select("node", F.posexplode(masked).alias("_table", "_bits")).select("node", F.xxhash64("_table", "_bits").alias("code"))
-    met = block_pairs(keyed, "code", F.xxhash64("node")).join(named, "node")
-    roots = components(dealt(met, "code").mapInArrow(_resemble(radius, check_radius), "u long, v long"))
-    found = classes.join(roots, classes.node == roots.node, "left").select(*marks, F.coalesce("component", classes.node).alias("component"))
-    return marked.join(found, marks, "left").select(F.col("_id").alias(id_col), F.col("component").alias("component_id"))
+    run, schema = _marks(words)
+    texts = df.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(text_col).alias("_hash"), F.col(text_col).alias("_text"))
+    marked = saved(texts.mapInArrow(run, schema), "fingerprints")
+    marks = ["size", *WORD_MARKS, *CHECKS, "bands"]
+    classes = saved(marked.groupBy("key").agg(F.min(F.struct("_id", "_hash", *marks)).alias("_first")).select("key", "_first.*"), "classes")
+    masked = [F.col(m).bitwiseAND(F.lit(_signed(k))) for m in WORD_MARKS for k in covering_masks(radius)]
+    keyed = classes.where("size > 0").select("key", F.posexplode(F.concat(F.array(*masked), "bands")).alias("_table", "_bits"))
+    keyed = keyed.select("key", F.xxhash64("_table", "_bits").alias("code"))
+    met = block_pairs(keyed, "code", F.xxhash64("key")).join(classes.select("key", *CHECKS), "key")
+    roots = components(dealt(met, "code").mapInArrow(_resemble(check_radius), "u long, v long"))
+    grouped_rows = marked.select("_id", "key").join(roots, marked.key == roots.node, "left").select("_id", F.coalesce("component", "key").alias("_group"))
+    least = grouped_rows.groupBy("_group").agg(F.min("_id").alias("component_id"))
+    return grouped_rows.join(least, "_group").select(F.col("_id").alias(id_col), "component_id")

@@ -151,6 +151,45 @@ def test_resembling_texts(spark):
     assert simhash.resembling(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
+def jaccard(a, b, k=5):
+    """Resemblance of the sets of k-word shingles, from plain strings."""
+    sets = []
+    for text in (a, b):
+        found = re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower())
+        sets.append({" ".join(found[i : i + k]) for i in range(max(1, len(found) - k + 1))} if found else set())
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1]) if sets[0] | sets[1] else 1.0
+
+
+def edited(r, kind, base, share):
+    new = [f"new{k}" for k in r.integers(0, 10**6, int(len(base) * share))]
+    at = int(r.integers(0, len(base)))
+    if kind == "appended":
+        return base + new
+    if kind == "inserted":
+        return base[:at] + new + base[at:]
+    if kind == "cut":
+        return base[: -len(new)]
+    own = base.copy()
+    for k in r.choice(len(base), max(1, int(len(base) * share) // 9), replace=False):
+        own[k] = "swapped"
+    return own
+
+
+@pytest.mark.parametrize("kind", ["appended", "inserted", "cut", "scattered"])
+def test_resembling_finds_every_kind_of_edit(spark, kind):
+    r = np.random.default_rng(31)
+    words = [f"w{k}" for k in range(4000)]
+    rows = []
+    while len(rows) < 240:
+        base = list(r.choice(words, int(r.integers(60, 700))))
+        other = edited(r, kind, base, float(r.uniform(0.15, 0.24)))
+        if 0.8 <= jaccard(" ".join(base), " ".join(other)) <= 0.85:
+            rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(other))]
+    got = dict(simhash.resembling(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    found = sum(got[k] == got[k + 1] for k in range(0, len(rows), 2))
+    assert found >= 100, found  # of 120
+
+
 def test_links_of_hot_fingerprints(spark):
     r = np.random.default_rng(2)
     marks = [int(m) for m in r.integers(0, 2**62, 40)]
