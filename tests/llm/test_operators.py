@@ -190,6 +190,25 @@ def test_resembling_finds_every_kind_of_edit(spark, kind):
     assert found >= 100, found  # of 120
 
 
+def test_resembling_equals_brute_force(spark):
+    """Chains and hot groups at 0.6 to 0.95, short texts and repeats: the groups are those of the true resemblance."""
+    r = np.random.default_rng(12)
+    words = [f"w{k}" for k in range(3000)]
+    texts = [" ".join(r.choice(words, n)) for n in (1, 2, 4, 5, 6, 8, 9)]
+    for size, copies, share in ((300, 20, 0.3), (120, 20, 0.2), (40, 15, 0.2), (9, 8, 0.2)):
+        for _ in range(3):
+            base = list(r.choice(words, size))
+            texts.append(" ".join(base))
+            for _ in range(copies):
+                kind = ("appended", "inserted", "cut", "scattered")[int(r.integers(4))]
+                texts.append(" ".join(edited(r, kind, base, max(1.01 / size, float(r.uniform(0, share))))))
+    texts += ["a b c d e f " * 9, "a b c d e f " * 30, "A  b\tc d e f " * 2, "", None]
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if jaccard(texts[i], texts[j]) >= 0.8]
+    want = group_min(list(range(len(texts))), links)
+    got = dict(simhash.resembling(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
+    assert [got[k] for k in range(len(texts))] == want
+
+
 def test_links_of_hot_fingerprints(spark):
     r = np.random.default_rng(2)
     marks = [int(m) for m in r.integers(0, 2**62, 40)]
