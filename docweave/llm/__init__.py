@@ -1,5 +1,5 @@
 """Operators for preparing training data, one module each.
 
-Nothing outside this subpackage imports it.  ``registry`` holds the thin
+Outside this subpackage only ``scratch`` is imported, by ``docweave.streaming``.  ``registry`` holds the thin
 ``opN_*`` queries and the SQL they can be compared with.
 """

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docweave.llm.scratch import shared_dir
 from docweave.tables import table
 
 
@@ -54,11 +55,12 @@ def waits_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def waits_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stream-stream join over what is there; inner matches come out at once."""
-    name = f"waits_{uuid.uuid4().hex}"
-    run = waits(_streamed(spark, sf_dir), _streamed(spark, sf_dir)).writeStream.outputMode("append").format("memory").queryName(name).trigger(availableNow=True).start()
+    """The stream-stream join over what is there; inner matches come out at once, as files that executors write and read."""
+    path = f"{shared_dir(spark)}/waits-{uuid.uuid4().hex}"
+    met = waits(_streamed(spark, sf_dir), _streamed(spark, sf_dir))
+    run = met.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start(path)
     run.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(met.schema).parquet(path)
 
 
 WAITS_SQL = """

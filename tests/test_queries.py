@@ -92,3 +92,8 @@ def test_broken_descriptions(spark):
     for f in (specs.openapi_sections, specs.proto_items, specs.proto_external_types, specs.postman_requests):
         assert f(df, "id", "t").collect() == []
     assert text.nfkc(F.col("t")) is not None and spark.createDataFrame([("\ufb01",)], "t string").select(text.nfkc(F.col("t"))).first()[0] == "fi"
+
+
+def test_stream_join_stays_out_of_the_driver(spark, sf):
+    got = registry.queries()["queue_wait_stream"](spark, sf)
+    assert got.inputFiles() and got.count() == registry.queries()["queue_wait"](spark, sf).count()
