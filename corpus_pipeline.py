@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.llm import language_id, line_dedup, packing, pii, simhash
@@ -41,16 +41,26 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each group of near copies; of rows with the same id, one; rows without an id all stay."""
+    """Keeps one row of each group of near copies, one with the group's smallest id; rows without an id all stay.
+
+    Rows are told apart by id and text, so texts without copies stay when their id repeats.
+    """
     ship(spark)
-    groups = saved(simhash.resembling(docs), "groups")
-    lost = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    kept = docs.select(*COLUMNS).join(lost.hint("shuffle_hash"), "doc_id", "left_anti")
-    many = saved(groups.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id"), "repeated-ids")
+    groups = saved(simhash.resembling_rows(docs).withColumnRenamed("doc_id", "_id"), "groups")
+    rows = docs.select(*COLUMNS, F.xxhash64("text").alias("_hash"))
+
+    def same(side: DataFrame) -> Column:
+        return (rows.doc_id == side["_id"]) & (rows["_hash"] == side["text_hash"])
+
+    lost = groups.where("_id <> component_id").select("_id", "text_hash").distinct()
+    first = groups.where("_id = component_id")
+    many = saved(first.groupBy("group").count().where("count > 1").select("group"), "repeated-ids")
     if many.isEmpty():
-        return kept.select(*COLUMNS)
-    single = kept.join(many.hint("shuffle_hash"), "doc_id", "left_anti")
-    once = kept.join(many, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        return rows.join(lost.hint("shuffle_hash"), same(lost), "left_anti").select(*COLUMNS)
+    again = saved(first.join(many, "group", "left_semi").select("_id", "text_hash", "group").distinct(), "repeated-rows")
+    apart = lost.union(again.select("_id", "text_hash"))
+    single = rows.join(apart.hint("shuffle_hash"), same(apart), "left_anti")
+    once = rows.join(again, same(again)).dropDuplicates(["group"])
     return single.select(*COLUMNS).union(once.select(*COLUMNS))
 
 

@@ -293,7 +293,12 @@ def _verify_teams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def resembling(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 5, check_radius: int = 76) -> DataFrame:
-    """(id, component_id): groups of texts linked by a resemblance of 0.8 or more.
+    """(id, component_id), one row for each row of df; see resembling_rows."""
+    return resembling_rows(df, id_col, text_col, words, radius, check_radius).select(id_col, "component_id")
+
+
+def resembling_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 5, check_radius: int = 76) -> DataFrame:
+    """(id, text_hash, group, component_id): groups of texts linked by a resemblance of 0.8 or more.
 
     Resemblance is the exact one (Jaccard) of the sets of shingles of ``words``
     words, each shingle by its 64-bit hash.  Candidates come from two kinds of marks:
@@ -311,7 +316,8 @@ def resembling(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     candidates alone, tables carry classes' names.
 
     Texts with equal sets of shingles form one class first; classes are named by a
-    hash of the set, so that ids may repeat.
+    hash of the set, so that ids may repeat.  A group has a name of its own; its
+    component_id is its smallest id, and text_hash is xxhash64 of the text.
     """
     run, schema = _marks(words)
     texts = df.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(text_col).alias("_hash"), F.col(text_col).alias("_text"))
@@ -338,6 +344,6 @@ def resembling(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     links = links.union(open_teams.mapInArrow(_verify_teams, "u long, v long"))
 
     roots = components(links)
-    rows = marked.select("_id", "key").join(roots, marked.key == roots.node, "left").select("_id", F.coalesce("component", "key").alias("_group"))
-    least = rows.groupBy("_group").agg(F.min("_id").alias("component_id"))
-    return rows.join(least, "_group").select(F.col("_id").alias(id_col), "component_id")
+    rows = marked.select("_id", "_hash", "key").join(roots, marked.key == roots.node, "left").select("_id", "_hash", F.coalesce("component", "key").alias("group"))
+    least = rows.groupBy("group").agg(F.min("_id").alias("component_id"))
+    return rows.join(least, "group").select(F.col("_id").alias(id_col), F.col("_hash").alias("text_hash"), "group", "component_id")

@@ -1,0 +1,24 @@
+"""Stages of the pipeline."""
+
+import corpus_pipeline
+
+ROW = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def rows_of(spark, pairs):
+    return spark.createDataFrame([(k, t, "en", "x", len(t)) for k, t in pairs], ROW)
+
+
+def test_near_copies_with_repeated_ids(spark, sf):
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(60)) for x in "abcd")
+    pairs = [(5, a), (5, b), (3, a), (7, c), (7, c), (8, d + " more"), (8, d), (9, d), (None, a), (None, "alone")]
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.simhash_stage(spark, rows_of(spark, pairs), sf).collect()]
+    assert sorted((k, t.replace(" more", "")) for k, t in got if k is not None) == [(3, a), (5, b), (7, c), (8, d)]
+    assert sorted(t for k, t in got if k is None) == sorted([a, "alone"])
+    assert {k for k, _ in got} == {3, 5, 7, 8, None}
+
+
+def test_near_copies_without_repeated_ids(spark, sf):
+    a, b = (" ".join(f"{x}{k}" for k in range(60)) for x in "ab")
+    got = corpus_pipeline.simhash_stage(spark, rows_of(spark, [(2, a), (1, a + " z"), (4, b)]), sf).collect()
+    assert sorted(r.doc_id for r in got) == [1, 4]
