@@ -307,19 +307,35 @@ def trained(rounds: int = 10, rate: float = 0.4, decay: float = 0.002) -> Weight
 
 
 def added_spans(text: str, base: list[Span], weights: Weights) -> list[Span]:
-    """The field's spans, none of which touches a base span."""
+    """The field's spans, none of which touches a base span; islands are cut at those."""
     out: list[Span] = []
     taken = sorted((a, b) for _, a, b in base)
     for m in ISLAND.finditer(text):
         k = bisect_left(taken, (m.end(),))
         # base spans of different kinds may nest, so look at a few before the end
-        if any(b > m.start() for _, b in taken[max(0, k - 4) : k]):
-            continue
-        island = Island(text, m)
-        out += [(label, island.units[i][0], island.units[j][1]) for i, j, label in decode(island, weights)]
+        for part in parts_beside(text, m, taken, k):
+            island = Island(text, part)
+            out += [(label, island.units[i][0], island.units[j][1]) for i, j, label in decode(island, weights)]
     return out
 
 
+def parts_beside(text: str, m: re.Match, taken: list[tuple[int, int]], k: int) -> Iterator[re.Match]:
+    """The island itself, or the islands in what the base spans before the k-th leave of it."""
+    at = max(0, k - 4)
+    while at and taken[at - 1][1] > m.start():
+        at -= 1
+    own = [s for s in taken[at:k] if s[1] > m.start()]
+    if not own:
+        yield m
+        return
+    begin = m.start()
+    for a, b in [*own, (m.end(), m.end())]:
+        if a > begin:
+            # a part ends where a word does, as the pattern cannot look beyond it
+            yield from (p for p in ISLAND.finditer(text, begin, a) if not (p.end() == a and text[a : a + 1].isalnum()))
+        begin = max(begin, b)
+
+
 def all_spans(text: str | None, weights: Weights) -> tuple[list[Span], list[Span]]:
     """Base spans, and all of them with those added, both by kind and start."""
     if not text or not HINT.search(text) and "@" not in text:

@@ -577,3 +577,11 @@ def test_languages_odd_rows(spark, odd):
     assert all(r.lang_pred != "und" for r in got if r.doc_id in (3, 7, None))
     assert [r.lang_pred for r in language_id.predict(odd, {}).collect()] == ["und"] * len(ODD)
     assert language_id.fit(odd.limit(0)) == {} and language_id.predict(odd.limit(0), prototypes).collect() == []
+
+
+def test_spans_beside_base_spans():
+    weights = pii.trained()
+    for text, added in (("call 192.168.0.1 555-555-1234 now", "555-555-1234"), ("pay 4111 1111 1111 1111 (555) 555-1234 now", "(555) 555-1234")):
+        base, both = pii.all_spans(text, weights)
+        assert base and set(base) < set(both)
+        assert [text[a:b] for k, a, b in both if k == "phone"] == [added]
