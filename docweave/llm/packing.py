@@ -128,10 +128,7 @@ def byte_letters() -> dict[int, str]:
 
 
 def piece_encoder(path: str) -> Callable[[str], bytes]:
-    """Ids of a match of the split pattern by the tokenizer's own model.
-
-    Special tokens' strings are ordinary text.
-    """
+    """Ids of a match of the split pattern by the tokenizer's own model, to which added tokens' strings are ordinary text."""
     from tokenizers import Tokenizer
 
     model, letters = Tokenizer.from_file(path).model, byte_letters()
@@ -149,14 +146,32 @@ def words_of(path: str, pattern: str) -> Words:
     return Words(pattern, piece_encoder(path), 400_000)
 
 
+@lru_cache(1)
+def added_token_encoder(path: str) -> Callable[[str], bytes | None]:
+    """Ids by the whole tokenizer of a text that holds an added token (such as <|endoftext|>), None of another text."""
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(path)
+    added = [t.content for t in whole.get_added_tokens_decoder().values()]
+
+    def encode(text: str) -> bytes | None:
+        if not any(a in text for a in added):
+            return None
+        return np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    return encode
+
+
 def _first_pass(path: str, pattern: str, end: bytes, window: int, open_windows: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = words_of(path, pattern)
+        words, special = words_of(path, pattern), added_token_encoder(path)
         packer = Packer(TaskContext.get().partitionId() << 40, window, open_windows, least)
         held = 0
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = words.text(text.as_py()) + end
+                value = text.as_py()
+                ids = special(value or "")
+                ids = (words.text(value) if ids is None else ids) + end
                 packer.add((doc, 0, ids, len(ids) // 4))
                 held += len(ids)
                 if held > 1 << 24 and packer.out:

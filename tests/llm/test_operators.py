@@ -360,6 +360,19 @@ def test_packing_odd_rows_over_many_tasks(spark, odd):
     assert packing.pack(odd.where("doc_id IS NULL"), JSON, PATTERN).count() > 0
 
 
+def test_packing_added_tokens_as_the_library_does(spark):
+    from tokenizers import Tokenizer
+
+    known = Tokenizer.from_file(JSON)
+    assert known.encode("a<|endoftext|>b", add_special_tokens=False).ids == [64, 50256, 65]
+    rows = [(1, "a<|endoftext|>b"), (2, "<|endoftext|>"), (3, " x  <|endoftext|> y\n<|endoftext|><|endoftext|"), (4, "don't  <|end")]
+    out = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), JSON, PATTERN).collect()
+    got = defaultdict(list)
+    for r in sorted(out, key=lambda r: r.start):
+        got[r.doc_id] += np.frombuffer(r.ids, "<u4").tolist()
+    assert got == {k: [*known.encode(t, add_special_tokens=False).ids, 1] for k, t in rows}
+
+
 # 6 lines -----------------------------------------------------------------------------------------
 
 
