@@ -85,7 +85,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("packing", packing_stage),
 ]
 
-#: SQL has no language profiles, fingerprints or tokenizer; the stages are tested against brute force
+#: SQL has no language profiles, fingerprints or tokenizer; tests cover the operators and, as a stage, only the third
 ORACLE_SQL = None
 
 
