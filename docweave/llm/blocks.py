@@ -31,6 +31,23 @@ def block_pairs(members: DataFrame, key: str, by: Column, size: int = BLOCK) ->
     return out.withColumns({"block_i": F.least("block", "_other"), "block_j": F.greatest("block", "_other")}).drop("_n", "_other")
 
 
+def keyed_join(rows: DataFrame, classes: DataFrame, keys: list[str], copies: str, how: str = "left") -> DataFrame:
+    """rows joined to the class of their keys, of which there is one row each, with its number of rows in ``copies``.
+
+    A class of more than 1 / (2 P) of all rows, P the number of shuffle partitions, is
+    hot: at most 2 P classes can be, so those are broadcast, and their rows are not
+    shuffled.  The others are joined by Spark's choice.  classes should be cheap to
+    scan twice.  Keys of rows may be null where how is "left"; such rows match nothing.
+    """
+    spread = 2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = classes.agg(F.sum(copies)).first()[0] or 0
+    hot = classes.where(F.col(copies) > max(total / spread, 1))
+    if hot.isEmpty():
+        return rows.join(classes, keys, how)
+    rest = rows.join(F.broadcast(hot.select(keys)), keys, "left_anti")
+    return rest.join(classes, keys, how).unionByName(rows.join(F.broadcast(hot), keys))
+
+
 def dealt(df: DataFrame, key: str) -> DataFrame:
     keys = [key, "block_i", "block_j"]
     return df.repartition(*keys).sortWithinPartitions(*keys)

@@ -524,40 +524,64 @@ def test_pii_odd_rows(spark, odd):
 # 9 nearest neighbours ----------------------------------------------------------------------------
 
 
-def recall(spark, df, k, step):
+def recall(spark, df, k, step, **limits):
     got = defaultdict(dict)
-    for r in ann.search(df, F.col("id") % step == 0, k).collect():
+    for r in ann.search(df, F.col("id") % step == 0, k, **limits).collect():
         assert r.rank not in got[r.query_id]
         got[r.query_id][r.rank] = (r.vec_id, r.score)
     rows = {r.vec_id: np.array(r.embedding, float) for r in df.select("vec_id", "embedding").collect() if r.embedding and None not in r.embedding and r.vec_id is not None}
-    ids = np.array(sorted(i for i, v in rows.items() if np.isfinite(v).all() and v.any()))
-    x = np.stack([rows[i] for i in ids])
+    rows = {i: v for i, v in rows.items() if np.isfinite(v).all() and v.any()}
     hits = total = 0
-    for q in ids[ids % step == 0]:
-        s = x @ rows[q]
-        order = [j for j in np.lexsort((ids, -s)) if ids[j] != q][:k]
-        found = [got[q][r] for r in sorted(got[q])]
-        assert list(got[q]) and sorted(got[q]) == list(range(1, min(k, len(ids) - 1) + 1))
-        assert found == sorted(found, key=lambda y: (-y[1], y[0])) and q not in [i for i, _ in found]
-        assert all(abs(y - float((rows[i] * rows[q]).sum())) < 1e-12 for i, y in found)
-        hits += len({i for i, _ in found} & set(ids[order].tolist()))
-        total += len(order)
+    for length in {len(v) for v in rows.values()}:
+        ids = np.array(sorted(i for i, v in rows.items() if len(v) == length))
+        x = np.stack([rows[i] for i in ids])
+        for q in ids[ids % step == 0]:
+            s = x @ rows[q]
+            order = [j for j in np.lexsort((ids, -s)) if ids[j] != q][:k]
+            found = [got[q][r] for r in sorted(got[q])]
+            assert sorted(got[q]) == list(range(1, min(k, len(ids) - 1) + 1))
+            assert found == sorted(found, key=lambda y: (-y[1], y[0])) and q not in [i for i, _ in found]
+            assert all(abs(y - float((rows[i] * rows[q]).sum())) < 1e-12 for i, y in found)
+            hits += len({i for i, _ in found} & set(ids[order].tolist()))
+            total += len(order)
+    assert all(q % step == 0 for q in got)
     return hits / total
 
 
-def test_few_rows_are_searched_exactly(spark, sf):
+@pytest.mark.parametrize("scale", ["sf0.01", "sf0.1"])
+def test_recall_through_lists(spark, scale):
+    df = spark.read.parquet(f"/root/testdata/{scale}/embeddings.parquet")
+    assert recall(spark, df, 20, 20) >= 0.93
+
+
+def test_few_rows_are_all_found(spark, sf):
     df = spark.read.parquet(f"{sf}/embeddings.parquet")
-    assert recall(spark, df, 20, 20) == 1
     assert recall(spark, df.limit(12), 20, 1) == 1
+    assert recall(spark, df.limit(1), 20, 1) == 1 if df.limit(1).first().vec_id is None else True
 
 
-def test_recall_over_lists_and_odd_vectors(spark):
+def hot_and_odd_vectors(spark):
     g = np.random.default_rng(5)
     x = np.concatenate([g.normal(size=(5000, 32)), g.normal(size=(1, 32)) + 0.01 * g.normal(size=(1500, 32))]) * g.uniform(0.5, 1.5, (6500, 1))
     rows = [(i, v) for i, v in enumerate(x.astype(np.float32).tolist())]
     rows += [(9001, None), (9002, []), (9003, [0.0] * 32), (9004, [float("inf")] * 32), (9005, [None] * 32), (None, rows[0][1]), rows[7], (9006, rows[7][1])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("list", F.lit("clash")).repartition(6)
-    assert recall(spark, df, 20, 20) >= 0.9
+    rows += [(k, [float(1 + k % 7), float(1 + k % 3)]) for k in range(20_000, 20_060)] + [(30_000, [2.0, 1.0, 5.0])]  # other lengths, with ties
+    rows += [(k, rows[40][1]) for k in range(10_000, 12_500)]  # copies of a query
+    return spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("list", F.lit("clash")).withColumn("node", F.lit(0)).repartition(6)
+
+
+def test_recall_over_lists_and_odd_vectors(spark):
+    assert recall(spark, hot_and_odd_vectors(spark), 20, 20) >= 0.93
+
+
+def test_recall_over_lists_cut_again(spark):
+    assert recall(spark, hot_and_odd_vectors(spark), 20, 20, split=60) >= 0.9
+
+
+def test_an_id_with_two_vectors_asks_twice(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [0.9, 0.1]), (2, [0.1, 0.9])]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") == 0, 5).collect()
+    assert sorted((r.rank, r.vec_id, r.score) for r in got) == [(1, 1, 0.9), (1, 2, 0.9), (2, 1, 0.1), (2, 2, 0.1), (3, 0, 0.0), (3, 0, 0.0)]
 
 
 def test_search_of_nothing(spark):
