@@ -3,7 +3,9 @@
 A bucket of n members is cut into ceil(n / size) blocks by a hash of the member.
 One group is made for each pair of blocks, so no group holds more than
 2 * size rows however hot the bucket is, and a bucket of usual size is one group.
-Groups run through ``grouped`` inside mapInArrow: a task streams the groups
+Members of a core (which are linked for certain, or joined already) that fill more
+than a block are cut into blocks of their own, which do not meet each other: a
+bucket that is one core is not compared at all.  Groups run through ``grouped`` inside mapInArrow: a task streams the groups
 dealt to it and holds one at a time.
 """
 
@@ -19,16 +21,32 @@ from pyspark.sql import functions as F
 BLOCK = 1024
 
 
-def block_pairs(members: DataFrame, key: str, by: Column, size: int = BLOCK) -> DataFrame:
+def block_pairs(members: DataFrame, keys: list[str], by: Column, size: int = BLOCK, core: str | None = None) -> DataFrame:
     """Members of keys that two or more share, with block_i <= block_j and own block.
 
-    members must be cheap to scan twice (a saved table).
+    core names a column, negative for members without one.  members must be cheap to
+    scan twice (a saved table).
     """
-    shared = members.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    n_blocks = F.ceil(F.col("_n") / F.lit(size)).cast("int")
-    out = members.join(shared, key).withColumn("block", F.pmod(by, n_blocks).cast("int"))
-    out = out.withColumn("_other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
-    return out.withColumns({"block_i": F.least("block", "_other"), "block_j": F.greatest("block", "_other")}).drop("_n", "_other")
+    own = F.col(core) if core else F.lit(-1)
+    counts = members.groupBy(*keys, own.alias("_core")).agg(F.count(F.lit(1)).alias("_n"))
+    # a core of no more than a block is compared like others
+    counts = counts.groupBy(*keys).agg(F.sum("_n").alias("_all"), F.collect_list(F.when((F.col("_core") >= 0) & (F.col("_n") > size), F.struct("_core", "_n"))).alias("_cores"))
+    counts = counts.where("_all > 1").withColumn("_cores", F.array_sort("_cores"))  # as many as there are pivots, at most
+    inside = F.aggregate("_cores", F.lit(0).cast("long"), lambda a, c: a + c["_n"])
+    plain = F.ceil((F.col("_all") - inside) / F.lit(size)).cast("int")
+    blocks_of = lambda c: F.ceil(c["_n"] / F.lit(size)).cast("int")
+    counts = counts.withColumn("_plain", plain)
+    counts = counts.withColumn("_ends", F.aggregate("_cores", F.array("_plain"), lambda a, c: F.concat(a, F.array(F.element_at(a, -1) + blocks_of(c)))))
+    out = members.join(counts, keys)
+    at = F.coalesce(F.array_position(F.transform("_cores", lambda c: c["_core"]), own), F.lit(0)).cast("int")  # 0: no core of its own
+    first = F.when(at > 0, F.get("_ends", at - 1)).otherwise(0)
+    out = out.withColumns({"_first": first, "_count": F.get("_ends", at) - first, "_in_core": at > 0})
+    out = out.withColumn("block", (F.col("_first") + F.pmod(by, F.col("_count"))).cast("int"))
+    others = F.sequence(F.lit(0), F.element_at("_ends", -1) - 1)
+    outside = F.filter(others, lambda b: ~F.col("_in_core") | (b < F.col("_first")) | (b >= F.col("_first") + F.col("_count")))
+    out = out.withColumn("_other", F.explode(outside))
+    out = out.withColumns({"block_i": F.least("block", "_other"), "block_j": F.greatest("block", "_other")})
+    return out.drop(*[c for c in out.columns if c.startswith("_") and c not in members.columns])
 
 
 def keyed_join(rows: DataFrame, classes: DataFrame, keys: list[str], copies: str, how: str = "left") -> DataFrame:
@@ -48,8 +66,8 @@ def keyed_join(rows: DataFrame, classes: DataFrame, keys: list[str], copies: str
     return rest.join(classes, keys, how).unionByName(rows.join(F.broadcast(hot), keys))
 
 
-def dealt(df: DataFrame, key: str) -> DataFrame:
-    keys = [key, "block_i", "block_j"]
+def dealt(df: DataFrame, keys: list[str]) -> DataFrame:
+    keys = [*keys, "block_i", "block_j"]
     return df.repartition(*keys).sortWithinPartitions(*keys)
 
 

@@ -146,8 +146,8 @@ def link_classes(marked: DataFrame, radius: int = 3, check_radius: int = 64) ->
     masks = F.array(*[F.lit(_signed(m)) for m in covering_masks(radius)])
     keyed = named.select("node", "mark", "check", F.posexplode(masks).alias("_table", "_mask"))
     keyed = keyed.select("node", "mark", "check", F.xxhash64("_table", F.col("mark").bitwiseAND(F.col("_mask"))).alias("code"))
-    met = block_pairs(keyed, "code", F.xxhash64("mark", "check"))
-    links = dealt(met, "code").mapInArrow(_link(radius, check_radius), "u long, v long")
+    met = block_pairs(keyed, ["code"], F.xxhash64("mark", "check"))
+    links = dealt(met, ["code"]).mapInArrow(_link(radius, check_radius), "u long, v long")
     roots = components(links)
     out = classes.join(roots, classes.node == roots.node, "left")
     return out.select("mark", "check", F.coalesce("component", classes.node).alias("component"))
@@ -327,8 +327,8 @@ def resembling_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     masked = [F.col(m).bitwiseAND(F.lit(_signed(k))) for m in WORD_MARKS for k in covering_masks(radius)]
     keyed = classes.where("size > 0").select("key", F.posexplode(F.concat(F.array(*masked), "bands")).alias("_table", "_bits"))
     keyed = keyed.select("key", F.xxhash64("_table", "_bits").alias("code"))
-    met = block_pairs(keyed, "code", F.xxhash64("key")).join(classes.select("key", "size", *CHECKS), "key")
-    teams = saved(dealt(met, "code").mapInArrow(_candidates(check_radius), "team long, node long, centre long").distinct(), "teams")
+    met = block_pairs(keyed, ["code"], F.xxhash64("key")).join(classes.select("key", "size", *CHECKS), "key")
+    teams = saved(dealt(met, ["code"]).mapInArrow(_candidates(check_radius), "team long, node long, centre long").distinct(), "teams")
 
     wanted = teams.select("node").distinct().join(classes.select(F.col("key").alias("node"), F.col("_id").alias("_rep"), F.col("_hash").alias("_rep_hash")), "node")
     chosen = texts.join(wanted, F.col("_id").eqNullSafe(F.col("_rep")) & (F.col("_hash") == F.col("_rep_hash"))).select("node", "_text")

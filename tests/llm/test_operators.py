@@ -64,20 +64,22 @@ def group_min(ids, links):
 
 def brute_links(rows):
     ok = [i for i, (k, v) in enumerate(rows) if k is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
-    x = np.array([rows[i][1] for i in ok], float)
+    longest = max(len(rows[i][1]) for i in ok)
+    size = np.array([len(rows[i][1]) for i in ok])
+    x = np.array([[*rows[i][1], *[0.0] * (longest - len(rows[i][1]))] for i in ok], float)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    linked = x @ x.T >= 0.95
+    linked = (x @ x.T >= 0.95) & (size[:, None] == size[None, :])
     np.fill_diagonal(linked, False)
     pairs = [(ok[a], ok[b]) for a, b in zip(*np.nonzero(linked), strict=True)]
     n = dict(zip(ok, linked.sum(1), strict=True))
     component = group_min([k for k, _ in rows], pairs)
-    return {(k, int(n.get(i, 0)), component[i], k is not None and component[i] == k) for i, (k, _) in enumerate(rows)}
+    return [(k, int(n.get(i, 0)), component[i], k is not None and component[i] == k) for i, (k, _) in enumerate(rows)]
 
 
 def test_embedding_links_equal_brute_force(spark, sf):
     got = registry.op1_embedding_neardup(spark, sf).collect()
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
-    assert len(got) == len(rows) and {tuple(r) for r in got} == brute_links(rows)
+    assert sorted(map(tuple, got)) == sorted(brute_links(rows))
 
 
 def test_embedding_hot_groups_and_odd_vectors(spark):
@@ -88,9 +90,27 @@ def test_embedding_hot_groups_and_odd_vectors(spark):
     odd = [(1, None), (2, []), (3, [0.0] * 16), (4, [float("nan")] * 16), (5, [None] + [1.0] * 15), (None, far[0][1]), (6, far[0][1]), (6, far[0][1]), (7, [2 * x for x in far[1][1]])]
     rows = near + far + odd
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("code", F.lit(1)).repartition(5)
-    got = embedding_neardup.near_duplicates(df).collect()
-    assert len(got) == len(rows)
-    assert {tuple(r) for r in got} == brute_links(rows)
+    want = sorted(brute_links(rows), key=str)
+    for limits in ({}, {"block": 100}, {"cores": False, "block": 100}):  # small blocks: cores and several blocks
+        got = embedding_neardup.near_duplicates(df, **limits).collect()
+        assert sorted(map(tuple, got), key=str) == want
+
+
+def test_embedding_cores_are_counted_without_comparing(spark, monkeypatch):
+    monkeypatch.setattr(embedding_neardup, "BLOCK", 50)
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(2, 24))
+    rows = [(i, (base[i % 2] + rng.normal(size=24) * (0.02 if i % 5 else 0.25)).tolist()) for i in range(1500)] + [(9, [1.0, 2.0]), (8, [2.0, 4.1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, embedding_neardup.near_duplicates(df, block=50).collect()), key=str) == sorted(brute_links(rows), key=str)
+
+
+def test_embedding_ids_with_several_vectors(spark):
+    rng = np.random.default_rng(6)
+    a, b = rng.normal(size=(2, 16))
+    rows = [(1, a.tolist()), (1, b.tolist()), (2, (a + 0.01).tolist()), (3, (b + 0.01).tolist())]
+    got = embedding_neardup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted(map(tuple, got)) == sorted(brute_links(rows)) == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False)]
 
 
 def test_embedding_empty(spark):
