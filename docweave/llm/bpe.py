@@ -8,17 +8,19 @@ The join rests on one fact about rank-ordered merging: a sequence of tokens is
 the encoding of its bytes exactly if every two neighbours are the encoding of
 theirs.  If the last token left and the first token right pass that test, the
 runs are concatenated.  Otherwise the bytes of a window around the boundary are
-encoded anew, and the window grows by a token on each side whose edge fails the
+encoded anew, and the window grows fourfold on each side whose edge fails the
 test, until both edges pass; the tokens outside are then proven stable.  The join is
-associative, with the empty run as its unit.
+associative, with the empty run as its unit.  A window is encoded rank by rank in
+time linear in its bytes but for sorting, and equal halves of a match are encoded
+once, so that a run of one letter costs no more than other text.
 
 Words recur, so a worker keeps the ids of the first ``CACHE`` words and of as many
 recent matches; this bounds its memory and changes no result.  Decoding concatenates
 the bytes of id runs up a tree.
 
 Null and empty texts have no ids; their decoded bytes are empty.  Rows are
-independent, so repeated rows, very long texts and empty tables need no care;
-other columns pass through, and columns of the output's names are replaced.
+independent, so repeated rows and empty tables need no care; a match of n bytes costs
+about n log n.  Other columns pass through, and columns of the output's names are replaced.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ import base64
 import struct
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-LEAF = 16
+LEAF, SHORT = 64, 128
 CACHE = 300_000
 RUN = 4096
 SLICE = 512
@@ -112,6 +115,8 @@ class Codec:
 
     def leaf(self, data: bytes) -> list[int]:
         """Merges the pair of lowest rank, leftmost first, until none is left."""
+        if len(data) > SHORT:
+            return self.merged(data)
         rank = self.ranks.get
         none = len(self.ranks)
         parts = [data[i : i + 1] for i in range(len(data))]
@@ -126,6 +131,51 @@ class Codec:
                 pairs[at] = rank(parts[at] + parts[at + 1], none)
         return [self.ranks[p] for p in parts]
 
+    def merged(self, data: bytes) -> list[int]:
+        """As leaf, with the places of each rank's pairs kept together."""
+        rank, n = self.ranks.get, len(data)
+        end = list(range(1, n + 1))  # of the part that starts here; 0 within a part
+        before = list(range(-1, n))  # start of the part before
+        places: dict[int, list[int]] = {}
+        for i in range(n - 1):
+            if (r := rank(data[i : i + 2])) is not None:
+                places.setdefault(r, []).append(i)
+        ranks = list(places)
+        heapify(ranks)
+        while ranks:
+            own = heappop(ranks)
+            waiting = sorted(places.pop(own))
+            for k, i in enumerate(waiting):
+                j = end[i]
+                if not j or j >= n or rank(data[i : end[j]]) != own:
+                    continue  # merged since with another
+                stop = end[i] = end[j]
+                end[j] = 0
+                lower = False
+                if stop < n:
+                    before[stop] = i
+                    if (r := rank(data[i : end[stop]])) is not None:
+                        lower = r < own
+                        if r not in places:
+                            places[r] = []
+                            heappush(ranks, r)
+                        places[r].append(i)
+                if (p := before[i]) >= 0 and (r := rank(data[p:stop])) is not None:
+                    lower = lower or r < own
+                    if r not in places:
+                        places[r] = []
+                        heappush(ranks, r)
+                    places[r].append(p)
+                if lower:  # a pair of lower rank comes first, then the rest of this rank
+                    places[own] = waiting[k + 1 :]
+                    heappush(ranks, own)
+                    break
+        out, at = [], 0
+        while at < n:
+            out.append(self.ranks[data[at : end[at]]])
+            at = end[at]
+        return out
+
     def _stable(self, a: int, b: int) -> bool:
         return self.leaf(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
 
@@ -139,13 +189,22 @@ class Codec:
             fits_right = j == len(right) or self.stable(middle[-1], right[j])
             if fits_left and fits_right:
                 return left[:i] + middle + right[j:]
-            i, j = i - (not fits_left), j + (not fits_right)
+            i = i if fits_left else max(0, len(left) - 4 * (len(left) - i))
+            j = j if fits_right else min(len(right), 4 * j)
 
     def encode_bytes(self, data: bytes) -> list[int]:
-        if len(data) <= LEAF:
-            return self.leaf(data)
-        half = len(data) // 2
-        return self.join(self.encode_bytes(data[:half]), self.encode_bytes(data[half:]))
+        known: dict[bytes, list[int]] = {}
+
+        def tree(part: bytes) -> list[int]:
+            if len(part) <= LEAF:
+                return self.leaf(part)
+            out = known.get(part)
+            if out is None:
+                half = LEAF << ((len(part) - 1) // LEAF).bit_length() - 1  # equal runs have equal halves
+                out = known[part] = self.join(tree(part[:half]), tree(part[half:]))
+            return out
+
+        return tree(data)
 
     def encode_match(self, match: str) -> bytes:
         data = match.encode("utf-8", "replace")

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -293,6 +294,33 @@ def test_bpe_tree_on_random_texts(reference):
         assert np.frombuffer(codec.encode(text), "<i4").tolist() == reference.encode_ordinary(text)
 
 
+@pytest.mark.parametrize("kind", ["equal letters", "random letters", "pairs", "mixed runs", "digits", "wide"])
+def test_bpe_of_very_long_matches(reference, kind):
+    r = np.random.default_rng(9)
+    text = {
+        "equal letters": lambda: "a" * 200_000,
+        "random letters": lambda: "".join(r.choice(list("abcdefghijklmnopqrstuvwxyz"), 200_000)),
+        "pairs": lambda: "ab" * 100_000,
+        "mixed runs": lambda: "".join(str(r.choice(list("aeiouxyz"))) * int(r.integers(1, 400)) for _ in range(1000))[:200_000],
+        "digits": lambda: "=" * 100_000 + "-" * 99_999,
+        "wide": lambda: "\u4e2d\u6587\u00e9" * 25_000,
+    }[kind]()
+    codec = bpe.codec(RANKS, PATTERN)
+    began = time.perf_counter()
+    ids = np.frombuffer(codec.encode(text), "<i4").tolist()
+    assert time.perf_counter() - began < 5  # about a second where nothing else runs
+    assert ids == reference.encode_ordinary(text)
+
+
+def test_bpe_merges_by_rank_as_one_by_one(monkeypatch):
+    codec = bpe.codec(RANKS, PATTERN)
+    r = np.random.default_rng(10)
+    for n in (2, 3, 7, 30, 90, 128):
+        for letters in ("ab", "aeinst", "abcdefghijklmnop", "01"):
+            data = "".join(r.choice(list(letters), n)).encode()
+            assert codec.merged(data) == codec.leaf(data)
+
+
 # 4 urls ------------------------------------------------------------------------------------------
 
 URLS = [
