@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 1024
+#: rows that one task can take, whatever their keys
+FEW = 50_000
 
 
 def block_pairs(members: DataFrame, keys: list[str], by: Column, size: int = BLOCK, core: str | None = None) -> DataFrame:
@@ -49,18 +51,32 @@ def block_pairs(members: DataFrame, keys: list[str], by: Column, size: int = BLO
     return out.drop(*[c for c in out.columns if c.startswith("_") and c not in members.columns])
 
 
-def keyed_join(rows: DataFrame, classes: DataFrame, keys: list[str], copies: str, how: str = "left") -> DataFrame:
+def unused(df: DataFrame, name: str) -> str:
+    """name, lengthened until df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def keyed_join(rows: DataFrame, classes: DataFrame, keys: list[str], copies: str, how: str = "left", total: int | None = None) -> DataFrame:
     """rows joined to the class of their keys, of which there is one row each, with its number of rows in ``copies``.
 
     A class of more than 1 / (2 P) of all rows, P the number of shuffle partitions, is
     hot: at most 2 P classes can be, so those are broadcast, and their rows are not
     shuffled.  The others are joined by Spark's choice.  classes should be cheap to
-    scan twice.  Keys of rows may be null where how is "left"; such rows match nothing.
+    scan twice; with ``total``, the number of rows, no job runs here.  Keys of rows may
+    be null where how is "left"; such rows match nothing.  Up to ``FEW`` rows need no
+    such care.
     """
     spread = 2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    total = classes.agg(F.sum(copies)).first()[0] or 0
+    known = total is not None
+    if not known:
+        total = classes.agg(F.sum(copies)).first()[0] or 0
+    if total <= FEW:
+        return rows.join(classes, keys, how)
     hot = classes.where(F.col(copies) > max(total / spread, 1))
-    if hot.isEmpty():
+    if not known and hot.isEmpty():
         return rows.join(classes, keys, how)
     rest = rows.join(F.broadcast(hot.select(keys)), keys, "left_anti")
     return rest.join(classes, keys, how).unionByName(rows.join(F.broadcast(hot), keys))

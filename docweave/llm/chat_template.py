@@ -14,8 +14,8 @@ that a text never imitates a turn's marks and ``read_back`` can restore it.
 
 A conversation is the rows of one id, by turn, then role, then text; it is one
 output text, so its rows meet in one task.  Null texts and roles are empty, null
-turns come last, and rows with a null id form one conversation.  Repeated rows
-stay repeated.  An empty table gives an empty result; further columns are ignored.
+turns come last, and each row with a null id is a conversation of its own, so that
+such rows do not gather in one task.  Repeated rows stay repeated.  An empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -71,7 +71,8 @@ class Output:
 
 # The tree: ("text", s) ("print", e) ("for", name, e, body) ("if", [(e, body)], else) ("generation", body)
 # Expressions: ("const", v) ("name", n) ("field", e, n) ("filter", e, n) ("not", e) (op, a, b)
-_TAG = re.compile(r"\{\{(.*?)\}\}|\{%(.*?)%\}", re.DOTALL)
+_STRING = r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*\""""
+_TAG = re.compile(rf"\{{\{{((?:{_STRING}|(?!\}}\}}).)*)\}}\}}|\{{%((?:{_STRING}|(?!%\}}).)*)%\}}", re.DOTALL)
 _WORD = re.compile(r"""\s*(?:(?P<str>'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")|(?P<int>\d+)|(?P<name>[A-Za-z_]\w*)|(?P<op>==|!=|[.|+~()]))""", re.DOTALL)
 _CONSTANTS = {"true": True, "false": False, "none": None}
 
@@ -188,6 +189,8 @@ def parse(source: str) -> list[tuple]:
             else:
                 word, _, rest = value.partition(" ")
                 if word in ends:
+                    if rest and word != "elif":
+                        raise TemplateError(f"nothing may follow {word}: {value}")
                     return out, value
                 if word == "for":
                     name, _, of = rest.strip().partition(" in ")
@@ -374,7 +377,8 @@ def conversations(df: DataFrame, id_col: str = "conv_id") -> DataFrame:
     turn = F.struct(
         F.col("turn").isNull().alias("late"), F.col("turn").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
     )
-    return df.groupBy(id_col).agg(F.sort_array(F.collect_list(turn)).alias("_turns"))
+    rows = df.select(F.col(id_col), F.when(F.col(id_col).isNull(), F.monotonically_increasing_id()).alias("_own"), turn.alias("_turn"))
+    return rows.groupBy(id_col, "_own").agg(F.sort_array(F.collect_list("_turn")).alias("_turns")).drop("_own")
 
 
 def format_chats(df: DataFrame, id_col: str = "conv_id", template: str = TEMPLATE) -> DataFrame:

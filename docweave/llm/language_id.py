@@ -10,10 +10,12 @@ least.  Ties go to the language that sorts first.
 Letters are Unicode letters, lower-cased; everything else separates words as one
 mark.  Letters other than a-z share ``SYMBOLS`` - 27 vectors by code point.
 
-Prototypes are fitted on at most ``per_language`` documents of each language,
-those with the smallest hash of their id, so the sample is the same however the
-table is laid out.  Prediction sees the text alone.  The prototypes' size is
-languages x DIMENSIONS numbers and does not grow with the rows.
+Prototypes are fitted on a sample of about ``per_language`` documents of each
+language: those whose hash of id and text lies below per_language / documents of that
+language, so the sample is the same however the table is laid out, and takes one
+count and one pass.  More than ``LANGUAGES`` languages are refused.  Prediction sees
+the text alone.  The prototypes' size is languages x DIMENSIONS numbers and does not
+grow with the rows.
 
 A null text or one without a letter is ``und`` with score 0; so is every text if no
 language was learned.  Rows with a null id are never trained on.  Rows are
@@ -29,10 +31,12 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DIMENSIONS, SYMBOLS, PER_LANGUAGE, AT_ONCE = 1024, 64, 500, 1 << 21
+from docweave.llm.blocks import unused
+
+DIMENSIONS, SYMBOLS, PER_LANGUAGE, LANGUAGES, AT_ONCE = 1024, 64, 500, 4096, 1 << 21
 
 
 @lru_cache(1)
@@ -96,17 +100,20 @@ def _portions(texts: Iterator[str | None]) -> Iterator[list[np.ndarray]]:
         yield held
 
 
-def training_sample(df: DataFrame, id_col: str, lang_col: str, per_language: int) -> DataFrame:
-    """At most per_language ids of each language."""
-    order = Window.partitionBy(lang_col).orderBy(F.xxhash64(id_col), id_col)
-    rows = df.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull()).select(id_col, lang_col)
-    return rows.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= per_language).select(id_col, lang_col).distinct()
+def training_sample(df: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int) -> DataFrame:
+    """(lang, text) of about per_language documents of each language."""
+    rows = df.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    counts = rows.groupBy("lang").count().limit(LANGUAGES + 1).collect()
+    if len(counts) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
+    shares = df.sparkSession.createDataFrame([(r["lang"], min(1.0, per_language / r["count"])) for r in counts], "lang string, share double")
+    draw = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    return rows.join(F.broadcast(shares), "lang").where(draw < F.col("share")).select("lang", "text")
 
 
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> dict[str, np.ndarray]:
     """Prototypes by language."""
-    sample = training_sample(df, id_col, lang_col, per_language)
-    texts = df.select(id_col, lang_col, text_col).join(F.broadcast(sample), [id_col, lang_col])  # per_language rows a language
+    texts = training_sample(df, id_col, text_col, lang_col, per_language)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -120,7 +127,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))], names=["lang", "sums"])
 
-    parts = texts.select(F.col(lang_col).cast("string").alias("lang"), text_col).mapInArrow(run, "lang string, sums array<double>")
+    parts = texts.mapInArrow(run, "lang string, sums array<double>")
     rows = parts.select("lang", F.posexplode("sums").alias("at", "x")).groupBy("lang", "at").agg(F.sum("x").alias("x")).collect()
     out: dict[str, np.ndarray] = {}
     for lang, at, x in rows:
@@ -147,8 +154,9 @@ def predict(df: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "t
                 score.append(np.where(usable, cosines.max(1, initial=0).clip(0, 1), 0.0))
             yield pd.DataFrame({"lang_pred": names[np.concatenate(best)], "score": np.concatenate(score)}, index=series.index)
 
-    out = df.withColumn("_lang", run(text_col))
-    return out.withColumns({"lang_pred": F.col("_lang.lang_pred"), "score": F.col("_lang.score")}).drop("_lang")
+    said = unused(df, "_said")
+    out = df.withColumn(said, run(text_col))
+    return out.withColumns({"lang_pred": F.col(said)["lang_pred"], "score": F.col(said)["score"]}).drop(said)
 
 
 def fold_of(id_col: Column) -> Column:

@@ -7,8 +7,8 @@ lose all their lines, except in the largest id that holds them.
 
 Only (key hash, id, position) rows are shuffled to find the keys; the hash has
 128 bits.  Documents meet the list of positions to drop once, in a hash join that
-needs no sort of the texts.  A hot key is counted by partial aggregates and, in
-the join back to its rows, split by the skew join.
+needs no sort of the texts.  A hot key is counted by partial aggregates; keys of a
+large share of all lines meet their rows by broadcast (``blocks.keyed_join``).
 
 Rows with equal ids count as one document.  A row with a null id never counts
 and never keeps a dropped key.  Repeated rows get equal results.  Empty tables
@@ -22,6 +22,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docweave.llm.blocks import keyed_join, unused
 from docweave.llm.scratch import saved
 
 SPACE = " \t\n\x0b\x0c\r"
@@ -41,24 +42,26 @@ def repeated_lines(df: DataFrame, id_col: str, text_col: str, min_length: int, m
     # the key is no longer than the line: short lines go before they are folded
     rows = rows.where(F.length("_line") >= min_length).select("_id", "_text_hash", "_at", key_of(F.col("_line")).alias("_key")).where(F.length("_key") >= min_length)
     rows = saved(rows.select("_id", "_text_hash", "_at", F.xxhash64("_key").alias("h1"), F.xxhash64(F.lit(1), F.col("_key")).alias("h2")), "lines")
-    common = rows.groupBy("h1", "h2").agg(F.count_distinct("_id").alias("_n"), F.max("_id").alias("_keeper")).where(F.col("_n") >= min_documents)
-    lost = rows.join(common, ["h1", "h2"]).where(~F.col("_id").eqNullSafe(F.col("_keeper")))
+    held = [F.count_distinct("_id").alias("_n"), F.max("_id").alias("_keeper"), F.count("h1").alias("_rows")]
+    common = saved(rows.groupBy("h1", "h2").agg(*held).where(F.col("_n") >= min_documents), "common-lines")
+    lost = keyed_join(rows, common, ["h1", "h2"], "_rows", "inner").where(~F.col("_id").eqNullSafe(F.col("_keeper")))
     return lost.groupBy("_id", "_text_hash").agg(F.collect_set("_at").alias("_drop"))
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_length: int = 40, min_documents: int = 5) -> DataFrame:
     """df with the text cut and with n_lines and n_dropped."""
-    lost = repeated_lines(df, id_col, text_col, min_length, min_documents).withColumnsRenamed({"_id": "_lost_id", "_text_hash": "_lost_hash"})
-    same = F.col(id_col).eqNullSafe(F.col("_lost_id")) & (F.xxhash64(text_col) == F.col("_lost_hash"))
+    key, mark, drop = (unused(df, n) for n in ("_lost_id", "_lost_hash", "_drop"))
+    lost = repeated_lines(df, id_col, text_col, min_length, min_documents).toDF(key, mark, drop)
+    same = F.col(id_col).eqNullSafe(F.col(key)) & (F.xxhash64(text_col) == F.col(mark))
     out = df.drop("n_lines", "n_dropped").join(lost.hint("shuffle_hash"), same, "left")
     lines = lines_of(F.col(text_col))
-    kept = F.filter(lines, lambda x, i: ~F.array_contains("_drop", i))
+    kept = F.filter(lines, lambda x, i: ~F.array_contains(F.col(drop), i))
     return out.select(
         *[
-            F.when(F.col("_drop").isNull(), F.coalesce(text_col, F.lit(""))).otherwise(F.array_join(kept, "\n")).alias(c) if c == text_col else F.col(c)
+            F.when(F.col(drop).isNull(), F.coalesce(text_col, F.lit(""))).otherwise(F.array_join(kept, "\n")).alias(c) if c == text_col else F.col(c)
             for c in df.columns
             if c not in ("n_lines", "n_dropped")
         ],
         F.size(lines).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.coalesce(F.size(drop), F.lit(0)).cast("long").alias("n_dropped"),
     )

@@ -13,9 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only if none is set."""
+    """The folder in spark.checkpoint.dir; where none is set a temporary one, in local mode alone."""
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("docweave.scratch", None)
     if not known:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         known = "file://" + tempfile.mkdtemp(prefix="docweave-")
         spark.conf.set("docweave.scratch", known)
     return known.rstrip("/")

@@ -14,7 +14,9 @@ meets in a table with certainty, and no pair needs luck.
 
 Equal fingerprints form one class first, so copies never meet each other.
 Tables hold distinct fingerprints; buckets are compared in blocks and emit at
-most one row per member.
+most one row per member.  Very full buckets lend up to ``POINTS`` of their members as
+pivots: fingerprints within the radius of a pivot are linked to it at once, and as
+they are then joined, they are not compared with each other.
 
 Null and empty texts have fingerprint zero.  Repeated rows get equal results.
 Rows with a null id join their class but never name it; a class of null ids only
@@ -34,13 +36,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.blocks import block_pairs, dealt, grouped, labels, split_sides, star_edges
+from docweave.llm.blocks import BLOCK, block_pairs, dealt, grouped, keyed_join, labels, split_sides, star_edges
 from docweave.llm.components import components
 from docweave.llm.scratch import saved
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 PLACES = 256 * np.arange(8)
+POINTS = 4
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -118,16 +121,14 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def _link(radius: int, check_radius: int):
+def _link(radius: int):
     keys = ["code", "block_i", "block_j"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in grouped(batches, keys):
             left, right = split_sides(table)
-            linked = np.ones((len(left), len(right)), bool)
-            for name, most in (("mark", radius), ("check", check_radius)):
-                marks = table[name].to_numpy().view(np.uint64)
-                linked &= np.bitwise_count(marks[left][:, None] ^ marks[right][None, :]) <= most
+            marks = table["mark"].to_numpy().view(np.uint64)
+            linked = np.bitwise_count(marks[left][:, None] ^ marks[right][None, :]) <= radius
             nodes = table["node"].to_numpy()
             u, v = star_edges(nodes, labels(nodes, left, right, linked))
             if len(u):
@@ -136,27 +137,66 @@ def _link(radius: int, check_radius: int):
     return run
 
 
-def link_classes(marked: DataFrame, radius: int = 3, check_radius: int = 64) -> DataFrame:
-    """(mark, check, component): for each class of (_id, mark, check), its smallest reachable id.
+def pivots(keyed: DataFrame, tables: int, block: int) -> list[tuple[int, int]]:
+    """(mark, node) of members of very full buckets, smallest node first.
 
-    Links differ in at most radius bits of mark and check_radius bits of check.
+    A bucket is very full if it holds more than ``4 * block`` classes and more than
+    1 / (2 P) of all, P the number of shuffle partitions: at most 2 * P * tables can be.
     """
-    classes = saved(marked.groupBy("mark", "check").agg(F.min("_id").alias("node")), "marks")
-    named = classes.where("node IS NOT NULL")
-    masks = F.array(*[F.lit(_signed(m)) for m in covering_masks(radius)])
-    keyed = named.select("node", "mark", "check", F.posexplode(masks).alias("_table", "_mask"))
-    keyed = keyed.select("node", "mark", "check", F.xxhash64("_table", F.col("mark").bitwiseAND(F.col("_mask"))).alias("code"))
-    met = block_pairs(keyed, ["code"], F.xxhash64("mark", "check"))
-    links = dealt(met, ["code"]).mapInArrow(_link(radius, check_radius), "u long, v long")
+    spread = 2 * int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = keyed.count() / tables
+    some = [F.min_by(F.struct("mark", "node"), F.xxhash64(F.lit(k), "node")).alias(f"p{k}") for k in range(POINTS)]
+    full = keyed.groupBy("code").agg(F.count(F.lit(1)).alias("n"), *some).where(F.col("n") > max(total / spread, 4 * block))
+    chosen = full.select(F.explode(F.array(*[f"p{k}" for k in range(POINTS)])).alias("p")).select("p.*").distinct()
+    return sorted(map(tuple, chosen.collect()), key=lambda p: p[1])
+
+
+def _cores(points: list[tuple[int, int]], radius: int):
+    """The first pivot within the radius, -1 if there is none."""
+    marks = np.array([m for m, _ in points], np.int64).view(np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column("mark").to_numpy().view(np.uint64)
+            core = np.full(len(own), -1, np.int64)
+            for at in range(0, len(own) if len(marks) else 0, 512):
+                near = np.bitwise_count(own[at : at + 512, None] ^ marks[None, :]) <= radius
+                core[at : at + 512] = np.where(near.any(1), near.argmax(1), -1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(core)], names=[*batch.schema.names, "core"])
+
+    return run
+
+
+def link_classes(marked: DataFrame, radius: int = 3, block: int = BLOCK) -> DataFrame:
+    """(mark, copies, component): for each class of (_id, mark), its smallest reachable id.
+
+    Links differ in at most radius bits of mark.
+    """
+    classes = saved(marked.groupBy("mark").agg(F.min("_id").alias("node"), F.count(F.lit(1)).alias("copies")), "marks")
+    named = classes.where("node IS NOT NULL").select("node", "mark")
+    wanted = covering_masks(radius)
+    masks = F.array(*[F.lit(_signed(m)) for m in wanted])
+
+    def in_tables(df: DataFrame) -> DataFrame:
+        keyed = df.select("*", F.posexplode(masks).alias("_table", "_mask"))
+        return keyed.withColumn("code", F.xxhash64("_table", F.col("mark").bitwiseAND(F.col("_mask")))).drop("_table", "_mask")
+
+    points = pivots(in_tables(named), len(wanted), block)
+    cored = saved(named.mapInArrow(_cores(points, radius), "node long, mark long, core long"), "cores")
+    met = block_pairs(in_tables(cored), ["code"], F.xxhash64("mark"), block, "core")
+    links = dealt(met, ["code"]).mapInArrow(_link(radius), "u long, v long")
+    if points:
+        centres = marked.sparkSession.createDataFrame([(k, node) for k, (_, node) in enumerate(points)], "core long, v long")
+        links = links.union(cored.join(F.broadcast(centres), "core").select(F.col("node").alias("u"), "v"))
     roots = components(links)
     out = classes.join(roots, classes.node == roots.node, "left")
-    return out.select("mark", "check", F.coalesce("component", classes.node).alias("component"))
+    return out.select("mark", "copies", F.coalesce("component", classes.node).alias("component"))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 3) -> DataFrame:
     """(id, fingerprint, component_id), one row for each row of df."""
-    marked = saved(fingerprints(df, id_col, text_col, words), "fingerprints").withColumn("check", F.lit(0).cast("long"))
-    out = marked.join(link_classes(marked, radius).drop("check"), "mark", "left")
+    marked = saved(fingerprints(df, id_col, text_col, words), "fingerprints")
+    out = keyed_join(marked, saved(link_classes(marked, radius), "linked"), ["mark"], "copies")
     return out.select(F.col("_id").alias(id_col), F.lpad(F.lower(F.hex("mark")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
@@ -292,12 +332,12 @@ def _verify_teams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
 
-def resembling(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 5, check_radius: int = 76) -> DataFrame:
+def resembling(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 3, check_radius: int = 76) -> DataFrame:
     """(id, component_id), one row for each row of df; see resembling_rows."""
     return resembling_rows(df, id_col, text_col, words, radius, check_radius).select(id_col, "component_id")
 
 
-def resembling_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 5, check_radius: int = 76) -> DataFrame:
+def resembling_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 3, check_radius: int = 76) -> DataFrame:
     """(id, text_hash, group, component_id): groups of texts linked by a resemblance of 0.8 or more.
 
     Resemblance is the exact one (Jaccard) of the sets of shingles of ``words``
@@ -306,7 +346,8 @@ def resembling_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     of ``radius`` bits, which are close where words were swapped; and fingerprints of
     parts of a text, min-wise samples of its shingles that must be equal, which are
     shared with a chance that depends on the resemblance alone, whether words were
-    swapped or a passage was added, removed or cut.
+    swapped or a passage was added, removed or cut.  That is
+    2 * (2 ** (radius + 1) - 1) + ``BANDS`` rows a class, 50 as set.
 
     256 bits of the shingles' fingerprints only thin the candidates out: at 0.8 they
     differ in 39 on average with deviation 6, in 48 for the smallest sets (4 of 5).
@@ -323,7 +364,9 @@ def resembling_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     texts = df.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(text_col).alias("_hash"), F.col(text_col).alias("_text"))
     marked = saved(texts.mapInArrow(run, schema), "fingerprints")
     marks = ["size", *WORD_MARKS, *CHECKS, "bands"]
-    classes = saved(marked.groupBy("key").agg(F.min(F.struct("_id", "_hash", *marks)).alias("_first")).select("key", "_first.*"), "classes")
+    first = F.min(F.struct("_id", "_hash", *marks)).alias("_first")
+    named = F.min("_id").alias("least")  # the struct's smallest id may be null
+    classes = saved(marked.groupBy("key").agg(first, named, F.count(F.lit(1)).alias("copies")).select("key", "least", "copies", "_first.*"), "classes")
     masked = [F.col(m).bitwiseAND(F.lit(_signed(k))) for m in WORD_MARKS for k in covering_masks(radius)]
     keyed = classes.where("size > 0").select("key", F.posexplode(F.concat(F.array(*masked), "bands")).alias("_table", "_bits"))
     keyed = keyed.select("key", F.xxhash64("_table", "_bits").alias("code"))
@@ -344,6 +387,9 @@ def resembling_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     links = links.union(open_teams.mapInArrow(_verify_teams, "u long, v long"))
 
     roots = components(links)
-    rows = marked.select("_id", "_hash", "key").join(roots, marked.key == roots.node, "left").select("_id", "_hash", F.coalesce("component", "key").alias("group"))
-    least = rows.groupBy("group").agg(F.min("_id").alias("component_id"))
-    return rows.join(least, "group").select(F.col("_id").alias(id_col), F.col("_hash").alias("text_hash"), "group", "component_id")
+    of_class = classes.select("key", "least", "copies").join(roots, F.col("key") == roots.node, "left")
+    of_class = saved(of_class.select("key", "least", "copies", F.coalesce("component", "key").alias("group")), "grouped")
+    groups = saved(of_class.groupBy("group").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("classes")), "groups")
+    of_class = saved(keyed_join(of_class, groups, ["group"], "classes").select("key", "copies", "group", "component_id"), "grouped")
+    rows = keyed_join(marked.select("_id", "_hash", "key"), of_class, ["key"], "copies")
+    return rows.select(F.col("_id").alias(id_col), F.col("_hash").alias("text_hash"), "group", "component_id")

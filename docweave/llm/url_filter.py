@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docweave.llm.blocks import unused
+
 TRIE_BYTES = 64 << 20
 Rule = tuple[str, str, str]
 
@@ -95,8 +97,9 @@ def judge(df: DataFrame, rules: Iterable[Rule], url_col: str = "url", default: s
         return pd.DataFrame([trie.longest(h, p) for h, p in zip(host, path, strict=True)], columns=["rule", "verdict"], index=host.index)
 
     host, path = host_and_path(F.col(url_col))
-    out = df.withColumns({"host": host, "path": path}).withColumn("_won", fitting("host", "path"))
-    return out.withColumns({"rule": F.col("_won.rule"), "verdict": F.coalesce("_won.verdict", F.lit(default))}).drop("_won")
+    won = unused(df, "_won")
+    out = df.withColumns({"host": host, "path": path}).withColumn(won, fitting("host", "path"))
+    return out.withColumns({"rule": F.col(won)["rule"], "verdict": F.coalesce(F.col(won)["verdict"], F.lit(default))}).drop(won)
 
 
 def judge_by_join(df: DataFrame, rules: DataFrame, url_col: str = "url", default: str = "allow") -> DataFrame:
@@ -115,6 +118,7 @@ def judge_by_join(df: DataFrame, rules: DataFrame, url_col: str = "url", default
     known = rules.select(F.lower("host").alias("_host"), F.col("path").alias("_path"), F.col("verdict").alias("_verdict"))
     fits = asked.join(known, ["_host", "_path"])
     rank = F.struct((F.length("_host") + F.col("_end")).alias("a"), F.col("_labels").alias("b"), (F.col("_verdict") == "block").alias("c"))
-    won = fits.groupBy("host", "path").agg(F.max_by(F.struct(F.concat("_host", "_path").alias("rule"), F.col("_verdict").alias("verdict")), rank).alias("_won"))
+    name = unused(df, "_won")
+    won = fits.groupBy("host", "path").agg(F.max_by(F.struct(F.concat("_host", "_path").alias("rule"), F.col("_verdict").alias("verdict")), rank).alias(name))
     out = out.drop("rule", "verdict").join(won, ["host", "path"], "left")
-    return out.withColumns({"rule": F.col("_won.rule"), "verdict": F.coalesce("_won.verdict", F.lit(default))}).drop("_won")
+    return out.withColumns({"rule": F.col(name)["rule"], "verdict": F.coalesce(F.col(name)["verdict"], F.lit(default))}).drop(name)

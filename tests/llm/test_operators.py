@@ -4,7 +4,7 @@ import hashlib
 import re
 import time
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from docweave.llm import ann, bpe, chat_template, embedding_neardup, language_id, line_dedup, packing, pii, registry, simhash, url_filter
+from docweave.llm import ann, blocks, bpe, chat_template, components, embedding_neardup, language_id, line_dedup, packing, pii, registry, simhash, url_filter
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 JSON = public_tokenizers.path("byte_bpe_50k.json")
@@ -60,6 +60,25 @@ def group_min(ids, links):
     return [least[r] for r in roots]
 
 
+def test_hot_keys_are_joined_by_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "FEW", 10)
+    rows = spark.createDataFrame([(k, 0 if k % 3 else k % 50 if k % 7 else None) for k in range(1000)], "id long, key long")
+    classes = rows.where("key IS NOT NULL AND key < 40").groupBy("key").agg(F.count("id").alias("n")).withColumn("x", F.col("key") * 2)
+    for how in ("left", "inner"):
+        for total in (None, 1000):
+            got = blocks.keyed_join(rows, classes, ["key"], "n", how, total=total).select("id", "key", "x").collect()
+            assert sorted(map(tuple, got)) == sorted(map(tuple, rows.join(classes, "key", how).select("id", "key", "x").collect()))
+
+
+def test_components_of_hubs_and_chains(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "FEW", 10)
+    r = np.random.default_rng(4)
+    links = [(999, k) for k in range(0, 300, 2)] + [(k, k + 1) for k in range(300, 340)] + [tuple(map(int, r.integers(400, 700, 2))) for _ in range(200)]
+    roots = find_roots(1000, links)
+    got = dict(components.components(spark.createDataFrame(links, "a long, b long")).collect())
+    assert got == {k: roots[k] for k in {x for a, b in links if a != b for x in (a, b)}}
+
+
 # 1 embeddings ------------------------------------------------------------------------------------
 
 
@@ -234,12 +253,13 @@ def test_links_of_hot_fingerprints(spark):
     r = np.random.default_rng(2)
     marks = [int(m) for m in r.integers(0, 2**62, 40)]
     rows = [(i, marks[i % 3] ^ sum(1 << int(b) for b in r.integers(0, 60, i % 5))) for i in range(3000)] + list(enumerate(marks, 5000))
-    df = spark.createDataFrame([(*r, 0) for r in rows], "_id long, mark long, check long")
-    got = {r.mark: r.component for r in simhash.link_classes(df).collect()}
+    df = spark.createDataFrame(rows, "_id long, mark long")
     values = np.array([m for _, m in rows], np.uint64)
     close = np.bitwise_count(values[:, None] ^ values[None, :]) <= 3
     want = group_min([i for i, _ in rows], zip(*np.nonzero(close), strict=True))
-    assert all(got[m] == c for (_, m), c in zip(rows, want, strict=True))
+    for block in (1024, 20):  # small blocks: pivots and several blocks
+        got = {r.mark: r.component for r in simhash.link_classes(df, block=block).collect()}
+        assert all(got[m] == c for (_, m), c in zip(rows, want, strict=True))
 
 
 @pytest.mark.parametrize("radius", [1, 3, 4])
@@ -346,11 +366,11 @@ def test_urls_equal_brute_force(spark, sf):
 
 
 def test_odd_urls(spark):
-    df = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(URLS)], "page_id long, url string, host string")
+    df = spark.createDataFrame([(i, u, "clash", 7) for i, u in enumerate(URLS)], "page_id long, url string, host string, _won int")
     rules = spark.createDataFrame(registry.URL_RULES, "verdict string, host string, path string")
     for out in (url_filter.judge(df, registry.URL_RULES), url_filter.judge_by_join(df, rules)):
         for r in out.collect():
-            assert (r.host, r.path, r.rule, r.verdict) == brute_verdict(r.url), r.url
+            assert (r.host, r.path, r.rule, r.verdict, r._won) == (*brute_verdict(r.url), 7), r.url
     assert url_filter.judge(df.limit(0), registry.URL_RULES).collect() == []
 
 
@@ -368,7 +388,6 @@ def check_packing(rows, documents):
     from tokenizers import Tokenizer
 
     known = Tokenizer.from_file(JSON)
-    known.encode_special_tokens = True
     ids = {k: [*known.encode(t or "", add_special_tokens=False).ids, 1] for k, t in documents}
     pieces, sequences = defaultdict(list), defaultdict(list)
     for r in rows:
@@ -447,10 +466,12 @@ def test_lines_equal_brute_force(spark, sf):
 def test_lines_odd_rows(spark, odd):
     line = "\tA line that is LONG enough to be counted here \u00c9\r"
     rows = [r[:2] for r in ODD] + [(i, f"x\n{line}\n\n{line.lower() if i % 2 else line}\ny{i}\n") for i in range(20, 27)] + [(26, f"x\n{line}"), (None, line), (20, f"{line}\nz")]
-    df = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, _drop int")
-    out = line_dedup.dedup_lines(df.drop("_drop").withColumn("n_lines", F.lit("clash"))).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256))
-    assert sorted(map(tuple, out.collect()), key=str) == brute_lines(rows)
-    assert line_dedup.dedup_lines(df.drop("_drop").limit(0)).collect() == []
+    df = spark.createDataFrame([(*r, 0, 1, 2, 3, "clash") for r in rows], "doc_id long, text string, _drop int, _lost_id int, _lost_hash int, h1 int, n_lines string")
+    out = line_dedup.dedup_lines(df)
+    assert out.columns == ["doc_id", "text", "_drop", "_lost_id", "_lost_hash", "h1", "n_lines", "n_dropped"]
+    assert all((r._drop, r._lost_id, r._lost_hash, r.h1) == (0, 1, 2, 3) for r in out.collect())
+    assert sorted(map(tuple, out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256)).collect()), key=str) == brute_lines(rows)
+    assert line_dedup.dedup_lines(df.limit(0)).collect() == []
 
 
 # 7 chats -----------------------------------------------------------------------------------------
@@ -473,9 +494,12 @@ def test_chats_come_back(spark, sf):
 
 def test_chats_odd_rows(spark):
     nasty = "\\<turn></turn>\\</role>\\\\<tu<turn>rn>"
-    rows = [(1, 1, "assistant", nasty), (1, 0, None, None), (1, None, "us</role>er", ""), (2, 0, "assistant", "same"), (2, 0, "assistant", "same"), (None, 0, "user", "x" * 100_000)]
+    rows = [(1, 1, "assistant", nasty), (1, 0, None, None), (1, None, "us</role>er", ""), (2, 0, "assistant", "same"), (2, 0, "assistant", "same")]
+    rows += [(None, 0, "user", "x" * 100_000)] * 2
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("turns", F.lit("clash"))
-    got = {r.conv_id: r for r in chat_template.read_chats(chat_template.format_chats(df)).collect()}
+    every = chat_template.read_chats(chat_template.format_chats(df)).collect()
+    got = {r.conv_id: r for r in every}
+    assert len(every) == 4  # each row without an id stands alone
     assert [tuple(t) for t in got[1].turns] == [("", ""), ("assistant", nasty), ("us</role>er", "")] and got[1].loss_text == nasty
     assert [tuple(t) for t in got[2].turns] == [("assistant", "same")] * 2 and got[2].loss_text == "samesame"
     assert got[None].turns[0].text == "x" * 100_000 and len(got) == 3
@@ -488,7 +512,8 @@ def test_template_language():
     assert run("{% for x in l %}{{ loop.index0 }}{{ x.a | upper }}{% if not loop.last %},{% endif %}{% endfor %}", l=[{"a": "p"}, {"a": "q"}]) == "0P,1Q"
     assert run("{% if a == 1 %}x{% elif a == 2 or b %}y{% else %}z{% endif %}", a=2) == "y"
     assert chat_template.fold(chat_template.parse("a{{ 'b' | upper }}{% if 1 == 1 %}c{% else %}{{ d }}{% endif %}")) == [("text", "aBc")]
-    for wrong in ("{{ a.__class__ }}", "{% for x in y %}", "{{ a | eval }}", "{{ a( }}", "{% import os %}"):
+    assert run("{{ '}}' }}{% if a == '%}' %}x{% endif %}{{ \"{{\" }}", a="%}") == "}}x{{"
+    for wrong in ("{% if a %}x{% endif a %}", "{% if a %}x{% else b %}y{% endif %}", "{% for x in y %}z{% endfor x %}", "{{ a.__class__ }}", "{% for x in y %}", "{{ a | eval }}", "{{ a( }}", "{% import os %}"):
         with pytest.raises(chat_template.TemplateError):
             chat_template.parse(wrong)
 
@@ -655,9 +680,44 @@ def test_bundles_equal_their_definition():
     assert (language_id.bundles([language_id.trigrams(text)])[0] == want).all()
 
 
+def test_languages_equal_their_definition(spark, sf):
+    """Fit and prediction of every document of the smallest table, gram by gram."""
+    a, b, c = language_id.letter_vectors().astype(int)
+    table = language_id.symbol_table()
+    rows = spark.read.parquet(f"{sf}/documents.parquet").collect()
+
+    def vector(text):
+        words = "".join(ch if ch.isalpha() else " " for ch in text or "").split()
+        s = [0, *[x for w in words for x in (*(int(table[ord(ch)]) for ch in w), 0)]]
+        grams = Counter(zip(s, s[1:], s[2:], strict=False))
+        return sum(n * (a[i] * b[j] * c[k]) for (i, j, k), n in grams.items()) if grams else np.zeros(language_id.DIMENSIONS)
+
+    vectors = {r.doc_id: vector(r.text) for r in rows}
+    langs = sorted({r.lang for r in rows if r.lang and zlib.crc32(str(r.doc_id).encode()) % 3 != 1})
+    fitted = [sum(vectors[r.doc_id] for r in rows if r.lang == lang and zlib.crc32(str(r.doc_id).encode()) % 3 != 1) for lang in langs]
+    fitted = np.array([v / np.linalg.norm(v) for v in fitted])
+    for r in registry.op10_language_id(spark, sf).collect():
+        v = vectors[r.doc_id]
+        if not v.any():
+            assert (r.lang_pred, r.score) == ("und", 0)
+            continue
+        cosines = fitted @ v / np.linalg.norm(v)
+        assert abs(max(cosines.max(), 0) - r.score) < 1e-5 and cosines[langs.index(r.lang_pred)] > cosines.max() - 1e-5
+
+
+def test_training_sample_is_bounded_and_stable(spark):
+    df = spark.createDataFrame([(k, f"text {k}", "en" if k % 3 else "de", 0) for k in range(6000)], "doc_id long, text string, lang string, share int")
+    draws = [sorted(map(tuple, language_id.training_sample(x, "doc_id", "text", "lang", 100).collect())) for x in (df, df.repartition(7))]
+    counts = Counter(lang for lang, _ in draws[0])
+    assert draws[0] == draws[1] and all(60 < counts[x] < 150 for x in ("en", "de"))
+    with pytest.raises(ValueError):
+        language_id.fit(df.withColumn("lang", F.col("doc_id").cast("string")))
+
+
 def test_languages_odd_rows(spark, odd):
     prototypes = language_id.fit(odd)
-    got = language_id.predict(odd.withColumn("score", F.lit("clash")), prototypes).collect()
+    got = language_id.predict(odd.withColumn("score", F.lit("clash")).withColumn("_said", F.lit(5)), prototypes).collect()
+    assert all(r._said == 5 and isinstance(r.score, float) for r in got)
     assert all(r.lang_pred == "und" and r.score == 0 for r in got if r.doc_id in (1, 2))
     assert all(r.lang_pred != "und" for r in got if r.doc_id in (3, 7, None))
     assert [r.lang_pred for r in language_id.predict(odd, {}).collect()] == ["und"] * len(ODD)
