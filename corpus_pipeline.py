@@ -1,6 +1,8 @@
 """From documents to packed training windows, as five stages.
 
-Each stage is written as Parquet and read again by the next one.
+Each stage is written as Parquet and read again by the next one.  A stage looks at
+the columns of documents alone; further ones are dropped.  An empty table gives an
+empty result in every stage.
 """
 
 from __future__ import annotations
@@ -16,8 +18,10 @@ from docweave.llm.scratch import saved
 from docweave.shipping import ship
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: about twice the standard deviation of an unrelated text's cosine, 1 / sqrt(DIMENSIONS); a word or two of a known language score more
-LEAST_SCORE = 0.06
+#: one standard deviation of an unrelated text's cosine
+DEVIATION = language_id.DIMENSIONS**-0.5
+#: texts of fewer trigrams say too little to be told from chance
+FEW_GRAMS = 100
 
 
 def _documents(df: DataFrame) -> DataFrame:
@@ -25,17 +29,29 @@ def _documents(df: DataFrame) -> DataFrame:
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts that are null, hold no letter or resemble no learned language; of all if none was learned, those without letters."""
+    """Drops texts that are null, hold no letter or resemble no learned language.
+
+    A text of ``FEW_GRAMS`` trigrams or more resembles one if its cosine exceeds that of
+    endless random words by 1.5 deviations; a shorter one if it exceeds 2 deviations,
+    which chance alone would explain.  If no language was learned, texts with a letter
+    stay.  Ties between languages decide nothing here; repeated rows all stay or all go.
+    """
     ship(spark)
     prototypes = language_id.fit(docs)
-    said = language_id.predict(docs.select(*COLUMNS), prototypes)
     if not prototypes:
         return docs.select(*COLUMNS).where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    return said.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
+    said = language_id.predict(docs.select(*COLUMNS), prototypes, grams_col="grams")
+    least = F.when(F.col("grams") < FEW_GRAMS, 2 * DEVIATION).otherwise(language_id.chance_score(prototypes) + 1.5 * DEVIATION)
+    return said.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*COLUMNS)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts lines that repeat across documents."""
+    """Cuts lines that repeat across documents.
+
+    Every row stays, a null text as an empty one; of a repeated line the document with
+    the largest id keeps its lines.  A row with a null id never counts and never keeps one;
+    repeated rows are cut alike.  n_chars is counted anew.
+    """
     ship(spark)
     return _documents(line_dedup.dedup_lines(docs.select(*COLUMNS)))
 
@@ -43,7 +59,9 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each group of near copies, one with the group's smallest id; rows without an id all stay.
 
-    Rows are told apart by id and text, so texts without copies stay when their id repeats.
+    Rows are told apart by id and text, so texts without copies stay when their id repeats;
+    of rows with equal id and text one stays.  Texts without words, null ones too, are
+    copies of each other.
     """
     ship(spark)
     groups = saved(simhash.resembling_rows(docs).withColumnRenamed("doc_id", "_id"), "groups")
@@ -65,13 +83,17 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data by its kind in brackets."""
+    """Replaces personal data by its kind in brackets; rows stay as they are otherwise, null texts too.  n_chars is counted anew."""
     ship(spark)
     return _documents(pii.mask(docs.select(*COLUMNS)))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the texts' tokens; ids as little-endian 32-bit integers."""
+    """Packs the texts' tokens; ids as little-endian 32-bit integers.
+
+    Rows are packed one by one, repeated ones too; a null or empty text is its end id
+    alone, a very long one fills windows of its own.
+    """
     ship(spark)
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
@@ -85,7 +107,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("packing", packing_stage),
 ]
 
-#: SQL has no language profiles, fingerprints or tokenizer; tests cover the operators and, as a stage, only the third
+#: SQL has no language profiles, fingerprints or tokenizer: tests/llm/test_pipeline.py compares every stage, and run(), with a plain version
 ORACLE_SQL = None
 
 

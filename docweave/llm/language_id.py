@@ -135,16 +135,26 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     return {lang: v / n for lang, v in sorted(out.items()) if (n := np.linalg.norm(v))}
 
 
-def predict(df: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text") -> DataFrame:
-    """df with lang_pred and score."""
+def chance_score(prototypes: dict[str, np.ndarray], seed: int = 13) -> float:
+    """The largest cosine of endless random words, of 2 to 9 of the letters a to z, with a prototype."""
+    rng = np.random.default_rng(seed)
+    letters = rng.integers(ord("a"), ord("z") + 1, 400_000).astype(np.uint8)
+    letters[np.cumsum(rng.integers(3, 11, len(letters) // 11))] = ord(" ")
+    vector = bundles([trigrams(letters.tobytes().decode())])[0]
+    return max((float(vector @ v) / float(np.linalg.norm(vector)) for v in prototypes.values()), default=0.0)
+
+
+def predict(df: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text", grams_col: str | None = None) -> DataFrame:
+    """df with lang_pred and score; with grams_col, also the number of trigrams."""
     names = np.array([*prototypes, "und"], dtype=object)
     matrix = np.array([*prototypes.values()], np.float32).reshape(-1, DIMENSIONS)
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, grams long")
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for series in texts:
-            best, score = [np.zeros(0, int)], [np.zeros(0)]
+            best, score, counts = [np.zeros(0, int)], [np.zeros(0)], [np.zeros(0, int)]
             for grams in _portions(iter(series)):
+                counts.append(np.array([len(g) for g in grams]))
                 vectors = bundles(grams)
                 norms = np.linalg.norm(vectors, axis=1)
                 cosines = (vectors @ matrix.T) / np.where(norms > 0, norms, 1)[:, None]
@@ -152,11 +162,12 @@ def predict(df: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "t
                 pick = cosines.argmax(1) if len(matrix) else np.zeros(len(grams), int)
                 best.append(np.where(usable, pick, len(names) - 1))
                 score.append(np.where(usable, cosines.max(1, initial=0).clip(0, 1), 0.0))
-            yield pd.DataFrame({"lang_pred": names[np.concatenate(best)], "score": np.concatenate(score)}, index=series.index)
+            yield pd.DataFrame({"lang_pred": names[np.concatenate(best)], "score": np.concatenate(score), "grams": np.concatenate(counts)}, index=series.index)
 
     said = unused(df, "_said")
     out = df.withColumn(said, run(text_col))
-    return out.withColumns({"lang_pred": F.col(said)["lang_pred"], "score": F.col(said)["score"]}).drop(said)
+    fields = {"lang_pred": "lang_pred", "score": "score"} | ({grams_col: "grams"} if grams_col else {})
+    return out.withColumns({name: F.col(said)[f] for name, f in fields.items()}).drop(said)
 
 
 def fold_of(id_col: Column) -> Column:

@@ -384,7 +384,8 @@ def test_rule_precedence():
 # 5 packing ---------------------------------------------------------------------------------------
 
 
-def check_packing(rows, documents):
+def check_packing(rows, documents, whole=True):
+    """Share of padding; whole: every id must be there."""
     from tokenizers import Tokenizer
 
     known = Tokenizer.from_file(JSON)
@@ -400,12 +401,12 @@ def check_packing(rows, documents):
         held = np.zeros(len(ids[k]), int)
         for start, length in own:
             held[start : start + length] += 1
-        assert (held == (copies[k] if k is not None else 1)).all()
+        assert (held == (copies[k] if k is not None else 1)).all() if whole else (held <= copies[k]).all()
     padded = 0
     for own in sequences.values():
         at = 0
         for offset, length in sorted(own):
-            assert offset == at and length > 0
+            assert (offset == at or not whole) and length > 0
             at += length
         assert at <= 2048
         padded += 0 if at & (at - 1) == 0 else 2048 - at
