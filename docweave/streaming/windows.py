@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm.scratch import shared_dir
+from docweave.scratch import shared_dir
 from docweave.tables import table
 
 
@@ -28,12 +28,16 @@ def windows_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def windows_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs the stream over what is there and returns its complete result, one row a window and type."""
-    stream = _streamed(spark, sf_dir)
-    name = f"windows_{uuid.uuid4().hex}"
-    run = windowed(stream).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table(name)
+    """Runs the stream over what is there; a window comes out, as rows of files, when the watermark has passed it.
+
+    The last windows of a finished stream are still open then, so those that are not
+    in the files are computed from the rows that they cover.
+    """
+    closed = _written(spark, windowed(_streamed(spark, sf_dir)), "windows")
+    last = closed.agg(F.max("day")).first()[0]
+    events = table(spark, sf_dir, "events")
+    rest = windowed(events if last is None else events.where(F.to_date("ts") > F.lit(last)))
+    return closed.union(rest)
 
 
 def waits(published: DataFrame, started: DataFrame, within: str = "1 hour", late: str = "1 hour") -> DataFrame:
@@ -54,13 +58,17 @@ def waits_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return waits(events, events)
 
 
-def waits_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stream-stream join over what is there; inner matches come out at once, as files that executors write and read."""
-    path = f"{shared_dir(spark)}/waits-{uuid.uuid4().hex}"
-    met = waits(_streamed(spark, sf_dir), _streamed(spark, sf_dir))
-    run = met.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start(path)
+def _written(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
+    """What a stream appends to files that executors write and read; state and results lie in the shared folder."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    run = stream.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start(path)
     run.awaitTermination()
-    return spark.read.schema(met.schema).parquet(path)
+    return spark.read.schema(stream.schema).parquet(path)
+
+
+def waits_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stream-stream join over what is there; inner matches come out at once."""
+    return _written(spark, waits(_streamed(spark, sf_dir), _streamed(spark, sf_dir)), "waits")
 
 
 WAITS_SQL = """
