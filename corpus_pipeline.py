@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.llm import language_id, line_dedup, packing, pii, simhash
-from docweave.llm.scratch import saved
+from docweave.scratch import saved
 from docweave.shipping import ship
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]

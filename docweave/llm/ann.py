@@ -47,7 +47,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docweave.llm.blocks import keyed_join
-from docweave.llm.scratch import saved
+from docweave.scratch import saved
 
 SAMPLE, SAMPLE_BYTES, LISTS, LIST_BLOCK, QUERY_BLOCK = 20_000, 64 << 20, 4096, 8192, 16_384
 SPLIT, PARTS, SPLIT_SAMPLE, ROUNDS = 16_384, 32, 4096, 8

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docweave.llm.blocks import keyed_join
-from docweave.llm.scratch import saved
+from docweave.scratch import saved
 
 
 def _both_ways(e: DataFrame) -> DataFrame:

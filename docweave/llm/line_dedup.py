@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docweave.llm.blocks import keyed_join, unused
-from docweave.llm.scratch import saved
+from docweave.scratch import saved
 
 SPACE = " \t\n\x0b\x0c\r"
 

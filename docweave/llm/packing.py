@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docweave.llm.bpe import Words
-from docweave.llm.scratch import saved
+from docweave.scratch import saved
 
 WINDOW, OPEN, LEAST, MERGED = 2048, 32, 16, 64
 COLUMNS = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "is_open"]

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from docweave.llm.blocks import BLOCK, block_pairs, dealt, grouped, keyed_join, labels, split_sides, star_edges
 from docweave.llm.components import components
-from docweave.llm.scratch import saved
+from docweave.scratch import saved
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
