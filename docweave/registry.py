@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from docweave.functions import records, text
-from docweave.operators import retrieval
+from docweave.operators import retrieval, search
 from docweave.plans import endpoints  # noqa: F401  its statements join the others
 from docweave.plans.analytics import STATEMENTS
 from docweave.sources import corpus, specs
@@ -23,8 +23,8 @@ def _run(sql: str) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    return {k: _run(s.sql) for k, s in STATEMENTS.items()} | retrieval.QUERIES | corpus.QUERIES | windows.QUERIES | text.QUERIES | records.QUERIES | specs.QUERIES
+    return {k: _run(s.sql) for k, s in STATEMENTS.items()} | retrieval.QUERIES | search.QUERIES | corpus.QUERIES | windows.QUERIES | text.QUERIES | records.QUERIES | specs.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: s.oracle or plain(s.sql) for k, s in STATEMENTS.items()} | retrieval.ORACLES | corpus.ORACLES | windows.ORACLES | text.ORACLES | records.ORACLES | specs.ORACLES
+    return {k: s.oracle or plain(s.sql) for k, s in STATEMENTS.items()} | retrieval.ORACLES | search.ORACLES | corpus.ORACLES | windows.ORACLES | text.ORACLES | records.ORACLES | specs.ORACLES
