@@ -314,11 +314,11 @@ SELECT bucket, user_id, n FROM (SELECT bucket, user_id, n, row_number() OVER (PA
 add(
     "window_absent",
     f"""
-SELECT h.bucket FROM (SELECT explode(sequence(TIMESTAMP_NTZ '2024-01-01 00:00:00', TIMESTAMP_NTZ '2024-01-30 23:00:00', INTERVAL 1 HOUR)) AS bucket) h
+SELECT h.bucket FROM (SELECT explode(sequence(a, b, INTERVAL 1 HOUR)) AS bucket FROM (SELECT min({_W}) AS a, max({_W}) AS b FROM {{events}}) r) h
 LEFT ANTI JOIN (SELECT DISTINCT {_W} AS bucket FROM {{events}} WHERE event_type = 'error') s ON s.bucket = h.bucket
 """,
     f"""
-SELECT h.bucket FROM (SELECT unnest(generate_series(TIMESTAMP '2024-01-01 00:00:00', TIMESTAMP '2024-01-30 23:00:00', INTERVAL 1 HOUR)) AS bucket) h
+SELECT h.bucket FROM (SELECT unnest(generate_series(a, b, INTERVAL 1 HOUR)) AS bucket FROM (SELECT min({_W}) AS a, max({_W}) AS b FROM events) r) h
 WHERE h.bucket NOT IN (SELECT {_W} FROM events WHERE event_type = 'error')
 """,
 )

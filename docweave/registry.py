@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from docweave.functions import records, text
 from docweave.operators import retrieval, search
-from docweave.plans import endpoints  # noqa: F401  its statements join the others
+from docweave.plans import endpoints, pages  # noqa: F401  their statements join the others
 from docweave.plans.analytics import STATEMENTS
 from docweave.sources import corpus, specs
 from docweave.streaming import windows
