@@ -2,7 +2,7 @@
 
 HTML is reduced with built-in regular expressions.  Splitting Markdown into
 sections and chunks is a fold over one document's lines, so it is one function per
-document whose rows are exploded by position.
+document whose rows are exploded by position; the oracle folds with recursive queries.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.functions.text import enriched
+from docweave.functions.text import BODY, INLINE, SPACING, duck, enriched
 from docweave.shipping import ship
 from docweave.tables import table
 
@@ -22,17 +22,21 @@ from docweave.tables import table
 MOST_TOKENS, LEAST_TOKENS, OVERLAP = 512, 50, 2
 
 _TAGS = [
-    (r"(?is)<(script|style|nav|footer)\b.*?</\1>", ""),
+    (r"(?is)<script\b.*?</script>|<style\b.*?</style>|<nav\b.*?</nav>|<footer\b.*?</footer>", ""),
     (r"(?s)<!--.*?-->", ""),
-    (r"(?is)<h1[^>]*>(.*?)</h1>", "\n\n# $1\n\n"),
-    (r"(?is)<h2[^>]*>(.*?)</h2>", "\n\n## $1\n\n"),
-    (r"(?is)<h3[^>]*>(.*?)</h3>", "\n\n### $1\n\n"),
+    *[(rf"(?is)<h{n}[^>]*>(.*?)</h{n}>", f"\n\n{'#' * n} $1\n\n") for n in range(1, 7)],
+    (r"""(?is)<pre[^>]*>[ \t\r\n]*<code[^>]*class=["'][^"']*language-([a-z0-9+#]+)[^"']*["'][^>]*>(.*?)</code>[ \t\r\n]*</pre>""", "\n\n```$1\n$2\n```\n\n"),
+    (r"(?is)<pre[^>]*>(?:[ \t\r\n]*<code[^>]*>)?(.*?)(?:</code>[ \t\r\n]*)?</pre>", "\n\n```\n$1\n```\n\n"),
+    (r"(?is)<code[^>]*>(.*?)</code>", "`$1`"),
+    (r"(?is)[ \t\r\n]*<t[hd](?:[ \t\r\n][^>]*)?>[ \t\r\n]*(.*?)[ \t\r\n]*</t[hd]>[ \t\r\n]*", "| $1 "),
+    (r"(?i)[ \t\r\n]*</tr>[ \t\r\n]*", " |\n"),
+    (r"(?i)<tr\b[^>]*>", ""),
     (r"(?is)<li[^>]*>(.*?)</li>", "\n- $1"),
     (r"""(?is)<a\b[^>]*href=["']([^"']*)["'][^>]*>(.*?)</a>""", "[$2]($1)"),
     (r"(?is)</?(b|strong)\b[^>]*>", "**"),
     (r"(?is)</?(i|em)\b[^>]*>", "*"),
-    (r"(?i)<br\s*/?>", "\n"),
-    (r"(?i)</?(p|div|article|section|ul|ol|table|tr)\b[^>]*>", "\n\n"),
+    (r"(?i)<br[ \t\r\n]*/?>", "\n"),
+    (r"(?i)</?(p|div|article|section|ul|ol|table|thead|tbody)\b[^>]*>", "\n\n"),
     (r"(?s)<[^>]+>", ""),
     ("&lt;", "<"),
     ("&gt;", ">"),
@@ -126,7 +130,8 @@ def chunks(text: str, most: int = MOST_TOKENS, least: int = LEAST_TOKENS) -> lis
             out.append((path, level, body, estimated_tokens(body), None))
         else:
             parts = pieces(body, most)
-            out += [(f"{path} (part {k})", level, p, estimated_tokens(p), body) for k, p in enumerate(parts, 1)]
+            several = len(parts) > 1
+            out += [(f"{path} (part {k})" if several else path, level, p, estimated_tokens(p), body if several else None) for k, p in enumerate(parts, 1)]
     merged: list[Chunk] = []
     for c in out:
         if merged and (b := merged[-1])[3] < least and parent_heading(b[0]) == parent_heading(c[0]) and b[3] + c[3] <= most:
@@ -219,9 +224,74 @@ def q_chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.min("token_count").alias("least"),
         F.max("token_count").alias("most"),
         F.round(F.avg("token_count"), 1).alias("mean"),
+        F.element_at(F.array_sort(F.collect_list("token_count")), (F.count(F.lit(1)) / 2).cast("int") + 1).alias("upper_median"),  # one document's chunks
         F.count("parent_content").alias("with_parent"),
     )
 
 
+_BLANKS = "E' \\t\\r\\n\\f\\v'"
+
+
+def _tokens_sql(text: str) -> str:
+    return f"CAST(greatest(1, floor(len(list_filter(regexp_split_to_array({text}, '[ \\t\\r\\n\\f\\v]+'), lambda w: w <> '')) * 1.3e0)) AS INTEGER)"
+
+
+#: sections of ten lines, blocks packed greedily, two blocks repeated, small neighbours merged: both folds as recursions
+_CHUNKS_SQL = f"""
+WITH RECURSIVE l AS (
+  SELECT doc_id, coalesce(source, 'none') AS title, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM documents
+), s AS (
+  SELECT *, {_tokens_sql("body")} AS tokens FROM (
+    SELECT doc_id, title, i // 10 AS part, trim(string_agg(line, chr(10) || chr(10) ORDER BY i), {_BLANKS}) AS body FROM l GROUP BY doc_id, title, i // 10) x WHERE body <> ''
+), b AS (
+  SELECT l.doc_id, l.i // 10 AS part, row_number() OVER (PARTITION BY l.doc_id, l.i // 10 ORDER BY l.i) AS k, trim(l.line, {_BLANKS}) AS block, {_tokens_sql("l.line")} AS cost
+  FROM l JOIN s ON s.doc_id = l.doc_id AND s.part = l.i // 10 AND s.tokens > {MOST_TOKENS} WHERE trim(l.line, {_BLANKS}) <> ''
+), packed AS (
+  SELECT doc_id, part, k, block, 1 AS piece, cost AS used FROM b WHERE k = 1
+  UNION ALL SELECT b.doc_id, b.part, b.k, b.block, CASE WHEN p.used + b.cost > {MOST_TOKENS} THEN p.piece + 1 ELSE p.piece END, CASE WHEN p.used + b.cost > {MOST_TOKENS} THEN b.cost ELSE p.used + b.cost END
+  FROM packed p JOIN b ON b.doc_id = p.doc_id AND b.part = p.part AND b.k = p.k + 1
+), own AS (
+  SELECT doc_id, part, piece, list(block ORDER BY k) AS blocks FROM packed GROUP BY doc_id, part, piece
+), cut AS (
+  SELECT doc_id, part, piece, count(*) OVER (PARTITION BY doc_id, part) AS n,
+    array_to_string(list_concat(coalesce(lag(blocks) OVER (PARTITION BY doc_id, part ORDER BY piece), [])[-{OVERLAP}:], blocks), chr(10) || chr(10)) AS content FROM own
+), c AS (
+  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY part, piece) AS seq, path, content, {_tokens_sql("content")} AS tokens, parent FROM (
+    SELECT doc_id, part, 0 AS piece, title || ' > Part ' || part * 10 AS path, body AS content, NULL AS parent FROM s WHERE tokens <= {MOST_TOKENS}
+    UNION ALL SELECT s.doc_id, s.part, cut.piece, s.title || ' > Part ' || s.part * 10 || CASE WHEN cut.n > 1 THEN ' (part ' || cut.piece || ')' ELSE '' END, cut.content, CASE WHEN cut.n > 1 THEN s.body END
+    FROM s JOIN cut ON cut.doc_id = s.doc_id AND cut.part = s.part) u
+), m AS (
+  SELECT doc_id, seq, 1 AS chunk, path, content, tokens, parent FROM c WHERE seq = 1
+  UNION ALL SELECT c.doc_id, c.seq, CASE WHEN joins THEN m.chunk ELSE m.chunk + 1 END, CASE WHEN joins AND m.path <> c.path THEN m.path || ' + ' || c.path WHEN joins THEN m.path ELSE c.path END,
+    CASE WHEN joins THEN m.content || chr(10) || chr(10) || c.content ELSE c.content END,
+    CASE WHEN joins THEN {_tokens_sql("m.content || chr(10) || c.content")} ELSE c.tokens END, CASE WHEN joins THEN coalesce(m.parent, c.parent) ELSE c.parent END
+  FROM m JOIN c ON c.doc_id = m.doc_id AND c.seq = m.seq + 1, LATERAL (SELECT m.tokens < {LEAST_TOKENS} AND m.tokens + c.tokens <= {MOST_TOKENS} AS joins) j
+), chunks AS (
+  SELECT doc_id, chunk - 1 AS chunk_index, path AS heading_path, 2 AS heading_level, content, tokens AS token_count, parent AS parent_content FROM (
+    SELECT *, row_number() OVER (PARTITION BY doc_id, chunk ORDER BY seq DESC) AS rn FROM m) r WHERE rn = 1
+)"""
+CHUNKS_SQL = f"{_CHUNKS_SQL} SELECT * FROM chunks"
+CHUNK_STATS_SQL = f"""{_CHUNKS_SQL}
+SELECT doc_id, count(*) AS total_chunks, CAST(sum(token_count) AS BIGINT) AS tokens, min(token_count) AS least, max(token_count) AS most, round(avg(token_count), 1) AS mean,
+  max(token_count) FILTER (WHERE nth = n // 2 + 1) AS upper_median, count(parent_content) AS with_parent
+FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY token_count) AS nth, count(*) OVER (PARTITION BY doc_id) AS n FROM chunks) x GROUP BY doc_id"""
+PREVIEW_SQL = f"{_CHUNKS_SQL} SELECT doc_id, string_agg(content, chr(10) || chr(10) ORDER BY chunk_index) AS markdown FROM chunks GROUP BY doc_id"
+_WORDS = "list_filter(regexp_split_to_array({}, '[ \\t\\r\\n\\f\\v]+'), lambda w: w <> '')"
+_CLEAN = f"""trim({duck(f"array_to_string(list_transform(string_split({duck('content', [INLINE[3]])}, '```'), lambda x, i: CASE WHEN i % 2 = 0 THEN '```' || x || CASE WHEN i < len(string_split({duck('content', [INLINE[3]])}, '```')) THEN '```' ELSE '' END ELSE {duck('x', BODY)} END), '')", SPACING)}, E' \\t\\r\\n')"""
+ENRICHED_SQL = f"""{_CHUNKS_SQL}, h AS (
+  SELECT c.doc_id, c.chunk_index, {_CLEAN} AS cleaned, '[' || c.heading_path || ']' || chr(10) || CASE WHEN c.doc_id % 3 = 0 THEN '[type: api_reference]' || chr(10) ELSE '' END
+    || CASE WHEN d.source IS NULL THEN '' ELSE '[entities: ' || array_to_string(list_filter(regexp_split_to_array(d.source, '[^A-Za-z0-9]+'), lambda w: w <> ''), ', ') || ']' || chr(10) END AS head
+  FROM chunks c JOIN documents d ON d.doc_id = c.doc_id)
+SELECT doc_id, chunk_index, CASE WHEN {_tokens_sql("head || cleaned")} > 768
+  THEN head || array_to_string(({_WORDS.format("cleaned")})[1:CAST(greatest(1, floor((768 - {_tokens_sql("head")}) / 1.3e0)) AS INTEGER)], ' ') ELSE head || cleaned END AS text FROM h"""
+HTML_SQL = f"SELECT page_id, trim({duck('html', _TAGS)}, E' \\n\\t') AS markdown FROM pages"
+
 QUERIES = {"html_to_markdown": q_html, "chunk_documents": q_chunks, "chunk_token_stats": q_chunk_stats, "markdown_sections": q_sections, "enrich_chunks": q_enriched, "markdown_preview": q_preview}
-ORACLES = {"markdown_sections": SECTIONS_SQL}
+ORACLES = {
+    "html_to_markdown": HTML_SQL,
+    "chunk_documents": CHUNKS_SQL,
+    "chunk_token_stats": CHUNK_STATS_SQL,
+    "markdown_sections": SECTIONS_SQL,
+    "enrich_chunks": ENRICHED_SQL,
+    "markdown_preview": PREVIEW_SQL,
+}

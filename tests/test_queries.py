@@ -48,6 +48,9 @@ def test_html(spark):
     first, second, third = (r.m for r in df.collect())
     assert first.startswith("# A") and "b **c**\nd &lt; [e](/u)" in first and "z" not in first and "x" not in first
     assert second is None and third == ""
+    rich = "<h5>E</h5><pre><code class='language-py'>x = 1</code></pre><p>a <code>b</code></p><table><tr><th>k</th><th>v</th></tr><tr><td> 1 </td><td>2</td></tr></table>"
+    got = spark.createDataFrame([(rich,)], "html string").select(corpus.html_to_markdown(F.col("html"))).first()[0]
+    assert got == "##### E\n\n```py\nx = 1\n```\n\na `b`\n\n| k | v |\n| 1 | 2 |"
 
 
 def test_sections():
@@ -62,6 +65,8 @@ def test_chunks():
     got = corpus.chunks(big)
     assert [c[0] for c in got] == [f"T (part {k})" for k in range(1, len(got) + 1)] and len(got) > 1
     assert all(c[4] for c in got) and got[1][2].startswith(got[0][2].split("\n\n")[-2])
+    whole = corpus.chunks("# T\n\n" + "w " * 900)  # one paragraph can't be cut: no part, no parent
+    assert [(c[0], c[3], c[4]) for c in whole] == [("T", 1170, None)]
     small = corpus.chunks("# A\n## x\none two\n## y\nthree\n# B\nfour")
     assert [c[0] for c in small] == ["A > x + A > y", "B"]
 
