@@ -197,18 +197,33 @@ def q_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", any_of(F.substring("text", 1, 500), NO_ANSWER).alias("no_answer"), cut.alias("incomplete"))
 
 
+def q_no_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By role, how many texts say that nothing was found."""
+    found = any_of(F.substring("text", 1, 500), NO_ANSWER)
+    return table(spark, sf_dir, "conversations").groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.count_if(found).alias("no_answer"))
+
+
+NO_ANSWER_SQL = f"""
+SELECT role, count(*) AS n, count(*) FILTER (WHERE regexp_matches(substr(text, 1, 500), {quoted("(?i)" + "|".join(f"(?:{p})" for p in NO_ANSWER))})) AS no_answer FROM conversations GROUP BY role"""
+
+
 ANSWERS_SQL = f"""
 SELECT conv_id, turn, regexp_matches(substr(text, 1, 500), {quoted("(?i)" + "|".join(f"(?:{p})" for p in NO_ANSWER))}) AS no_answer,
   length(text) >= 60 AND body <> '' AND ((len(string_split(body, '```')) - 1) % 2 = 1 OR NOT regexp_matches(body, {quoted(ENDING)})) AS incomplete
 FROM (SELECT conv_id, turn, text, regexp_replace(text, '[ \\t\\r\\n]+$', '') AS body FROM conversations) c"""
 
 
+#: chunks that the scope is read from; a document's lines are its chunks here
+SCOPE_CHUNKS = 20
+
+
 def _signals(words: list[str]) -> Column:
-    return sum((F.contains(F.lower("text"), F.lit(w)).cast("long") for w in words), F.lit(0).cast("long"))
+    head = F.lower(F.array_join(F.slice(F.split("text", "\n"), 1, SCOPE_CHUNKS), " "))
+    return sum((F.contains(head, F.lit(w)).cast("long") for w in words), F.lit(0).cast("long"))
 
 
 def q_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether a text describes a protocol or one vendor's product, by words in its source's name and in itself."""
+    """Whether a text describes a protocol or one vendor's product, by words in its source's name and in its first chunks."""
     named = F.coalesce(F.lower("source").rlike("|".join(re.escape(w) for w in PROTOCOL_WORDS)), F.lit(False))
     scope = F.when(named | ((F.col("p") >= 3) & (F.col("v") < 2)), "industry_protocol").when(F.col("v") >= 2, "vendor_specific").otherwise("unknown")
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", _signals(PROTOCOL_WORDS).alias("p"), _signals(VENDOR_WORDS).alias("v"))
@@ -216,14 +231,15 @@ def q_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _duck_signals(words: list[str]) -> str:
-    return " + ".join(f"CAST(contains(lower(text), {quoted(w)}) AS BIGINT)" for w in words)
+    return " + ".join(f"CAST(contains(head, {quoted(w)}) AS BIGINT)" for w in words)
 
 
 SCOPE_SQL = f"""
 SELECT doc_id, p AS protocol_words, v AS vendor_words, CASE
   WHEN {" OR ".join(f"coalesce(contains(lower(source), {quoted(w)}), false)" for w in PROTOCOL_WORDS)} OR (p >= 3 AND v < 2) THEN 'industry_protocol'
   WHEN v >= 2 THEN 'vendor_specific' ELSE 'unknown' END AS scope
-FROM (SELECT doc_id, source, {_duck_signals(PROTOCOL_WORDS)} AS p, {_duck_signals(VENDOR_WORDS)} AS v FROM documents) d"""
+FROM (SELECT doc_id, source, {_duck_signals(PROTOCOL_WORDS)} AS p, {_duck_signals(VENDOR_WORDS)} AS v
+  FROM (SELECT doc_id, source, lower(array_to_string((string_split(text, chr(10)))[1:{SCOPE_CHUNKS}], ' ')) AS head FROM documents) h) d"""
 
 
 def q_nfkc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -240,7 +256,26 @@ SIZES_SQL = f"""
 SELECT doc_id, CASE {" ".join(f"WHEN {_N} >= {1024**k} THEN printf('%.1f {u}', floor({_N} * 10 / {float(1024**k)}) / 10)" for k, u in [(4, "TB"), (3, "GB"), (2, "MB"), (1, "KB")])} ELSE ({_N}) || ' B' END AS size,
   CAST(DATE '2024-01-01' + to_months(CAST(doc_id % 24 AS INTEGER)) AS DATE) AS month FROM documents"""
 
+def q_headed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with front matter, some of it broken: bodies, and headings under their title, layer and topic."""
+    k = F.col("doc_id") % 4
+    head = F.format_string('---\ntitle: "%s"\nlayer: api\n%s---\n', "source", F.when(k == 0, "topic: 'Start here'\n").otherwise(""))
+    text = F.when(k < 2, F.concat(head, F.col("text"))).when(k == 2, F.concat(F.lit("---\nlayer: api\n"), F.col("text"))).otherwise(F.col("text"))
+    body, *values = front_matter(text, "title", "layer", "topic")
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL AND text NOT LIKE '%---%'").select("doc_id", body, *values)
+    path = F.when(F.col("doc_id") % 3 == 0, "Document").when(F.col("doc_id") % 3 == 1, "Preamble").otherwise("A > B")
+    heading = titled(path, F.coalesce("title", F.lit("untitled")), F.col("layer"), F.col("topic"))
+    return docs.select("doc_id", F.sha2("body", 256).alias("body_sha256"), heading.alias("heading"))
+
+
+HEADED_SQL = """
+SELECT doc_id, sha256(CASE doc_id % 4 WHEN 2 THEN '---' || chr(10) || 'layer: api' || chr(10) || text ELSE text END) AS body_sha256, CASE
+  WHEN doc_id % 4 = 0 THEN '[api] Start here' || CASE WHEN doc_id % 3 = 2 THEN ' > A > B' ELSE '' END WHEN doc_id % 4 = 1 THEN '[api]' || CASE WHEN doc_id % 3 = 2 THEN ' > A > B' ELSE '' END
+  WHEN doc_id % 3 = 0 THEN 'untitled' WHEN doc_id % 3 = 1 THEN 'untitled > Preamble' ELSE 'A > B' END AS heading FROM documents WHERE text IS NOT NULL AND text NOT LIKE '%---%'"""
+
 QUERIES = {
+    "front_matter_headings": q_headed,
+    "no_answer_classifier": q_no_answer,
     "clean_markdown_rules": q_clean,
     "endpoint_extract": q_endpoints,
     "answer_flags": q_answers,
@@ -248,4 +283,4 @@ QUERIES = {
     "unicode_nfkc": q_nfkc,
     "sizes_and_months": q_sizes,
 }
-ORACLES = {"clean_markdown_rules": CLEAN_SQL, "endpoint_extract": ENDPOINTS_SQL, "answer_flags": ANSWERS_SQL, "doc_scope": SCOPE_SQL, "sizes_and_months": SIZES_SQL}
+ORACLES = {"front_matter_headings": HEADED_SQL, "no_answer_classifier": NO_ANSWER_SQL, "clean_markdown_rules": CLEAN_SQL, "endpoint_extract": ENDPOINTS_SQL, "answer_flags": ANSWERS_SQL, "doc_scope": SCOPE_SQL, "sizes_and_months": SIZES_SQL}

@@ -58,8 +58,8 @@ SELECT event_type, n, round(100e0 * n / sum(n) OVER (), 1) AS pct FROM (
 add(
     "latency_percentiles",
     """
-SELECT event_type, round(percentile(value, 0.5), 6) AS p50, round(percentile(value, 0.75), 6) AS p75,
-  round(percentile(value, 0.9), 6) AS p90, round(percentile(value, 0.95), 6) AS p95 FROM {events} GROUP BY event_type
+SELECT event_type, round(q[0], 6) AS p50, round(q[1], 6) AS p75, round(q[2], 6) AS p90, round(q[3], 6) AS p95 FROM (
+  SELECT event_type, percentile(value, array(0.5, 0.75, 0.9, 0.95)) AS q FROM {events} GROUP BY event_type) p
 """,
     """
 SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.75), 6) AS p75,
@@ -279,11 +279,6 @@ SELECT doc_id, CASE WHEN length(text) = 0 THEN 0 ELSE CAST(greatest(1, floor(len
 )
 add("slug_products", "SELECT p_partkey, lower(regexp_replace(trim(p_name), '[^A-Za-z0-9]+', '-')) AS slug FROM {part}", "SELECT p_partkey, lower(regexp_replace(trim(p_name), '[^A-Za-z0-9]+', '-', 'g')) AS slug FROM part")
 add("normalised_name_match", "SELECT p_partkey, p_name FROM {part} WHERE replace(replace(replace(lower(p_name), ' ', ''), '-', ''), '_', '') LIKE '%redw%'")
-add(
-    "no_answer_classifier",
-    "SELECT role, count(*) AS n, count(*) FILTER (WHERE regexp_like(lower(substr(text, 1, 500)), 'not found|no information|cannot answer|unable to')) AS no_answer FROM {conversations} GROUP BY role",
-    "SELECT role, count(*) AS n, count(*) FILTER (WHERE regexp_matches(lower(substr(text, 1, 500)), 'not found|no information|cannot answer|unable to')) AS no_answer FROM conversations GROUP BY role",
-)
 add("content_hashes", "SELECT doc_id, sha2(text, 256) AS hash, substr(sha2(text, 256), 1, 12) AS short_hash FROM {documents}", "SELECT doc_id, sha256(text) AS hash, substr(sha256(text), 1, 12) AS short_hash FROM documents")
 add(
     "dedup_keep_first_hash",
