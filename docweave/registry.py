@@ -10,7 +10,7 @@ from docweave.functions import records, text
 from docweave.operators import retrieval, search
 from docweave.plans import endpoints, lifecycle, pages  # noqa: F401  their statements join the others
 from docweave.plans.analytics import STATEMENTS
-from docweave.sources import corpus, render, specs
+from docweave.sources import corpus, files, render, specs
 from docweave.streaming import windows
 from docweave.tables import plain, run_sql
 
@@ -23,8 +23,8 @@ def _run(sql: str) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    return {k: _run(s.sql) for k, s in STATEMENTS.items()} | retrieval.QUERIES | search.QUERIES | corpus.QUERIES | windows.QUERIES | lifecycle.QUERIES | text.QUERIES | records.QUERIES | specs.QUERIES | render.QUERIES
+    return {k: _run(s.sql) for k, s in STATEMENTS.items()} | retrieval.QUERIES | search.QUERIES | corpus.QUERIES | windows.QUERIES | lifecycle.QUERIES | text.QUERIES | records.QUERIES | specs.QUERIES | render.QUERIES | files.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: s.oracle or plain(s.sql) for k, s in STATEMENTS.items()} | retrieval.ORACLES | search.ORACLES | corpus.ORACLES | windows.ORACLES | lifecycle.ORACLES | text.ORACLES | records.ORACLES | specs.ORACLES | render.ORACLES
+    return {k: s.oracle or plain(s.sql) for k, s in STATEMENTS.items()} | retrieval.ORACLES | search.ORACLES | corpus.ORACLES | windows.ORACLES | lifecycle.ORACLES | text.ORACLES | records.ORACLES | specs.ORACLES | render.ORACLES | files.ORACLES
