@@ -116,8 +116,7 @@ def test_embedding_hot_groups_and_odd_vectors(spark):
         assert sorted(map(tuple, got), key=str) == want
 
 
-def test_embedding_cores_are_counted_without_comparing(spark, monkeypatch):
-    monkeypatch.setattr(embedding_neardup, "BLOCK", 50)
+def test_embedding_cores_are_counted_without_comparing(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(2, 24))
     rows = [(i, (base[i % 2] + rng.normal(size=24) * (0.02 if i % 5 else 0.25)).tolist()) for i in range(1500)] + [(9, [1.0, 2.0]), (8, [2.0, 4.1])]
