@@ -5,8 +5,7 @@ path starts with the rule's.  The longest fitting rule wins, counted in
 characters of host and path; of equal ones the longer host, then block.  A url
 that no rule fits gets ``default``.
 
-The rules are compiled once into nested dicts and shipped with the function; a
-list whose text exceeds ``TRIE_BYTES`` is refused here and belongs in
+The rules are compiled once into nested dicts and broadcast; a list whose text exceeds ``TRIE_BYTES`` is refused here and belongs in
 ``judge_by_join``, which looks the same rules up by a join and needs no bound.
 
 Null urls and urls without ``://`` have an empty host and path and so fit no
@@ -90,11 +89,12 @@ def judge(df: DataFrame, rules: Iterable[Rule], url_col: str = "url", default: s
     rules = list(rules)
     if sum(len(h) + len(p) for _, h, p in rules) > TRIE_BYTES:
         raise ValueError("too many rules for a broadcast trie; use judge_by_join")
-    trie = Trie(rules)
+    trie = df.sparkSession.sparkContext.broadcast(Trie(rules))
 
     @F.pandas_udf("rule string, verdict string")
     def fitting(host: pd.Series, path: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([trie.longest(h, p) for h, p in zip(host, path, strict=True)], columns=["rule", "verdict"], index=host.index)
+        longest = trie.value.longest
+        return pd.DataFrame([longest(h, p) for h, p in zip(host, path, strict=True)], columns=["rule", "verdict"], index=host.index)
 
     host, path = host_and_path(F.col(url_col))
     won = unused(df, "_won")
