@@ -203,5 +203,85 @@ SELECT l_suppkey, string_agg(phase, ',' ORDER BY phase) AS phases, max(CASE WHEN
   SELECT DISTINCT l_suppkey, phase, n FROM (
     SELECT l_suppkey, unnest(['step' || l_partkey % 7, l_returnflag]) AS phase, count(*) OVER (PARTITION BY l_suppkey) AS n FROM lineitem) u) d GROUP BY l_suppkey"""
 
-QUERIES = {"lifecycle_batches": q_batches, "hierarchical_merge": q_merged}
-ORACLES = {"lifecycle_batches": BATCHES_SQL, "hierarchical_merge": MERGED_SQL}
+# skeletons of clients -------------------------------------------------------------------------------------
+
+#: by language: first lines, a setting, a remark, a call without and with a body, last lines; @n name, @v value, @m method, @e endpoint, @b body
+LANGUAGES: dict[str, tuple[str, str, str, str, str, str]] = {
+    "python": ("import httpx\n", '@n = "@v"', "# @v", 'response = client.request("@m", "@e", headers=headers)', 'response = client.request("@m", "@e", headers=headers, json=@b)', "client.close()"),
+    "curl": ("#!/bin/sh\n", '@n="@v"', "# @v", 'curl -X @m "@e"', "curl -X @m \"@e\" -d '@b'", ""),
+    "javascript": ("const headers = {};\n", 'const @n = "@v";', "// @v", 'await fetch("@e", { method: "@m", headers });', 'await fetch("@e", { method: "@m", headers, body: JSON.stringify(@b) });', ""),
+    "java": ("HttpClient client = HttpClient.newHttpClient();\n", 'String @n = "@v";', "// @v", 'client.send(call("@m", "@e", null), asText);', 'client.send(call("@m", "@e", @b), asText);', ""),
+    "csharp": ("using var client = new HttpClient();\n", 'var @n = "@v";', "// @v", 'await client.SendAsync(Call("@m", "@e", null));', 'await client.SendAsync(Call("@m", "@e", @b));', ""),
+    "go": ("package main\n", 'const @n = "@v"', "// @v", 'call(client, "@m", "@e", nil)', 'call(client, "@m", "@e", @b)', ""),
+    "cpp": ("Client client;\n", 'const std::string @n = "@v";', "// @v", 'client.call("@m", "@e");', 'client.call("@m", "@e", @b);', ""),
+}
+
+
+def _filled(template: str, **values: Column) -> Column:
+    out = F.lit(template)
+    for k, v in values.items():
+        out = F.replace(out, F.lit(f"@{k}"), v)
+    return out
+
+
+def skeletons(phases: DataFrame, settings: DataFrame, doc_col: str) -> DataFrame:
+    """(doc, language, code): a client that makes a document's calls in order, with its settings first.
+
+    phases: (doc, step, action, method, endpoint, body or null, notes or null); a phase without an endpoint is a
+    remark.  settings: (doc, name, value).  One document's phases meet in one row.
+    """
+    steps = phases.groupBy(doc_col).agg(F.array_sort(F.collect_list(F.struct("step", "action", "method", "endpoint", "body", "notes"))).alias("steps"))
+    known = settings.groupBy(doc_col).agg(F.array_sort(F.collect_list(F.struct("name", "value"))).alias("known"))
+    rows = steps.join(known, doc_col, "left")
+    out = None
+    for language, (head, setting, remark, call, with_body, foot) in LANGUAGES.items():
+        first = F.transform(F.coalesce("known", F.array().cast("array<struct<name: string, value: string>>")), lambda k: _filled(setting, n=k["name"], v=k["value"]))
+
+        def one(p: Column) -> Column:
+            title = _filled(remark, v=F.concat(F.lit("Step "), p["step"], F.lit(": "), p["action"]))
+            note = F.when(p["notes"].isNotNull(), _filled(remark, v=p["notes"]))
+            plain = _filled(call, m=p["method"], e=p["endpoint"])
+            sent = F.when(p["body"].isNotNull() & p["method"].isin("POST", "PUT", "PATCH"), _filled(with_body, m=p["method"], e=p["endpoint"], b=p["body"])).otherwise(plain)
+            return F.concat_ws("\n", title, note, F.when(p["endpoint"].isNotNull(), sent), F.lit(""))
+
+        code = F.concat_ws("\n", F.lit(head), F.when(F.size(first) > 0, F.concat(F.array_join(first, "\n"), F.lit("\n"))), F.array_join(F.transform("steps", one), "\n"), F.lit(foot))
+        own = rows.select(doc_col, F.lit(language).alias("language"), code.alias("code"))
+        out = own if out is None else out.union(own)
+    return out
+
+
+def q_skeletons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem")
+    method = F.get(F.array(*map(F.lit, ("GET", "POST", "DELETE", "PUT"))), (F.col("l_linenumber") % 4).cast("int"))
+    phases = lines.select(
+        "l_orderkey", F.col("l_linenumber").alias("step"), F.concat(F.lit("step"), F.col("l_partkey") % 7).alias("action"), method.alias("method"),
+        F.when(F.col("l_tax") < 0.07, F.concat(F.lit("/items/"), F.col("l_partkey"))).alias("endpoint"), F.when(F.col("l_returnflag") == "A", "{}").alias("body"), F.when(F.col("l_linenumber") == 2, "second").alias("notes"),
+    )
+    settings = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"), F.lit("BASE_URL").alias("name"), F.concat(F.lit("http://h"), F.col("o_custkey")).alias("value"))
+    return skeletons(phases, settings, "l_orderkey").select("l_orderkey", "language", F.sha2("code", 256).alias("code_sha256"))
+
+
+def _skeletons_sql() -> str:
+    def filled(template: str, **values: str) -> str:
+        out = "'" + template.replace("'", "''") + "'"
+        for k, v in values.items():
+            out = f"replace({out}, '@{k}', {v})"
+        return out
+
+    def one(language: str) -> str:
+        head, setting, remark, call, body, foot = LANGUAGES[language]
+        said = filled(remark, v="'Step ' || step || ': ' || action")
+        sent = f"CASE WHEN body AND method IN ('POST', 'PUT') THEN {filled(body, m='method', e='endpoint', b=chr(39) + '{}' + chr(39))} ELSE {filled(call, m='method', e='endpoint')} END || chr(10)"
+        return f"""
+SELECT l_orderkey, '{language}' AS language, sha256({filled(head)} || chr(10) || CASE WHEN value IS NULL THEN '' ELSE {filled(setting, n="'BASE_URL'", v="value")} || chr(10) || chr(10) END ||
+  string_agg({said} || chr(10) || CASE WHEN step = 2 THEN {filled(remark, v="'second'")} || chr(10) ELSE '' END || CASE WHEN endpoint IS NULL THEN '' ELSE {sent} END, chr(10) ORDER BY step, action, method, endpoint NULLS FIRST, body) || chr(10) || {filled(foot)}) AS code_sha256
+FROM p GROUP BY l_orderkey, value"""
+
+    return f"""
+WITH p AS (SELECT l.l_orderkey, l_linenumber AS step, 'step' || l_partkey % 7 AS action, ['GET', 'POST', 'DELETE', 'PUT'][l_linenumber % 4 + 1] AS method, CASE WHEN l_tax < 0.07 THEN '/items/' || l_partkey END AS endpoint,
+  l_returnflag = 'A' AS body, CASE WHEN o.o_orderstatus = 'F' THEN 'http://h' || o.o_custkey END AS value FROM lineitem l LEFT JOIN orders o ON o.o_orderkey = l.l_orderkey)
+{" UNION ALL ".join(map(one, LANGUAGES))}"""
+
+
+QUERIES = {"client_skeletons": q_skeletons, "lifecycle_batches": q_batches, "hierarchical_merge": q_merged}
+ORACLES = {"client_skeletons": _skeletons_sql(), "lifecycle_batches": BATCHES_SQL, "hierarchical_merge": MERGED_SQL}
