@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import ann, bpe, chat_template, embedding_neardup, language_id, line_dedup, packing, pii, simhash, url_filter
+from docweave.llm import ann, bpe, chat_template, embedding_neardup, hard_negatives, importance, language_id, line_dedup, packing, pii, simhash, substring_dedup, url_filter
 from docweave.shipping import ship
 
 
@@ -149,6 +149,111 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said.select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, wanted = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    found = importance.scores(docs, wanted, percent=10, ngram=1, buckets=10_000, min_words=20, seed="2024")
+    return found.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+#: CRC-32 by its definition: a table from the polynomial, then byte by byte
+OP11_SQL = r"""
+WITH RECURSIVE steps AS (
+  SELECT i AS byte, i::BIGINT AS c, 0 AS k FROM range(256) r(i)
+  UNION ALL SELECT byte, CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END, k + 1 FROM steps WHERE k < 8
+), crc_table AS (
+  SELECT list(c ORDER BY byte) AS tab FROM steps WHERE k = 8
+), texts AS (
+  SELECT 'd' AS side, row_number() OVER () AS row, doc_id AS id, text FROM documents
+  UNION ALL SELECT 'b', row_number() OVER (), item_id, text FROM benchmark
+), split AS (
+  SELECT side, row, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM texts
+), words AS (
+  SELECT side, row, unnest(ws) AS w FROM split
+), vocabulary AS (
+  SELECT DISTINCT w FROM words
+), hashed AS (
+  SELECT w, xor(4294967295, list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(range(1, 1 + octet_length(encode(w))), lambda i: ('0x' || substr(hex(encode(w)), 2 * i - 1, 2))::BIGINT)),
+    lambda c, b: xor(c // 256, tab[1 + (xor(c, b) & 255)]))) % 10000 AS bucket
+  FROM vocabulary, crc_table
+), bucketed AS (
+  SELECT side, row, bucket FROM words JOIN hashed USING (w)
+), totals AS (
+  SELECT bucket, count(*) FILTER (WHERE side = 'd') AS s, count(*) FILTER (WHERE side = 'b') AS t FROM bucketed GROUP BY bucket
+), sums AS (
+  SELECT sum(s)::DOUBLE AS all_s, sum(t)::DOUBLE AS all_t FROM totals
+), gain AS (
+  SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (all_s + 10000) / ((s + 1)::DOUBLE * (all_t + 10000))))::BIGINT AS g FROM totals, sums
+), weighed AS (
+  SELECT row, count(*) AS n, sum(g)::BIGINT AS weight FROM bucketed JOIN gain USING (bucket) WHERE side = 'd' GROUP BY row
+), scored AS (
+  SELECT s.row, id AS doc_id, len(ws)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+    coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM split s LEFT JOIN weighed w ON s.row = w.row WHERE side = 'd'
+), placed AS (
+  SELECT row, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM scored WHERE n_features >= 20 AND doc_id IS NOT NULL
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * n // 100 THEN place END AS rank
+FROM scored LEFT JOIN placed USING (row)
+"""
+
+
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"), width=13)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP12_SQL = r"""
+WITH rows AS (
+  SELECT row_number() OVER () AS row, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-
+]+'), lambda w: w <> '') AS ws FROM documents
+), windows AS (
+  SELECT row, doc_id, pos, array_to_string(ws[pos:pos + 12], ' ') AS words FROM (SELECT row, doc_id, ws, unnest(range(1, len(ws) - 11)) AS pos FROM rows WHERE doc_id IS NOT NULL)
+), smallest AS (
+  SELECT words, min(doc_id) AS least FROM windows GROUP BY words HAVING min(doc_id) < max(doc_id)
+), covered AS (
+  SELECT DISTINCT row, pos FROM (
+    SELECT row, unnest(range(pos, pos + 13)) AS pos FROM windows JOIN smallest USING (words) WHERE least < doc_id
+  )
+), each AS (
+  SELECT row, unnest(ws) AS w, generate_subscripts(ws, 1) AS pos FROM rows
+), kept AS (
+  SELECT e.row, count(*) AS n_kept, string_agg(w, ' ' ORDER BY e.pos) AS text FROM each e ANTI JOIN covered c ON e.row = c.row AND e.pos = c.pos GROUP BY e.row
+)
+SELECT doc_id, len(ws)::BIGINT AS n_words, len(ws) - coalesce(n_kept, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM rows LEFT JOIN kept ON rows.row = kept.row
+"""
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, F.pmod(F.col("label") + 1, F.lit(10))).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label, positives=5, negatives=10, low=30, high=90, scale=256)
+
+
+OP13_SQL = """
+WITH rows AS (
+  SELECT row_number() OVER () AS row, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), pairs AS (
+  SELECT a.row AS anchor, a.vec_id AS anchor_id, b.row, b.vec_id, a.label = b.label AS same,
+    coalesce(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i])), 0)::BIGINT AS score
+  FROM rows a JOIN rows b ON a.vec_id % 100 = 0 AND a.row <> b.row AND len(a.v) = len(b.v)
+), positives AS (
+  SELECT anchor, anchor_id, vec_id AS positive_id, score AS positive_score, place FROM (
+    SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id, row) AS place FROM pairs WHERE same
+  ) WHERE place <= 5
+), negatives AS (
+  SELECT p.anchor_id, positive_id, vec_id AS negative_id, positive_score, score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor, place ORDER BY score DESC, vec_id, row) AS rank
+  FROM positives p JOIN pairs n ON p.anchor = n.anchor AND NOT n.same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM negatives WHERE rank <= 10
+"""
+
+
 def queries() -> dict:
     return {
         f.__name__: f
@@ -163,9 +268,12 @@ def queries() -> dict:
             op8_pii_spans,
             op9_ann_search,
             op10_language_id,
+            op11_importance_resampling,
+            op12_substring_dedup,
+            op13_hard_negatives,
         )
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filter": OP4_SQL, "op6_line_dedup": OP6_SQL, "op7_chat_format": OP7_SQL}
+    return {"op4_url_filter": OP4_SQL, "op6_line_dedup": OP6_SQL, "op7_chat_format": OP7_SQL, "op11_importance_resampling": OP11_SQL, "op12_substring_dedup": OP12_SQL, "op13_hard_negatives": OP13_SQL}
