@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from docweave.functions import records, text
-from docweave.operators import retrieval, search
-from docweave.plans import endpoints, lifecycle, pages  # noqa: F401  their statements join the others
+from docweave.operators import fulltext, retrieval, search, similarity, vector_index
+from docweave.plans import endpoints, lifecycle, pages, sketches  # noqa: F401  their statements join the others
 from docweave.plans.analytics import STATEMENTS
-from docweave.sources import corpus, files, render, specs
-from docweave.streaming import windows
+from docweave.sources import corpus, files, html, render, specs
+from docweave.streaming import ingest, state, windows
 from docweave.tables import plain, run_sql
 
 FLAGSHIP = "hybrid_rrf_search"
@@ -22,9 +22,19 @@ def _run(sql: str) -> Query:
     return lambda spark, sf_dir: run_sql(spark, sf_dir, sql)
 
 
+#: modules with queries of their own, beside the shared statements
+MODULES = (retrieval, search, similarity, vector_index, fulltext, corpus, windows, state, ingest, lifecycle, sketches, text, records, specs, render, files, html)
+
+
 def queries() -> dict[str, Query]:
-    return {k: _run(s.sql) for k, s in STATEMENTS.items()} | retrieval.QUERIES | search.QUERIES | corpus.QUERIES | windows.QUERIES | lifecycle.QUERIES | text.QUERIES | records.QUERIES | specs.QUERIES | render.QUERIES | files.QUERIES
+    out = {k: _run(s.sql) for k, s in STATEMENTS.items()}
+    for module in MODULES:
+        out |= module.QUERIES
+    return out
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: s.oracle or plain(s.sql) for k, s in STATEMENTS.items()} | retrieval.ORACLES | search.ORACLES | corpus.ORACLES | windows.ORACLES | lifecycle.ORACLES | text.ORACLES | records.ORACLES | specs.ORACLES | render.ORACLES | files.ORACLES
+    out = {k: s.oracle or plain(s.sql) for k, s in STATEMENTS.items()}
+    for module in MODULES:
+        out |= module.ORACLES
+    return out
