@@ -121,8 +121,8 @@ WITH a AS (SELECT url, '  ' || url || ' ' AS n, {_SQL_GRAMS} AS g FROM (SELECT D
 SELECT a.url, b.url AS other, round(len(list_intersect(a.g, b.g))::DOUBLE / len(list_distinct(list_concat(a.g, b.g))), 6) AS similarity FROM a JOIN a b ON a.url < b.url
 WHERE len(list_intersect(a.g, b.g))::DOUBLE / len(list_distinct(list_concat(a.g, b.g))) > {URL_THRESHOLD}e0"""
 
-QUERIES = {"resolve_all_products": q_resolved, "similar_urls": q_similar_urls}
-ORACLES = {"resolve_all_products": RESOLVED_SQL, "similar_urls": URLS_SQL}
+QUERIES = {"resolve_product": q_resolved, "similar_urls": q_similar_urls}
+ORACLES = {"resolve_product": RESOLVED_SQL, "similar_urls": URLS_SQL}
 
 
 def least_overlap(a: int, b: int, threshold: float) -> int:

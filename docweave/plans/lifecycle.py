@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docweave.plans.analytics import add
-from docweave.tables import table
+from docweave.plans.analytics import STATEMENTS, add
+from docweave.scratch import saved
+from docweave.tables import plain, run_sql, table
 
 #: words of headings that every batch needs: fixed values
 SHARED = [
@@ -114,6 +115,37 @@ SELECT p.p_partkey, CASE WHEN coalesce(i.wrong, 0) > 0 THEN '' ELSE p.p_name END
 )
 
 
+#: what the checks read: derived from the order lines once, as tables of a few columns
+_DERIVED = ("phases", "known", "docs")
+
+
+def _checked(key: str):
+    """The statement over the derived tables, so that its many rules don't parse the order lines again and again."""
+    parts = dict(zip(("phases", "known", "covered", "docs"), (_part(n) for n in ("phases", "known", "covered", "docs")), strict=True))
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        held = {n: saved(run_sql(spark, sf_dir, parts[n]), n) for n in _DERIVED}
+        sql = STATEMENTS[key].sql
+        for n in _DERIVED:
+            sql = sql.replace(parts[n], f"SELECT * FROM {{{n}}}")
+        return spark.sql(sql, **held)
+
+    return run
+
+
+def _part(name: str) -> str:
+    """The body of a named part of ``_INPUT``."""
+    begin = _INPUT.index(f"{name} AS (") + len(f"{name} AS (")
+    depth, at = 1, begin
+    while depth:
+        depth += (_INPUT[at] == "(") - (_INPUT[at] == ")")
+        at += 1
+    return _INPUT[begin : at - 1]
+
+
+CHECKS = ("lifecycle_checks", "lifecycle_cross_checks", "lifecycle_enum_hints")
+
+
 # batches by top heading -------------------------------------------------------------------------------
 
 
@@ -177,24 +209,27 @@ UNION ALL SELECT doc_id, CAST(unnest(range(0, last + 1)) AS BIGINT), -1, CAST(sh
 # merging -------------------------------------------------------------------------------------------------
 
 
-def merged(items: DataFrame, key: str, order: str, value: str, rounds: int) -> DataFrame:
+def merged(items: DataFrame, key: str, order: str, value: str) -> DataFrame:
     """(key, value, level): the items of a key merged ten at a time, in order, until one is left.
 
     ``value`` is an array; a merge keeps each entry once.  A batch of one goes on as it is.
-    rounds bounds the loop: 10 ** rounds items a key.
+    There are as many rounds as the key with the most items needs.
     """
+    most = items.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     own = Window.partitionBy(key).orderBy(order)
     level = items.select(key, (F.row_number().over(own) - 1).alias("i"), F.array_distinct(value).alias(value), F.lit(0).alias("level"))
-    for k in range(1, rounds + 1):
+    k = 0
+    while most > 1:
+        k, most = k + 1, -(-most // MERGED)
         batch = F.floor(F.col("i") / MERGED).cast("int")
         joined = F.array_sort(F.array_distinct(F.flatten(F.collect_list(value))))  # ten arrays
         level = level.groupBy(key, batch.alias("_b")).agg(joined.alias(value), F.when(F.count(F.lit(1)) > 1, k).otherwise(F.max("level")).alias("level")).withColumnRenamed("_b", "i")
-    return level.select(key, value, "level")
+    return level.select(key, F.array_sort(value).alias(value), "level")
 
 
 def q_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select("l_suppkey", F.struct("l_orderkey", "l_linenumber").alias("at"), F.array(F.concat(F.lit("step"), (F.col("l_partkey") % 7).cast("string")), F.col("l_returnflag")).alias("phases"))
-    out = merged(lines, "l_suppkey", "at", "phases", 7)
+    out = merged(lines, "l_suppkey", "at", "phases")
     return out.select("l_suppkey", F.array_join("phases", ",").alias("phases"), "level")
 
 
@@ -233,7 +268,7 @@ def skeletons(phases: DataFrame, settings: DataFrame, doc_col: str) -> DataFrame
     steps = phases.groupBy(doc_col).agg(F.array_sort(F.collect_list(F.struct("step", "action", "method", "endpoint", "body", "notes"))).alias("steps"))
     known = settings.groupBy(doc_col).agg(F.array_sort(F.collect_list(F.struct("name", "value"))).alias("known"))
     rows = steps.join(known, doc_col, "left")
-    out = None
+    codes = []
     for language, (head, setting, remark, call, with_body, foot) in LANGUAGES.items():
         first = F.transform(F.coalesce("known", F.array().cast("array<struct<name: string, value: string>>")), lambda k: _filled(setting, n=k["name"], v=k["value"]))
 
@@ -245,9 +280,8 @@ def skeletons(phases: DataFrame, settings: DataFrame, doc_col: str) -> DataFrame
             return F.concat_ws("\n", title, note, F.when(p["endpoint"].isNotNull(), sent), F.lit(""))
 
         code = F.concat_ws("\n", F.lit(head), F.when(F.size(first) > 0, F.concat(F.array_join(first, "\n"), F.lit("\n"))), F.array_join(F.transform("steps", one), "\n"), F.lit(foot))
-        own = rows.select(doc_col, F.lit(language).alias("language"), code.alias("code"))
-        out = own if out is None else out.union(own)
-    return out
+        codes.append(F.struct(F.lit(language).alias("language"), code.alias("code")))
+    return rows.select(doc_col, F.explode(F.array(*codes)).alias("c")).select(doc_col, "c.*")  # all languages from one row
 
 
 def q_skeletons(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -283,5 +317,5 @@ WITH p AS (SELECT l.l_orderkey, l_linenumber AS step, 'step' || l_partkey % 7 AS
 {" UNION ALL ".join(map(one, LANGUAGES))}"""
 
 
-QUERIES = {"client_skeletons": q_skeletons, "lifecycle_batches": q_batches, "hierarchical_merge": q_merged}
-ORACLES = {"client_skeletons": _skeletons_sql(), "lifecycle_batches": BATCHES_SQL, "hierarchical_merge": MERGED_SQL}
+QUERIES = {k: _checked(k) for k in CHECKS} | {"client_skeletons": q_skeletons, "lifecycle_batches": q_batches, "hierarchical_merge": q_merged}
+ORACLES = {k: plain(STATEMENTS[k].sql) for k in CHECKS} | {"client_skeletons": _skeletons_sql(), "lifecycle_batches": BATCHES_SQL, "hierarchical_merge": MERGED_SQL}

@@ -5,7 +5,12 @@ The same conventions as in analytics: one statement for both engines where they
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docweave.operators.numbering import numbered
 from docweave.plans.analytics import AS_OF, add
+from docweave.tables import plain, table
 
 # pages ---------------------------------------------------------------------------------------------
 
@@ -129,7 +134,7 @@ FROM r LEFT JOIN u ON u.l_orderkey = r.document GROUP BY r.product
 add(
     "lifecycle_prefix",
     """
-SELECT h.l_partkey AS product, concat('--- API Integration Context (', p.p_name, ') ---', chr(10), w.warnings, chr(10), '---') AS prefix FROM (SELECT DISTINCT l_partkey FROM {lineitem} WHERE l_orderkey < 200) h
+SELECT h.l_partkey AS product, concat('--- API Integration Context (', p.p_name, ') ---', chr(10), w.warnings, chr(10), '---') AS prefix FROM (SELECT DISTINCT l_partkey FROM {lineitem}) h
 JOIN {part} p ON p.p_partkey = h.l_partkey JOIN (
   SELECT l_partkey, string_agg(concat('WARNING: order ', CAST(l_orderkey AS VARCHAR(12))), chr(10)) AS warnings FROM (
     SELECT l_partkey, l_orderkey FROM (SELECT l_partkey, l_orderkey, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) AS rn FROM {lineitem}) n WHERE rn = 1) f GROUP BY l_partkey) w ON w.l_partkey = h.l_partkey
@@ -139,15 +144,48 @@ JOIN {part} p ON p.p_partkey = h.l_partkey JOIN (
 # predicates, paging and sets --------------------------------------------------------------------------
 
 add("rerank_threshold", "SELECT event_id, value FROM {events} WHERE CASE WHEN event_type = 'view' THEN value / 100e0 >= 0.3 ELSE value / 100e0 >= 0.35 END")
-add("scope_conflicts", "SELECT a.o_orderkey AS wanted, min(b.o_orderkey) AS conflicting FROM {orders} a JOIN (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_custkey END AS scope FROM {orders} WHERE o_orderstatus = 'P') b ON b.scope = a.o_custkey OR b.scope IS NULL WHERE a.o_orderstatus = 'P' AND b.o_orderkey <> a.o_orderkey GROUP BY a.o_orderkey")
+add(
+    "scope_conflicts",  # two candidates a scope are enough: the smallest, and the next for the row that is the smallest itself
+    """
+WITH p AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_custkey END AS scope FROM {orders} WHERE o_orderstatus = 'P'),
+least_two AS (
+  SELECT scope, min(CASE WHEN n = 1 THEN o_orderkey END) AS k1, min(CASE WHEN n = 2 THEN o_orderkey END) AS k2 FROM (
+    SELECT scope, o_orderkey, row_number() OVER (PARTITION BY scope ORDER BY o_orderkey) AS n FROM p WHERE scope IS NOT NULL) r WHERE n <= 2 GROUP BY scope
+), everywhere AS (
+  SELECT min(o_orderkey) AS k1, min(CASE WHEN o_orderkey > (SELECT min(o_orderkey) FROM p WHERE scope IS NULL) THEN o_orderkey END) AS k2 FROM p WHERE scope IS NULL
+)
+SELECT wanted, least(coalesce(own, others), coalesce(others, own)) AS conflicting FROM (
+  SELECT a.o_orderkey AS wanted, CASE WHEN s.k1 = a.o_orderkey THEN s.k2 ELSE s.k1 END AS own, CASE WHEN e.k1 = a.o_orderkey THEN e.k2 ELSE e.k1 END AS others
+  FROM p a LEFT JOIN least_two s ON s.scope = a.o_custkey CROSS JOIN everywhere e) c WHERE coalesce(own, others) IS NOT NULL""",
+    plain(
+        "SELECT a.o_orderkey AS wanted, min(b.o_orderkey) AS conflicting FROM {orders} a JOIN (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_custkey END AS scope FROM {orders} WHERE o_orderstatus = 'P') b ON b.scope = a.o_custkey OR b.scope IS NULL WHERE a.o_orderstatus = 'P' AND b.o_orderkey <> a.o_orderkey GROUP BY a.o_orderkey"
+    ),
+)
 add("dimension_filter_join", "SELECT e.event_type, count(*) AS n, round(sum(e.value), 2) AS total FROM {events} e JOIN {customer} c ON c.c_custkey = e.user_id JOIN {nation} n ON n.n_nationkey = c.c_nationkey WHERE n.n_regionkey = 1 GROUP BY e.event_type")
 add("keyset_page", "SELECT doc_id, source FROM {documents} WHERE doc_id > 57 ORDER BY doc_id LIMIT 50")
-add(
-    "keyset_batches",
-    "SELECT batch, min(doc_id) AS first_id, max(doc_id) AS last_id, count(*) AS n FROM (SELECT doc_id, CAST(floor((row_number() OVER (ORDER BY doc_id) - 1) / 100e0) AS BIGINT) AS batch FROM {documents}) b GROUP BY batch",
+KEYSET_SQL = plain(
+    "SELECT batch, min(doc_id) AS first_id, max(doc_id) AS last_id, count(*) AS n FROM (SELECT doc_id, CAST(floor((row_number() OVER (ORDER BY doc_id) - 1) / 100e0) AS BIGINT) AS batch FROM {documents}) b GROUP BY batch"
 )
+
+
+def q_keyset_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = numbered(table(spark, sf_dir, "documents").select("doc_id"), ["doc_id"])
+    return rows.groupBy(F.floor(F.col("number") / 100).cast("long").alias("batch")).agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.count(F.lit(1)).alias("n"))
+
+
 add("random_sample", "SELECT doc_id, rated FROM (SELECT d.doc_id, l.doc_id IS NOT NULL AS rated, md5(concat('seed-7-', CAST(d.doc_id AS VARCHAR(20)))) AS draw FROM {documents} d LEFT JOIN {labels} l ON l.doc_id = d.doc_id) s ORDER BY CASE WHEN rated THEN 0 ELSE 1 END, draw LIMIT 40")
-add("list_concatenation", "SELECT event_id, origin, row_number() OVER (ORDER BY list, pos) AS pos FROM (SELECT event_id, 'hit' AS origin, 0 AS list, row_number() OVER (ORDER BY value DESC, event_id) AS pos FROM {events} WHERE event_type = 'view' AND value > 90 UNION ALL SELECT event_id, 'related', 1, row_number() OVER (ORDER BY value DESC, event_id) FROM {events} WHERE event_type = 'click' AND value > 90) u")
+LISTS_SQL = plain(
+    "SELECT event_id, origin, row_number() OVER (ORDER BY list, pos) AS pos FROM (SELECT event_id, 'hit' AS origin, 0 AS list, row_number() OVER (ORDER BY value DESC, event_id) AS pos FROM {events} WHERE event_type = 'view' AND value > 90 UNION ALL SELECT event_id, 'related', 1, row_number() OVER (ORDER BY value DESC, event_id) FROM {events} WHERE event_type = 'click' AND value > 90) u"
+)
+
+
+def q_list_concatenation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits, then related ones, each list by value."""
+    events = table(spark, sf_dir, "events").where("event_type IN ('view', 'click') AND value > 90")
+    rows = events.select("event_id", "value", F.when(F.col("event_type") == "view", "hit").otherwise("related").alias("origin"))
+    return numbered(rows, ["origin", F.desc("value"), "event_id"]).select("event_id", "origin", (F.col("number") + 1).alias("pos"))
+
+
 add("set_operations", "SELECT 'union' AS op, count(*) AS n FROM (SELECT o_custkey FROM {orders} UNION SELECT c_custkey FROM {customer}) u UNION ALL SELECT 'intersect', count(*) FROM (SELECT o_custkey FROM {orders} INTERSECT SELECT c_custkey FROM {customer} WHERE c_acctbal > 0) i UNION ALL SELECT 'except', count(*) FROM (SELECT c_custkey FROM {customer} EXCEPT SELECT o_custkey FROM {orders}) e")
 add("window_frames", "SELECT event_id, lag(value, 1, 0e0) OVER w AS before, lead(value) OVER w AS after, ntile(4) OVER w AS quarter, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS mean_of_three FROM {events} WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
 add("usage_cube", "SELECT event_type, team, count(*) AS n, grouping(event_type) AS all_types, grouping(team) AS all_teams FROM (SELECT event_type, user_id % 5 AS team FROM {events}) t GROUP BY CUBE (event_type, team) HAVING count(*) > 10")
@@ -165,9 +203,11 @@ SELECT event_id, channel, action, CAST(CASE WHEN value < 5 THEN 0.5 WHEN channel
 """,
 )
 _STEPS = ["classify", "rewrite", "embed", "search", "rerank", "expand", "answer", "continue", "judge", "summarise"]
+_USED = {s: f"CAST(floor(length(text) * {k + 1} / 100e0) AS BIGINT) - {3 * k}" for k, s in enumerate(_STEPS)}
 add(
     "chat_usage_rows",
-    "SELECT conv_id, turn, action, tokens FROM (" + " UNION ALL ".join(f"SELECT conv_id, turn, '{s}' AS action, CAST(floor(length(text) * {k + 1} / 100e0) AS BIGINT) - {3 * k} AS tokens FROM {{conversations}} WHERE role = 'assistant'" for k, s in enumerate(_STEPS)) + ") u WHERE tokens > 0",
+    f"SELECT * FROM (SELECT conv_id, turn, stack({len(_USED)}, {', '.join(f"'{s}', {x}" for s, x in _USED.items())}) AS (action, tokens) FROM {{conversations}} WHERE role = 'assistant') u WHERE tokens > 0",
+    "SELECT conv_id, turn, action, tokens FROM (" + " UNION ALL ".join(f"SELECT conv_id, turn, '{s}' AS action, CAST(floor(length(text) * {k + 1} / 100e0) AS BIGINT) - {3 * k} AS tokens FROM conversations WHERE role = 'assistant'" for k, s in enumerate(_STEPS)) + ") u WHERE tokens > 0",
 )
 add("analytics_append", "SELECT event_id, event_type, 'stored' AS origin FROM {events} UNION ALL SELECT conv_id * 1000 + turn, role, 'new' FROM {conversations} WHERE role = 'user'")
 add(
@@ -217,3 +257,6 @@ add(
     "SELECT concat('usage_', date_format(m, 'yyyy_MM')) AS partition, m AS first_day, add_months(m, 1) AS end_day FROM (SELECT explode(sequence(d, add_months(d, 2), INTERVAL 1 MONTH)) AS m FROM (SELECT CAST(date_trunc('month', max(ts)) AS DATE) AS d FROM {events}) x) y",
     "SELECT 'usage_' || strftime(m, '%Y_%m') AS partition, CAST(m AS DATE) AS first_day, CAST(m + INTERVAL 1 MONTH AS DATE) AS end_day FROM (SELECT unnest(generate_series(d, d + INTERVAL 2 MONTH, INTERVAL 1 MONTH)) AS m FROM (SELECT date_trunc('month', max(ts)) AS d FROM events) x) y",
 )
+
+QUERIES = {"keyset_batches": q_keyset_batches, "list_concatenation": q_list_concatenation}
+ORACLES = {"keyset_batches": KEYSET_SQL, "list_concatenation": LISTS_SQL}

@@ -42,14 +42,16 @@ def replace_chunks(spark: SparkSession, path: str, chunks: DataFrame) -> None:
 
 
 def q_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents stored by language and read back."""
+    """All documents stored, a hundred ids of a language to a file, and read back."""
     path = f"{shared_dir(spark)}/texts-{uuid.uuid4().hex}"
-    store_texts(table(spark, sf_dir, "documents").where("lang IS NOT NULL AND doc_id % 4 = 0"), path, "lang", "doc_id", "text")
-    return read_texts(spark, path).select(F.col("name").alias("lang"), F.length("text").cast("long").alias("chars"), F.sha2("text", 256).alias("text_sha256"))
+    docs = table(spark, sf_dir, "documents").withColumn("file", F.concat(F.coalesce("lang", F.lit("none")), F.lit("-"), F.floor(F.col("doc_id") / 100).cast("string")))
+    store_texts(docs, path, "file", "doc_id", "text")
+    return read_texts(spark, path).select(F.col("name").alias("file"), F.length("text").cast("long").alias("chars"), F.sha2("text", 256).alias("text_sha256"))
 
 
 TEXTS_SQL = """
-SELECT lang, length(t) AS chars, sha256(t) AS text_sha256 FROM (SELECT lang, string_agg(text || chr(10), '' ORDER BY doc_id) AS t FROM documents WHERE lang IS NOT NULL AND doc_id % 4 = 0 AND text IS NOT NULL GROUP BY lang) x"""
+SELECT file, length(t) AS chars, sha256(t) AS text_sha256 FROM (
+  SELECT coalesce(lang, 'none') || '-' || doc_id // 100 AS file, string_agg(text || chr(10), '' ORDER BY doc_id) AS t FROM documents WHERE text IS NOT NULL GROUP BY 1) x"""
 
 
 def q_replace(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,8 +10,9 @@ recurses, so nesting has no limit.
   and none reaches beyond a table, cell or list item that it is not meant for.
 * Lists nest with an indent as wide as their marker; a list item may hold several blocks.
 * Tables have a separator below their first row; rows are filled up to the widest.
-* Links may stand in headings and cells; code keeps its blanks, with its language if a class
-  names one; other white space is one blank.
+* Links may stand in headings and cells; preformatted code keeps its blanks, with its language
+  if a class names one; other white space is one blank.
+* Rows and cells outside of a table have one of their own; text between cells goes ahead of it.
 * Scripts, styles, heads, navigation and footers are left out.  If less than
   ``LEAST`` characters remain, the page is read again with navigation and footer kept.
 
@@ -72,7 +73,7 @@ class Element:
 
     def paragraph(self) -> None:
         """The running text as a block."""
-        lines = [SPACE.sub(" ", line).strip() for line in "".join(self.text).split("\n")] if not self.pre else []
+        lines = [SPACE.sub(" ", line).strip() for line in "".join(self.text).split("\n")]
         self.text.clear()
         if said := "\n".join(lines).strip():
             self.blocks.append(said)
@@ -116,6 +117,10 @@ class Reader(HTMLParser):
         if tag in VOID:
             self._void(tag, attributes)
             return
+        if tag in CELLS and self.open[-1].tag != "tr":
+            self.handle_starttag("tr", [])
+        elif (tag == "tr" and self.open[-1].tag not in ROWGROUPS | {"table"}) or (tag in ROWGROUPS and self.open[-1].tag != "table"):
+            self.handle_starttag("table", [])
         around = self.open[-1]
         self.open.append(Element(tag, attributes, around.pre or tag in ("pre", "listing", "textarea"), around.hidden or tag in self.drop))
 
@@ -178,7 +183,7 @@ class Reader(HTMLParser):
             own.text.append("\n")
         elif tag == "img" and (attributes.get("src") or attributes.get("alt")):
             own.text.append(f"![{attributes.get('alt', '')}]({attributes.get('src', '')})")
-        elif tag == "hr":
+        elif tag == "hr" and not own.pre:
             own.paragraph()
             own.blocks.append("---")
 
@@ -187,6 +192,9 @@ class Reader(HTMLParser):
         if tag in INLINE and not own.blocks:
             around.text.append(self._inline(own))
             return
+        if own.pre and around.pre:
+            around.text.append("".join(own.text) if tag not in INLINE else self._inline(own))
+            return
         if tag in ("pre", "listing"):
             if said := "".join(own.text).strip("\n"):
                 around.paragraph()
@@ -198,12 +206,9 @@ class Reader(HTMLParser):
         if tag in CELLS:
             around.cells.append(" ".join(" ".join(own.all_blocks()).split()).replace("|", "\\|"))
             return
-        if tag == "tr":
-            if own.cells:
-                around.rows.append(own.cells)
-            return
-        if tag in ROWGROUPS:
-            around.rows += own.rows
+        if tag == "tr" or tag in ROWGROUPS:
+            around.rows += [own.cells] if own.cells else own.rows
+            around.blocks += own.all_blocks()  # what should not be there goes ahead of the table
             return
         blocks = own.all_blocks()
         if tag == "table":
@@ -246,7 +251,7 @@ class Reader(HTMLParser):
         return wrapped(said, MARKS[own.tag]) if own.tag in MARKS else said
 
     def _item(self, own: Element, around: Element, blocks: list[str]) -> None:
-        around.text.clear()  # blanks between items
+        around.paragraph()  # text between items, if there is any
         if not blocks:
             return
         if own.tag == "dt":
