@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from docweave.llm.blocks import keyed_join, unused
 from docweave.llm.importance import slices
-from docweave.scratch import saved
+from docweave.scratch import discard, saved
 
 WIDTH, GRAM, LONGEST, HOT = 13, 4, 64, 4096
 SLICE_BYTES, CHUNK_ROWS = 1 << 20, 8192
@@ -265,6 +265,7 @@ def repeated_windows(df: DataFrame, id_col: str, text_col: str, width: int = WID
     met = rows.join(theirs.hint("shuffle_hash"), ["id", "text_hash"])
     packed = met.select("id", "text_hash", "text", "shared").mapInArrow(lambda b: joined(_packed(width, gram)(b)), "id long, text_hash long, at int, n int, minimiser long, packed binary")
     packed = saved(packed.withColumns({"h1": F.xxhash64("packed"), "h2": F.xxhash64(F.lit(1), "packed")}), "super-kmers")
+    discard(held, shared)
     strings = packed.groupBy("minimiser", "packed").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("rows"))
     strings = saved(strings.withColumns({"h1": F.xxhash64("packed"), "h2": F.xxhash64(F.lit(1), "packed")}), "strings")
     buckets = strings.groupBy("minimiser").agg(F.count(F.lit(1)).alias("strings"), F.min("low").alias("low"), F.max("high").alias("high")).where("low < high")
@@ -276,9 +277,12 @@ def repeated_windows(df: DataFrame, id_col: str, text_col: str, width: int = WID
     if not many.isEmpty():
         found = cold.unionByName(_hot_strings(keyed_join(strings, many, ["minimiser"], "strings", "inner"), width))
     found = saved(found, "repeated-strings")
+    discard(strings, buckets, many)
     mine = keyed_join(packed.select("id", "text_hash", "at", "h1", "h2"), found, ["h1", "h2"], "rows", "inner")
     starts = F.filter(F.transform("least", lambda x, k: F.when(x < F.col("id"), F.col("at") + k)), lambda k: k.isNotNull())
-    return mine.groupBy("id", "text_hash").agg(F.flatten(F.collect_list(starts)).alias("starts")).where(F.size("starts") > 0)
+    out = saved(mine.groupBy("id", "text_hash").agg(F.flatten(F.collect_list(starts)).alias("starts")).where(F.size("starts") > 0), "window-starts")
+    discard(packed, found)
+    return out
 
 
 def cut(text: bytes, starts: np.ndarray | None, width: int) -> tuple[int, int, bytes]:
