@@ -55,14 +55,14 @@ def count_sql(ngram: int, buckets: int) -> str:
     longer = "".join(
         f"""
       UNION ALL SELECT row, concat_ws(' ', {", ".join(["w", *(f"lead(w, {k}) OVER doc" for k in range(1, n))])}), lead(w, {n - 1}) OVER doc IS NOT NULL
-      FROM words WINDOW doc AS (PARTITION BY row ORDER BY at)"""
+      FROM words WINDOW doc AS (PARTITION BY row ORDER BY pos)"""
         for n in range(2, ngram + 1)
     )
     return f"""
     WITH split AS (
       SELECT row, regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{WORD}') AS ws FROM texts
     ), words AS (
-      SELECT row, unnest(ws) AS w, {"generate_subscripts(ws, 1)" if ngram > 1 else "0"} AS at FROM split
+      SELECT row, unnest(ws) AS w, {"generate_subscripts(ws, 1)" if ngram > 1 else "0"} AS pos FROM split
     ), grams AS (
       SELECT row, w AS gram, true AS whole FROM words{longer}
     ), counted AS (
