@@ -464,6 +464,15 @@ def test_lines_equal_brute_force(spark, sf):
     assert sorted(map(tuple, registry.op6_line_dedup(spark, sf).collect()), key=str) == brute_lines(rows)
 
 
+def test_lines_of_very_long_texts_take_linear_time(spark):
+    text = "\n".join(f"line number {i} of a text that has a great many of them" for i in range(200_000))
+    df = spark.createDataFrame([(k, text if k < 5 else f"{text}\nlast") for k in range(6)], "doc_id long, text string")
+    began = time.time()
+    got = {r.doc_id: (r.n_lines, r.n_dropped, r.chars) for r in line_dedup.dedup_lines(df).select("doc_id", "n_lines", "n_dropped", F.length("text").alias("chars")).collect()}
+    assert got == {k: (200_000, 200_000, 0) for k in range(5)} | {5: (200_001, 0, len(text) + 5)}
+    assert time.time() - began < 90
+
+
 def test_lines_odd_rows(spark, odd):
     line = "\tA line that is LONG enough to be counted here \u00c9\r"
     rows = [r[:2] for r in ODD] + [(i, f"x\n{line}\n\n{line.lower() if i % 2 else line}\ny{i}\n") for i in range(20, 27)] + [(26, f"x\n{line}"), (None, line), (20, f"{line}\nz")]
@@ -635,6 +644,26 @@ def test_gradient_is_that_of_the_likelihood():
         assert abs(-got.get(f, 0.0) - expected) < 1e-4  # no entity is true, so these features are not
 
 
+@pytest.mark.parametrize("n", [60, 70, 500, 5000])
+def test_field_finds_long_local_parts_and_domains(n):
+    weights = pii.trained()
+    for text, found in ((f"write to {'b' * n} at example dot org today", f"{'b' * n} at example dot org"), (f"mail jane at {'c' * n} dot org today", f"jane at {'c' * n} dot org")):
+        spans = pii.all_spans("some words ahead. " * 30 + text + ". and more words" * 30, weights)[1]
+        at = 18 * 30 + text.index(found)
+        assert ("email", at, at + len(found)) in spans
+
+
+def test_zones_hold_every_candidate_of_the_whole_text():
+    rng = np.random.default_rng(6)
+    words = ["at", "dot", "(at)", "::", "call", "x" * 90, "12", "415-555", "@", ".", "-", "word", "\n", "org", "é", "mail"]
+    weights = pii.trained()
+    for _ in range(40):
+        text = " ".join(words[k] for k in rng.integers(0, len(words), 120))
+        base = pii.base_spans(text)
+        whole = sorted(pii.decode(text, 0, len(text), sorted((a, b) for _, a, b in base), weights))
+        assert sorted(pii.added_spans(text, base, weights)) == whole
+
+
 def test_field_in_a_long_text_of_numbers():
     text = " ".join(str(k % 97) for k in range(20_000)) + " tel 212-555-0188"
     began = time.perf_counter()
