@@ -105,10 +105,11 @@ def base_spans(text: str | None) -> list[Span]:
 TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_")
 #: near these a candidate may lie
 TRIGGER = re.compile(
-    r"[0-9]+|@|::|[\[({<]\x20?(?:at|\u00e4t|arroba|arobase|klammeraffe)\x20?[\])}>]|(?<![^\W_])(?:at|\u00e4t|arroba|arobase|klammeraffe)(?![^\W_])(?=.{0,80}?(?<![^\W_])(?:dot|punkt|punto|point)(?![^\W_]))", re.IGNORECASE | re.DOTALL
+    r"[0-9]+|@|::|[\[({<]\x20?(?:at|\u00e4t|arroba|arobase|klammeraffe)\x20?[\])}>]|(?<![^\W_])(?P<said>at|\u00e4t|arroba|arobase|klammeraffe)(?![^\W_])", re.IGNORECASE
 )
-#: characters on each side of a trigger that are looked at, more than LONGEST tokens of a usual candidate
+#: characters that are looked through at first for the tokens beside a trigger
 AROUND = 64
+#: tokens of a candidate at most
 LONGEST = 19
 HEX = re.compile(r"[0-9A-Fa-f]{1,4}\Z")
 AT = frozenset("at \u00e4t arroba arobase klammeraffe @".split())
@@ -494,18 +495,52 @@ def trained(rounds: int = 8, rate: float = 0.3, decay: float = 0.003) -> Weights
     return weights
 
 
+def before(text: str, at: int) -> int:
+    """Where the LONGEST-th whole token ahead of a place begins."""
+    size = AROUND
+    while True:
+        begin = max(0, at - size)
+        starts = [m.start() for m in TOKEN.finditer(text, begin, at)]
+        if not begin and len(starts) <= LONGEST:
+            return 0
+        if len(starts) > LONGEST:  # the first one may be cut
+            return starts[-LONGEST]
+        size *= 2
+
+
+def after(text: str, at: int) -> int:
+    """Where the LONGEST-th whole token from a place on ends."""
+    size = AROUND
+    while True:
+        end = min(len(text), at + size)
+        ends = [m.end() for m in TOKEN.finditer(text, at, end)]
+        if end == len(text) and len(ends) <= LONGEST:
+            return end
+        if len(ends) > LONGEST:  # the last one may be cut
+            return ends[LONGEST - 1]
+        size *= 2
+
+
 def zones(text: str) -> Iterator[tuple[int, int]]:
-    """Neighbourhoods of the triggers, those that meet as one."""
-    begin = end = -1
+    """Neighbourhoods of the triggers, those that meet as one: no candidate reaches out of them.
+
+    A spoken "at" counts where a spoken dot is among the tokens of its candidates.
+    """
+    begin = end = last = -1
     for m in TRIGGER.finditer(text):
-        a, b = max(0, m.start() - AROUND), min(len(text), m.end() + AROUND)
-        if a > end:
-            if end >= 0:
+        if m["said"] and not any(t.lower() in DOT for t in TOKEN.findall(text, m.end(), after(text, m.end()))):
+            continue
+        if end >= 0 and m.start() - last > AROUND // 4:  # nearer ones lie within one zone in any case
+            end = max(end, after(text, last))
+            if before(text, m.start()) > end:
                 yield begin, end
-            begin = a
-        end = b
+                end = -1
+        if end < 0:
+            begin = before(text, m.start())
+        last = m.end()
+        end = max(end, last)
     if end >= 0:
-        yield begin, end
+        yield begin, max(end, after(text, last))
 
 
 def added_spans(text: str, base: list[Span], weights: Weights) -> list[Span]:
