@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docweave.functions import records, text
+from docweave.functions import detection, records, text
 from docweave.operators import asof, crawl, fulltext, retrieval, search, similarity, vector_index
 from docweave.plans import endpoints, lifecycle, pages, sketches  # noqa: F401  endpoints' statements join the others
 from docweave.plans.analytics import STATEMENTS
-from docweave.sources import corpus, files, html, render, specs
+from docweave.sources import corpus, files, html, render, specs, stored
 from docweave.streaming import ingest, state, windows
 from docweave.tables import plain, run_sql
 
@@ -23,7 +23,7 @@ def _run(sql: str) -> Query:
 
 
 #: modules with queries of their own, beside the shared statements
-MODULES = (pages, asof, crawl, retrieval, search, similarity, vector_index, fulltext, corpus, windows, state, ingest, lifecycle, sketches, text, records, specs, render, files, html)
+MODULES = (pages, asof, crawl, retrieval, search, similarity, vector_index, fulltext, corpus, windows, state, ingest, lifecycle, sketches, text, records, specs, render, files, html, stored, detection)
 
 
 def queries() -> dict[str, Query]:

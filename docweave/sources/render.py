@@ -209,6 +209,34 @@ def _model(name: Column, raw: Column) -> Column:
 # nested ones ---------------------------------------------------------------------------------------------
 
 
+#: characters of a saved response that are shown: a fixed value
+MOST_RESPONSE = 2000
+
+
+def _credentials(auth: object) -> str:
+    """How a request or a collection authenticates, with what is set for it."""
+    if not isinstance(auth, dict) or not auth:
+        return ""
+    kind = auth.get("type", "unknown")
+    own = auth.get(kind)
+    pairs = [(x.get("key"), x.get("value")) for x in own if isinstance(x, dict)] if isinstance(own, list) else [(k, v) for k, v in own.items() if not k.startswith("_")] if isinstance(own, dict) else []
+    return "\n".join([f"**Authentication:** {kind}", *(f"- `{k}`: `{v}`" for k, v in pairs if k and v)])
+
+
+def _saved_responses(responses: object) -> Iterator[str]:
+    """Examples of answers, each with its status and body."""
+    held = [r for r in responses if isinstance(r, dict)] if isinstance(responses, list) else []
+    if held:
+        yield "**Example Responses:**"
+    for r in held:
+        status = " ".join(str(x) for x in (r.get("code"), r.get("status")) if x)
+        yield f"##### {r.get('name', 'Response')}" + (f" ({status})" if status else "")
+        body = r.get("body") or ""
+        if isinstance(body, str) and body:
+            cut = f"{body[:MOST_RESPONSE]}\n... (truncated)" if len(body) > MOST_RESPONSE else body
+            yield f"```json\n{cut}\n```"
+
+
 def _postman_blocks(text: str) -> list[str]:
     def plain(value: object) -> str:
         return value.get("content") or "" if isinstance(value, dict) else value if isinstance(value, str) else ""
@@ -226,13 +254,14 @@ def _postman_blocks(text: str) -> list[str]:
                 continue
             url, method = request.get("url") or "", request.get("method", "GET")
             url = url.get("raw", "") if isinstance(url, dict) else url
-            yield from (f"{mark} {method} {item.get('name', 'Unnamed Request')}", f"`{method} {url}`" if url else "", plain(request.get("description")) or plain(item.get("description")))
+            yield from (f"{mark} {method} {item.get('name', 'Unnamed Request')}", f"`{method} {url}`" if url else "", plain(request.get("description")) or plain(item.get("description")), _credentials(request.get("auth")))
             heads = [h for h in request.get("header") or [] if isinstance(h, dict) and h.get("key")]
             if heads:
                 yield "| Header | Value |\n|---|---|\n" + "\n".join(f"| `{h['key']}` | `{h.get('value', '')}` |" for h in heads)
             body = request.get("body") or {}
             if isinstance(body, dict) and body.get("raw"):
                 yield f"```json\n{body['raw']}\n```"
+            yield from _saved_responses(item.get("response"))
 
     try:
         data = json.loads(text)
@@ -243,7 +272,7 @@ def _postman_blocks(text: str) -> list[str]:
     info = data.get("info") or {}
     known = [v for v in data.get("variable") or [] if isinstance(v, dict) and (v.get("key") or v.get("id"))]
     rows = "\n".join(f"| `{v.get('key') or v['id']}` | `{v.get('value', '')}` |" for v in known)
-    return [f"# {info.get('name', 'API Collection')}", plain(info.get("description")), *(["## Variables", f"| Variable | Value |\n|---|---|\n{rows}"] if known else []), *walk(data.get("item") or [], 0)]
+    return [f"# {info.get('name', 'API Collection')}", plain(info.get("description")), _credentials(data.get("auth")), *(["## Variables", f"| Variable | Value |\n|---|---|\n{rows}"] if known else []), *walk(data.get("item") or [], 0)]
 
 
 _PROTO = re.compile(r"\s*(?:(message|enum|service|oneof|extend)\s+([\w.]+)\s*\{|(rpc\s[^;{]*?\))\s*(?:;|\{[^}]*\})|(\})|([^;{}]+);|(\{))", re.DOTALL)
@@ -561,14 +590,14 @@ SELECT p_partkey, replace(CASE p_partkey % 4 WHEN 0 THEN '# ' || p_name || ' v1~
 
 def q_postman(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.format_string(
-        '{"info":{"name":"%s","description":{"content":"About"}},"variable":[{"key":"base","value":"%d"}],"item":[{"name":"F","item":[{"name":"G","item":[{"name":"Get it","request":{"method":"POST","url":{"raw":"http://h/%d"},"header":[{"key":"A","value":"b"}],"body":{"raw":"{}"}}}]}]},{"name":"Top","request":"http://h/top","description":"Said"}]}',
-        "p_brand", "p_size", "p_partkey",
+        '{"info":{"name":"%s","description":{"content":"About"}},"auth":{"type":"basic","basic":{"user":"u","_x":"y"}},"variable":[{"key":"base","value":"%d"}],"item":[{"name":"F","item":[{"name":"G","item":[{"name":"Get it","request":{"method":"POST","url":{"raw":"http://h/%d"},"header":[{"key":"A","value":"b"}],"auth":{"type":"bearer","bearer":[{"key":"token","value":"t%d"},{"key":"empty","value":""}]},"body":{"raw":"{}"}},"response":[{"name":"Fine","code":200,"status":"OK","body":"{1}"},{"name":"None"}]}]}]},{"name":"Top","request":"http://h/top","description":"Said"}]}',
+        "p_brand", "p_size", "p_partkey", "p_size",
     )
     return _parts(spark, sf_dir).select("p_partkey", document(postman_blocks(F.when(F.col("p_size") == 1, "broken").otherwise(text))).alias("markdown"))
 
 
 POSTMAN_SQL = """
-SELECT p_partkey, CASE WHEN p_size = 1 THEN '' ELSE replace('# ' || p_brand || '~~About~~## Variables~~| Variable | Value |~|---|---|~| `base` | `' || p_size || '` |~~## F~~### G~~#### POST Get it~~`POST http://h/' || p_partkey || '`~~| Header | Value |~|---|---|~| `A` | `b` |~~```json~{}~```~~## GET Top~~`GET http://h/top`~~Said', '~', chr(10)) END AS markdown FROM part"""
+SELECT p_partkey, CASE WHEN p_size = 1 THEN '' ELSE replace('# ' || p_brand || '~~About~~**Authentication:** basic~- `user`: `u`~~## Variables~~| Variable | Value |~|---|---|~| `base` | `' || p_size || '` |~~## F~~### G~~#### POST Get it~~`POST http://h/' || p_partkey || '`~~**Authentication:** bearer~- `token`: `t' || p_size || '`~~| Header | Value |~|---|---|~| `A` | `b` |~~```json~{}~```~~**Example Responses:**~~##### Fine (200 OK)~~```json~{1}~```~~##### None~~## GET Top~~`GET http://h/top`~~Said', '~', chr(10)) END AS markdown FROM part"""
 
 
 def q_proto(spark: SparkSession, sf_dir: str) -> DataFrame:
