@@ -1,12 +1,12 @@
-"""Keyed state in streams: alerts that must hold for some time, and pairing of task starts with their publishes.
+"""Keyed state in streams: alerts that must hold for some time, pairing of task starts with their publishes, stale tasks.
 
-Both are processors for ``transformWithState`` with event-time timers.  Rows wait in the
+All are processors for ``transformWithState`` with event-time timers.  Rows wait in the
 state until the watermark has passed them and are then taken in their event order, so
 the result does not depend on how rows are cut into batches; rows behind the watermark are
 late and ignored, as in every Spark window.  State lives in RocksDB, and a query that is
 started again from its checkpoint goes on where it was.
 
-The plain versions (``alerts_sql``, ``pairs_of``) say the same over a finished table.
+The plain versions (``ALERT_SQL``, ``STALE_SQL``, ``pairs_of``) say the same over a finished table.
 """
 
 from __future__ import annotations
@@ -143,7 +143,8 @@ class Pairing(StatefulProcessor):
         yield pd.DataFrame()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        end = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        # all minutes that the watermark has passed at once: timers set from here fire in a later batch
+        end = timerValues.getCurrentWatermarkInMs() // MINUTE_MS * MINUTE_MS * 1000
         ready, rest = [], []
         for row in self.ahead.get():
             (ready if row[0] < end else rest).append(tuple(row))
@@ -195,6 +196,83 @@ def pairs_of(events: list[tuple[int, int, bool]], watermark_us: int, within_us:
     return _settled(sorted(e for e in events if e[0] < end), waiting, within_us, end)
 
 
+class Staleness(StatefulProcessor):
+    """Tasks without a sign of life: retried after each ``idle_ms``, ``retries`` times, then given up.
+
+    A sign of life starts the count again.  Each action is given out once, with the sign that
+    it counts from, when the watermark has passed it.
+    """
+
+    def __init__(self, idle_ms: int = 45 * MINUTE_MS, retries: int = 3):
+        self.idle, self.retries = idle_ms, retries
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.ahead = handle.getListState("ahead", "at_us long")
+        self.alive = handle.getValueState("alive", "last_us long, done int")
+
+    def _arm(self, at_us: int) -> None:
+        """A timer at the end of a moment's minute."""
+        self.handle.registerTimer((at_us // 1000 // MINUTE_MS + 1) * MINUTE_MS)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        watermark, minutes = timerValues.getCurrentWatermarkInMs(), set()
+        for df in rows:
+            for at in df["at_us"].tolist():
+                if (at // 1000 // MINUTE_MS + 1) * MINUTE_MS > watermark:
+                    self.ahead.appendValue((at,))
+                    minutes.add(at // 1000 // MINUTE_MS)
+        for m in minutes:
+            self.handle.registerTimer((m + 1) * MINUTE_MS)
+        yield pd.DataFrame()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        # all minutes that the watermark has passed at once: timers set from here fire in a later batch
+        end = timerValues.getCurrentWatermarkInMs() // MINUTE_MS * MINUTE_MS * 1000
+        seen = sorted(r[0] for r in self.ahead.get())
+        ready, rest = [t for t in seen if t < end], [(t,) for t in seen if t >= end]
+        last, done = self.alive.get() if self.alive.exists() else (None, 0)
+        out, last, done = stale_actions(ready, last, done, end, self.idle * 1000, self.retries)
+        self.ahead.put(rest) if rest else self.ahead.clear()
+        if last is not None:
+            self.alive.update((last, done))
+            if done <= self.retries:
+                self._arm(last + (done + 1) * self.idle * 1000)
+        if out:
+            yield pd.DataFrame(out, columns=["since_us", "attempt", "action"]).assign(key=key[0])[["key", "since_us", "attempt", "action"]]
+
+    def close(self) -> None:
+        pass
+
+
+def stale_actions(signs: list[int], last: int | None, done: int, end: int, idle_us: int, retries: int) -> tuple[list[tuple], int | None, int]:
+    """Actions before ``end`` of a key whose signs of life come in order, and its last sign with the actions taken since."""
+    out: list[tuple] = []
+    for at in [*signs, None]:
+        while last is not None and done <= retries and last + (done + 1) * idle_us < (end if at is None else at):
+            done += 1
+            out.append((last, done, "retry" if done <= retries else "error"))
+        if at is not None:
+            last, done = at, 0
+    return out, last, done
+
+
+def stale_tasks(events: DataFrame, key: str, late: str = "1 hour", idle_ms: int = 45 * MINUTE_MS, retries: int = 3) -> DataFrame:
+    """(key, since_us, attempt, action) of a stream of signs of life with a zoned timestamp ``at``."""
+    rows = events.withWatermark("at", late).select(F.col(key).alias("key"), "at", F.unix_micros("at").alias("at_us"))
+    return rows.groupBy("key").transformWithStateInPandas(Staleness(idle_ms, retries), "key long, since_us long, attempt int, action string", "Append", "EventTime")
+
+
+#: the same over a finished table: a gap of more than k times 45 minutes has k actions, four at most
+STALE_SQL = """
+WITH e AS (
+  SELECT user_id AS key, epoch_us(ts) AS t, lead(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS next FROM (SELECT DISTINCT user_id, ts FROM events) d
+), k AS (SELECT unnest([1, 2, 3, 4]) AS k), w AS (SELECT epoch_ms(max(ts)) - 3600000 AS mark FROM events)
+SELECT key, t AS since_us, k AS attempt, CASE WHEN k < 4 THEN 'retry' ELSE 'error' END AS action FROM e, k, w
+WHERE (next IS NULL OR t + k * 2700000000 < next) AND ((t + k * 2700000000) // 60000000 + 1) * 60000 <= mark
+"""
+
+
 def run_stream(spark: SparkSession, stream: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Runs a stateful stream over what is there, into files; the same path again goes on from its checkpoint."""
     ship(spark)
@@ -226,5 +304,10 @@ def q_waits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_stream(spark, task_waits(rows, "user_id"), "task-waits")
 
 
-QUERIES = {"alert_stream": q_alerts, "task_wait_stream": q_waits}
-ORACLES = {"alert_stream": ALERT_SQL}
+def q_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users as tasks, their events as signs of life."""
+    return run_stream(spark, stale_tasks(_events(spark, sf_dir), "user_id"), "stale")
+
+
+QUERIES = {"stale_stream": q_stale, "alert_stream": q_alerts, "task_wait_stream": q_waits}
+ORACLES = {"stale_stream": STALE_SQL, "alert_stream": ALERT_SQL}
