@@ -1,4 +1,4 @@
-"""Texts as files, and the table of chunks that a document's new version replaces."""
+"""Texts as files, and the table of chunks in which a document's new version replaces the old one."""
 
 from __future__ import annotations
 
@@ -7,11 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.scratch import saved, shared_dir
+from docweave.scratch import shared_dir
+from docweave.sources.slots import Slots
 from docweave.tables import table
 
-SLOTS = 16
-
 
 def store_texts(df: DataFrame, path: str, name_col: str, order_col: str, text_col: str) -> None:
     """One folder of text files for each name, its rows in order, as lines or paragraphs that follow each other."""
@@ -24,23 +23,6 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("value string, name string").text(path, wholetext=True).select("name", F.col("value").alias("text"))
 
 
-def slotted(chunks: DataFrame) -> DataFrame:
-    return chunks.withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)).cast("int"))
-
-
-def replace_chunks(spark: SparkSession, path: str, chunks: DataFrame) -> None:
-    """Replaces all chunks of the documents in ``chunks``; only the slots that hold them are rewritten.
-
-    The new content of those slots is a table of its own first, so that nothing is
-    overwritten while it is read and a failed run leaves the old slots.
-    """
-    new = saved(slotted(chunks), "new-chunks")
-    old = spark.read.parquet(path).join(F.broadcast(new.select("slot").distinct()), "slot", "left_semi")  # at most SLOTS rows
-    kept = old.join(new.select("doc_id").distinct(), "doc_id", "left_anti")
-    whole = saved(kept.unionByName(new), "slots")
-    whole.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("slot").parquet(path)
-
-
 def q_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents stored, a hundred ids of a language to a file, and read back."""
     path = f"{shared_dir(spark)}/texts-{uuid.uuid4().hex}"
@@ -56,13 +38,13 @@ SELECT file, length(t) AS chars, sha256(t) AS text_sha256 FROM (
 
 def q_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines as chunks; every tenth document gets a new version of its first three lines, every 50th an additional one."""
-    path = f"{shared_dir(spark)}/chunks-{uuid.uuid4().hex}"
+    chunks = Slots(spark, f"{shared_dir(spark)}/chunks-{uuid.uuid4().hex}", "doc_id long, chunk_index int, content string", "doc_id")
     docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("chunk_index", "content"))
-    slotted(lines).write.partitionBy("slot").parquet(path)
+    chunks.append("first", lines)
     again = docs.where("doc_id % 10 = 0").select("doc_id", F.posexplode(F.transform(F.slice(F.split("text", "\n"), 1, 3), lambda x: F.concat(F.lit("v2 "), x))).alias("chunk_index", "content"))
-    replace_chunks(spark, path, again.union(docs.where("doc_id % 50 = 0").select(-F.col("doc_id") - 1, F.lit(0), F.lit("new"))))
-    rows = spark.read.parquet(path).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "content"))).alias("c"))  # one document's chunks
+    chunks.upsert("second", again.union(docs.where("doc_id % 50 = 0").select(-F.col("doc_id") - 1, F.lit(0), F.lit("new"))))
+    rows = chunks.read().groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "content"))).alias("c"))  # one document's chunks
     return rows.select("doc_id", F.size("c").cast("long").alias("n"), F.sha2(F.array_join(F.transform("c", lambda x: x["content"]), "\n"), 256).alias("content_sha256"))
 
 
