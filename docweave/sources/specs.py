@@ -47,15 +47,33 @@ def detect_format(path: Column, content: Column) -> Column:
     return out.otherwise("markdown")
 
 
-def _type(schema: Column, depth: int = 4) -> Column:
-    """A schema's type in words; arrays of arrays down to depth."""
+def _type(schema: Column) -> Column:
+    """A schema's type in words: for an array its innermost items, behind as many "array of" as there are levels.
+
+    An array's items are what its JSON holds behind ``items``, so the levels are taken off one by one
+    until none is left: as many as the text of the schema can hold.
+    """
+    levels = F.size(F.regexp_extract_all(F.coalesce(schema, F.lit("")), F.lit('"items"'), F.lit(0)))
+    start = F.struct(schema.alias("schema"), F.lit("").alias("words"))
+
+    def inner(state: Column, _: Column) -> Column:
+        held = F.get_json_object(state["schema"], "$.items")
+        plain = (_named(state["schema"]) == "") & (F.get_json_object(state["schema"], "$.type") == "array")
+        return F.struct(F.when(plain, F.coalesce(held, F.lit("{}"))).otherwise(state["schema"]).alias("schema"), F.when(plain, F.concat(state["words"], F.lit("array of "))).otherwise(state["words"]).alias("words"))
+
+    last = F.aggregate(F.sequence(F.lit(0), levels), start, inner)
+    return F.transform(F.array(last), lambda x: F.concat(x["words"], _simple_type(x["schema"])))[0]
+
+
+def _named(schema: Column) -> Column:
+    return F.coalesce(F.regexp_extract(F.get_json_object(schema, "$['$ref']"), r"([^/]+)$", 1), F.lit(""))
+
+
+def _simple_type(schema: Column) -> Column:
     get = lambda key: F.get_json_object(schema, f"$.{key}")
-    ref = F.regexp_extract(F.get_json_object(schema, "$['$ref']"), r"([^/]+)$", 1)
     kind = F.coalesce(get("type"), F.lit(""))
-    inner = _type(get("items"), depth - 1) if depth else F.lit("")
     values = F.from_json(get("enum"), "array<string>")
-    out = F.when(F.coalesce(ref, F.lit("")) != "", ref).when(kind == "array", F.concat(F.lit("array of "), F.coalesce(inner, F.lit(""))))
-    out = out.when(F.size(values) > 0, F.concat(kind, F.lit(" (enum: "), F.array_join(values, ", "), F.lit(")")))
+    out = F.when(_named(schema) != "", _named(schema)).when(F.size(values) > 0, F.concat(kind, F.lit(" (enum: "), F.array_join(values, ", "), F.lit(")")))
     return out.when(get("format").isNotNull(), F.concat(kind, F.lit(" ("), get("format"), F.lit(")"))).otherwise(kind)
 
 
