@@ -114,6 +114,8 @@ LONGEST = 19
 HEX = re.compile(r"[0-9A-Fa-f]{1,4}\Z")
 AT = frozenset("at \u00e4t arroba arobase klammeraffe @".split())
 DOT = frozenset("dot punkt punto point .".split())
+#: words before a noun, which begin no domain: fixed values
+SMALL = frozenset("the a an this that these those der die das den dem ein eine le la les un une el los las una".split())
 OPEN, CLOSE = frozenset("([{<"), frozenset(")]}>")
 SIGNS = frozenset("()-./_\u00b7\u2013")
 ENDINGS = frozenset("com org net edu gov info io de fr es eu uk".split())
@@ -124,7 +126,7 @@ CUES = {
         "card": "card visa credit mastercard debit pan amex karte kreditkarte kartennummer carte bancaire cb tarjeta cr\u00e9dito d\u00e9bito",
         "ip": "ip ipv6 host server addr gateway dns router rechner knoten serveur h\u00f4te passerelle servidor nodo",
         "email": "mail email contact write reach kontakt schreib schreiben courriel contactez \u00e9crivez correo escriba contacto",
-        "other": "mac version date datum fecha isbn order bestellung pedido commande time uhr heure hora page seite p\u00e1gina invoice rechnung facture factura token serial article id lot year jahr a\u00f1o euro eur usd price preis prix precio iban",
+        "other": "mac version date datum fecha isbn order bestellung pedido commande time uhr heure hora page seite p\u00e1gina invoice rechnung facture factura token serial article id lot room flat suite zimmer wohnung chambre habitación gps lat lon latitude longitude coordinates koordinaten position ticket case year jahr a\u00f1o euro eur usd price preis prix precio iban",
     }.items()
     for word in words.split()
 }
@@ -230,10 +232,13 @@ class Zone:
             j += 1
 
     def spelled(self, i: int) -> None:
-        """word (. - _ + word)* at word (dot word)+, where "at" and "dot" may stand in brackets."""
+        """word (. - _ + dot word)* at word (dot word)+, where "at" and "dot" may stand in brackets."""
+        said = lambda k: self.words[k].lower() in DOT and self.words[k] != "."
+        if said(i):
+            return
         at, j = i, i
         while at < len(self.words) and at - i < 10 and self.words[at].lower() not in AT:
-            if at > i and self.gap(at) and self.words[at] not in OPEN:
+            if at > i and self.gap(at) and self.words[at] not in OPEN and not (said(at) or said(at - 1)):
                 return
             at += 1
         if at == i or at >= len(self.words) or self.words[at].lower() not in AT:
@@ -242,6 +247,9 @@ class Zone:
         if last < i or not self.words[last][0].isalnum() or any(not (w[0].isalnum() or w in ".-_+%") for w in self.words[i : last + 1]):
             return
         boxed, dots, names, spoken = self.words[at - 1] in OPEN, 0, 0, 0
+        local = [f"local dots {sum(map(said, range(i, last + 1)))} dot ahead {i > 1 and said(i - 1) and bool(self.gap(i))}", f"local small {self.words[last].lower() in SMALL}"]
+        if said(last):
+            return
         j, state = at + 1, "at"
         while j < len(self.words) and j - i < LONGEST and not self.fixed[j] and "\n" not in self.gap(j):
             w = self.words[j]
@@ -260,6 +268,8 @@ class Zone:
                 if dots:
                     known = w.lower() in ENDINGS
                     shape = [f"boxed {boxed}", f"dots {min(dots, 4)}", f"spoken {min(spoken, 2)}", f"ending {known}", f"boxed {boxed} spoken {min(spoken, 1)} ending {known}"]
+                    first = next((x for x in self.words[at + 1 : j] if x[0].isalnum()), "")
+                    shape += [*local, f"small {first.lower() in SMALL}"]
                     nxt = self.words[j + 1].lower() if j + 1 < len(self.words) else ""
                     shape += [f"goes on {nxt in DOT and nxt != '.' or nxt in OPEN}", f"starts whole {i == 0 or bool(self.gap(i))}", f"sign {self.words[at] == '@'}"]
                     if not any(self.fixed[i : j + 1]):
@@ -387,7 +397,7 @@ def examples(n: int = 1200, seed: int = 5, held_out: bool = False) -> list[tuple
             "card": "card visa credit Karte Kreditkarte carte bancaire tarjeta cr\u00e9dito",
             "ip": "ip host server Rechner serveur servidor",
             "email": "mail email contact Kontakt courriel correo",
-            None: "version date Datum fecha order Bestellung commande pedido time page Seite invoice MAC token id price Preis prix precio",
+            None: "version date Datum fecha order Bestellung commande pedido time page Seite invoice MAC token id price Preis prix precio room Zimmer GPS ticket",
         },
         True: {
             "phone": "telephone cell dial Durchwahl mobil appelez fixe llame celular",
@@ -436,6 +446,28 @@ def examples(n: int = 1200, seed: int = 5, held_out: bool = False) -> list[tuple
         (None, lambda: f"std::{name()}"),
         (None, lambda: " ".join(num(r.randint(1, 3)) for _ in range(6))),
     ]
+    #: told by the words around them alone, so one always stands ahead
+    cued = [
+        ("phone", lambda: f"{two()}{num(1)}-{num(4)}"),
+        ("phone", lambda: f"1-{two()}{num(1)}-{num(3)}-{num(4)}"),
+        ("phone", lambda: f"1 ({two()}{num(1)}) {num(3)}-{num(4)}"),
+        ("email", lambda: f"{name()} dot {name()} at {name()} dot {ends()}"),
+        (None, lambda: f"{two()}{num(1)}-{num(4)}"),
+        (None, lambda: f"{two()}{num(1)} {num(3)} {num(4)}"),
+        (None, lambda: f"{two()}{num(1)}-{num(3)}-{num(4)}"),
+        (None, lambda: f"{two()}.{num(4)} -{two()}.{num(4)}"),
+        (None, lambda: f"{two()}.{num(r.randint(3, 6))}, {two()[0]}.{num(r.randint(3, 6))}"),
+        (None, lambda: f"-{two()}.{num(5)} {num(3)}.{num(5)}"),
+    ]
+    free = [
+        ("phone", lambda: f"1-{two()}{num(1)}-{num(3)}-{num(4)}"),
+        ("email", lambda: f"{name()} dot {name()} at {name()} dot {ends()}"),
+        (None, lambda: f"{two()}{num(1)}-{num(4)}"),
+        (None, lambda: f"{two()}.{num(4)} -{two()}.{num(4)}"),
+        (None, lambda: f"{name()} at {r.choice(('the', 'a', 'this', 'der', 'la'))} dot {ends()}"),
+        (None, lambda: f"{name()} at {r.choice(('the', 'a', 'that', 'die', 'les'))} {name()} dot {name()}"),
+        (None, lambda: f"{name()} at {name()} dot by dot {name()}"),
+    ]
     other = [
         ("phone", lambda: f"{two()}{num(1)} {num(3)}-{num(4)}"),
         ("phone", lambda: f"0{two()}{num(1)}-{num(7)}"),
@@ -462,12 +494,13 @@ def examples(n: int = 1200, seed: int = 5, held_out: bool = False) -> list[tuple
         (None, lambda: f"{name()} at {name()} dotted {name()}"),
         (None, lambda: f"v{num(1)}.{two()}.{num(3)}"),
     ]
-    make = other if held_out else train
+    make = other if held_out else [*train, *free, *cued]
     out = []
     for k in range(n):
         kind, value = make[k % len(make)]
+        always = not held_out and k % len(make) >= len(train) + len(free)
         filler = [word() for _ in range(r.randint(0, 3))]
-        cue = r.choice(cues[kind].split()) if r.random() < 0.7 else word()
+        cue = r.choice(cues[kind].split()) if always or r.random() < 0.7 else word()
         text = " ".join([*filler, cue]) + r.choice((" ", " ", ": "))
         made = value()
         if not base_spans(made):
