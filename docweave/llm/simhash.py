@@ -172,8 +172,10 @@ def link_classes(marked: DataFrame, radius: int = 3, block: int = BLOCK) -> Data
 
     Links differ in at most radius bits of mark.
     """
-    classes = saved(marked.groupBy("mark").agg(F.min("_id").alias("node"), F.count(F.lit(1)).alias("copies")), "marks")
-    named = classes.where("node IS NOT NULL").select("node", "mark")
+    # classes have numbers of their own: one whose rows have no id is linked, and links others, like any
+    counted = marked.groupBy("mark").agg(F.min("_id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    classes = saved(counted.withColumn("node", F.monotonically_increasing_id()), "marks")
+    named = classes.select("node", "mark")
     wanted = covering_masks(radius)
     masks = F.array(*[F.lit(_signed(m)) for m in wanted])
 
@@ -188,9 +190,10 @@ def link_classes(marked: DataFrame, radius: int = 3, block: int = BLOCK) -> Data
     if points:
         centres = marked.sparkSession.createDataFrame([(k, node) for k, (_, node) in enumerate(points)], "core long, v long")
         links = links.union(cored.join(F.broadcast(centres), "core").select(F.col("node").alias("u"), "v"))
-    roots = components(links)
-    out = classes.join(roots, classes.node == roots.node, "left")
-    return out.select("mark", "copies", F.coalesce("component", classes.node).alias("component"))
+    rooted = classes.join(components(links), "node", "left").select("mark", "copies", "least", F.coalesce("component", "node").alias("_root"))
+    rooted = saved(rooted, "rooted")
+    groups = saved(rooted.groupBy("_root").agg(F.min("least").alias("component"), F.count(F.lit(1)).alias("_classes")), "groups")
+    return keyed_join(rooted, groups, ["_root"], "_classes").select("mark", "copies", "component")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 3) -> DataFrame:

@@ -168,6 +168,13 @@ def test_simhash_odd_rows(spark, odd):
     assert simhash.near_duplicates(odd.limit(0)).collect() == []
 
 
+def test_rows_without_ids_link_others(spark):
+    """Texts whose fingerprints lie few bits apart, the one between them without an id."""
+    marks = [(1, 0b0), (None, 0b111), (2, 0b111111), (None, 1 << 40), (3, (1 << 62) - 1), (None, (1 << 62) - 1)]
+    got = {r.mark: (r.copies, r.component) for r in simhash.link_classes(spark.createDataFrame(marks, "_id long, mark long")).collect()}
+    assert got == {0b0: (1, 1), 0b111: (1, 1), 0b111111: (1, 1), 1 << 40: (1, 1), (1 << 62) - 1: (2, 3)}
+
+
 def test_resembling_texts(spark):
     r = np.random.default_rng(8)
     words = [f"w{k}" for k in range(4000)]
