@@ -2,16 +2,18 @@
 
 The rules are SQL over tables of phases, known endpoints and so on, which a
 ``WITH`` clause derives from the order lines here.  Batches are a fold over one document's
-sections, inside an expression; merging is a loop of groupings by ten.
+sections, a function of one row; merging is a loop of groupings by ten.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docweave.plans.analytics import STATEMENTS, add
 from docweave.scratch import saved
+from docweave.shipping import ship
 from docweave.tables import plain, run_sql, table
 
 #: words of headings that every batch needs: fixed values
@@ -161,29 +163,35 @@ def batches(chunks: DataFrame, doc_col: str, target: int) -> DataFrame:
     of shared sections alone, stays whole: batch 0.
     """
     sections = chunks.groupBy(doc_col).agg(F.array_sort(F.collect_list(F.struct("section", is_shared(F.col("heading")).alias("shared"), "tokens"))).alias("all"))  # one document's headings
-    content = F.filter("all", lambda s: ~s["shared"])
-    shared = F.aggregate(F.filter("all", lambda s: s["shared"]), F.lit(0).cast("long"), lambda a, s: a + s["tokens"])
-    sections = sections.select(doc_col, "all", content.alias("content"), shared.alias("_shared"))
-    kind = "struct<batch: bigint, used: bigint, placed: array<struct<batch: bigint, section: bigint, tokens: bigint>>>"
-    start = F.struct(F.lit(0).alias("batch"), F.lit(0).alias("used"), F.array().alias("placed")).cast(kind)
-
-    def step(state: Column, s: Column) -> Column:
-        full = (state["used"] > 0) & (state["used"] + s["tokens"] > target)
-        batch = F.when(full, state["batch"] + 1).otherwise(state["batch"])
-        used = F.when(full, s["tokens"]).otherwise(state["used"] + s["tokens"])
-        placed = F.concat(state["placed"], F.array(F.struct(batch.alias("batch"), s["section"].cast("long").alias("section"), s["tokens"].cast("long").alias("tokens"))))
-        return F.struct(batch.alias("batch"), used.alias("used"), placed.alias("placed")).cast(kind)
-
-    filled = sections.withColumn("f", F.aggregate("content", start, step))
-    whole = (F.size("content") == 0) | ((F.col("f.batch") == 0) & (F.col("_shared") + F.col("f.used") <= 1.5 * target))
-    every = F.transform("all", lambda s: F.struct(F.lit(0).cast("long").alias("batch"), s["section"].cast("long").alias("section"), s["tokens"].cast("long").alias("tokens")))
-    common = F.transform(F.sequence(F.lit(0).cast("long"), F.col("f.batch")), lambda b: F.struct(b.alias("batch"), F.lit(-1).cast("long").alias("section"), F.col("_shared").alias("tokens")))
-    rows = F.when(whole, every).otherwise(F.concat(F.filter(common, lambda s: s["tokens"] > 0), F.col("f.placed")))
-    return filled.select(doc_col, F.explode(rows).alias("r")).select(doc_col, "r.*")
+
+    @F.pandas_udf("array<struct<batch: bigint, section: bigint, tokens: bigint>>")
+    def placed(documents: pd.Series) -> pd.Series:
+        return documents.map(lambda d: _placed([(s["section"], s["shared"], s["tokens"]) for s in d], target))
+
+    return sections.select(doc_col, F.explode(placed("all")).alias("r")).select(doc_col, "r.*")
+
+
+def _placed(sections: list[tuple[int, bool, int]], target: int) -> list[dict]:
+    """One document's sections in batches, in one pass."""
+    common = sum(t for _, shared, t in sections if shared)
+    batch, used, rows = 0, 0, []
+    for section, shared, t in sections:
+        if shared:
+            continue
+        if used and used + t > target:
+            batch, used = batch + 1, 0
+        used += t
+        rows.append((batch, section, t))
+    if not rows or (not batch and common + used <= 1.5 * target):
+        rows = [(0, section, t) for section, _, t in sections]
+    elif common:
+        rows = [(b, -1, common) for b in range(batch + 1)] + rows
+    return [dict(zip(("batch", "section", "tokens"), r, strict=True)) for r in rows]
 
 
 def q_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's lines, four to a heading, every fifth heading an overview."""
+    ship(spark)
     lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
     section = F.floor(F.col("i") / 4)
     tokens = F.floor(F.size(F.filter(F.split("line", r"[ \t\r\n]+"), lambda w: w != "")) * 1.3)

@@ -10,7 +10,9 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -142,19 +144,24 @@ def chunks(text: str, most: int = MOST_TOKENS, least: int = LEAST_TOKENS) -> lis
     return merged
 
 
-_CHUNK = "array<struct<heading_path: string, heading_level: int, content: string, token_count: int, parent_content: string>>"
+CHUNK = ("heading_path", "heading_level", "content", "token_count", "parent_content")
 
 
 def chunked(df: DataFrame, id_col: str, markdown_col: str) -> DataFrame:
     """(id, chunk_index, heading_path, heading_level, content, token_count, parent_content)."""
 
-    @F.pandas_udf(_CHUNK)
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        names = ["heading_path", "heading_level", "content", "token_count", "parent_content"]
-        for series in texts:
-            yield series.map(lambda t: [dict(zip(names, c, strict=True)) for c in chunks(t or "")])
-
-    return df.select(id_col, F.posexplode(run(markdown_col)).alias("chunk_index", "c")).select(id_col, "chunk_index", "c.*")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [chunks(t or "") for t in batch.column(1).to_pylist()]
+            size = np.array([len(c) for c in own], np.int64)
+            flat = [c for cs in own for c in cs]
+            ids = batch.column(0).take(pa.array(np.repeat(np.arange(len(own)), size)))
+            place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            kinds = (pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string())
+            yield pa.RecordBatch.from_arrays([ids, pa.array(place, pa.int32()), *(pa.array([c[k] for c in flat], t) for k, t in enumerate(kinds))], names=[id_col, "chunk_index", *CHUNK])
+
+    kind = df.schema[id_col].dataType.simpleString()
+    return df.select(id_col, markdown_col).mapInArrow(run, f"`{id_col}` {kind}, chunk_index int, heading_path string, heading_level int, content string, token_count int, parent_content string")
 
 
 def as_markdown(docs: DataFrame) -> DataFrame:
