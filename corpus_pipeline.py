@@ -35,6 +35,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     endless random words by 1.5 deviations; a shorter one if it exceeds 2 deviations,
     which chance alone would explain.  If no language was learned, texts with a letter
     stay.  Ties between languages decide nothing here; repeated rows all stay or all go.
+    Very long texts are judged whole, in portions of bounded memory.
     """
     ship(spark)
     prototypes = language_id.fit(docs)
@@ -50,7 +51,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Every row stays, a null text as an empty one; of a repeated line the document with
     the largest id keeps its lines.  A row with a null id never counts and never keeps one;
-    repeated rows are cut alike.  n_chars is counted anew.
+    repeated rows are cut alike, very long texts in time that grows with their lines.
+    n_chars is counted anew.
     """
     ship(spark)
     return _documents(line_dedup.dedup_lines(docs.select(*COLUMNS)))
@@ -83,7 +85,11 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data by its kind in brackets; rows stay as they are otherwise, null texts too.  n_chars is counted anew."""
+    """Replaces personal data by its kind in brackets; rows stay as they are otherwise, null texts too.
+
+    Very long texts are read whole, in time that grows with their length; repeated rows are masked alike.
+    n_chars is counted anew.
+    """
     ship(spark)
     return _documents(pii.mask(docs.select(*COLUMNS)))
 
