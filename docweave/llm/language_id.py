@@ -36,7 +36,9 @@ from pyspark.sql import functions as F
 
 from docweave.llm.blocks import unused
 
-DIMENSIONS, SYMBOLS, PER_LANGUAGE, LANGUAGES, AT_ONCE = 1024, 64, 500, 4096, 1 << 21
+DIMENSIONS, SYMBOLS, PER_LANGUAGE, LANGUAGES = 1024, 64, 500, 4096
+#: what one matrix product takes: trigrams and rows at most (a longer text by itself), different trigrams
+AT_ONCE, ROWS, BLOCK = 1 << 19, 128, 4096
 
 
 @lru_cache(1)
@@ -80,10 +82,13 @@ def bundles(grams: list[np.ndarray]) -> np.ndarray:
     known = np.flatnonzero(place)
     place[known] = np.arange(len(known))
     a, b, c = letter_vectors()
-    bound = (a[known // SYMBOLS**2] * b[known // SYMBOLS % SYMBOLS] * c[known % SYMBOLS]).astype(np.float32)
     row = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
-    counts = np.bincount(row * len(known) + place[flat], minlength=len(grams) * len(known))
-    return counts.reshape(len(grams), -1).astype(np.float32) @ bound
+    counts = np.bincount(row * len(known) + place[flat], minlength=len(grams) * len(known)).reshape(len(grams), -1)
+    for at in range(0, len(known), BLOCK):  # whole numbers: the sums are exact in any order
+        k = known[at : at + BLOCK]
+        bound = (a[k // SYMBOLS**2] * b[k // SYMBOLS % SYMBOLS] * c[k % SYMBOLS]).astype(np.float32)
+        out += counts[:, at : at + BLOCK].astype(np.float32) @ bound
+    return out
 
 
 def _portions(texts: Iterator[str | None]) -> Iterator[list[np.ndarray]]:
@@ -93,7 +98,7 @@ def _portions(texts: Iterator[str | None]) -> Iterator[list[np.ndarray]]:
     for text in texts:
         held.append(trigrams(text))
         size += len(held[-1])
-        if size > AT_ONCE or len(held) == 512:
+        if size > AT_ONCE or len(held) == ROWS:
             yield held
             held, size = [], 0
     if held:
