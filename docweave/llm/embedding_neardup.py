@@ -23,7 +23,8 @@ own.  Vectors of different lengths never link: the length is part of a bucket's
 An empty table gives an empty result; further columns are ignored.
 
 ``width`` None takes 3, which gives (2 * 64) ** 3 buckets a table for 64 dimensions,
-for up to ten million vectors, and one more for each (2 * d) times as many.
+for up to ten million vectors, and one more for each (2 * d) times as many, with more
+tables and probes then (``shape``): a pair at the threshold is missed as rarely.
 """
 
 from __future__ import annotations
@@ -85,6 +86,7 @@ def bucket_codes(x: np.ndarray, tables: int = TABLES, width: int = WIDTH, probes
         if both.shape[1] < probes:  # as many more: the two cheapest swaps at once
             two = home + np.take_along_axis((second - best) * weight, np.argsort(loss, axis=1, kind="stable")[:, :2], 1).sum(1)
             both = np.concatenate([both, two[:, None]], 1)[:, :probes]
+        out[:, t] = home[:, None] + t * (2 * d) ** width  # where there are fewer probes than asked for, home again
         out[:, t, : both.shape[1]] = both + t * (2 * d) ** width
     return out.reshape(n, -1)
 
@@ -223,6 +225,14 @@ def _rows(found: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=["node", "links", "peer"])
 
 
+def shape(count: int, length: int, tables: int = TABLES, probes: int = PROBES) -> tuple[int, int, int]:
+    """(width, tables, probes) for so many vectors: one more hash for each (2 * length) times ten million, with half as many tables and as many probes more, so that recall stays."""
+    width = WIDTH
+    while count > 1e7 * (2 * length) ** (width - WIDTH):
+        width, tables, probes = width + 1, tables * 3 // 2, probes * 2
+    return width, tables, probes
+
+
 def near_duplicates(
     df: DataFrame,
     id_col: str = "vec_id",
@@ -256,9 +266,7 @@ def near_duplicates(
     classes = saved(merged.withColumns(named), "vectors")
     if width is None:
         count, length = classes.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
-        width = WIDTH
-        while count > 1e7 * (2 * (length or 1)) ** (width - WIDTH):
-            width += 1
+        width, tables, probes = shape(count, length or 1, tables, probes)
     hashed = saved(classes.select("node", "embedding").mapInArrow(_hash(tables, width, probes), "node long, dim int, codes array<long>"), "codes")
     points = pivots(hashed, classes, tables, probes) if cores else {}
     core = saved(classes.select("node", "embedding", "copies").mapInArrow(_cores(points, threshold), "node long, copies long, core long"), "cores")

@@ -95,6 +95,7 @@ GROUP BY k.doc_id
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table's conversations and one more, -7; rows of that id in the table would be further turns of it."""
     own = r"\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", own), (-7, 1, "assistant", own)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(extra)

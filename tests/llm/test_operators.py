@@ -133,6 +133,19 @@ def test_embedding_ids_with_several_vectors(spark):
     assert sorted(map(tuple, got)) == sorted(brute_links(rows)) == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False)]
 
 
+@pytest.mark.parametrize("count", [10**6, 10**8])
+def test_recall_of_hashes_for_more_vectors(count):
+    """Pairs at the threshold itself share a bucket, for 3 hashes as for 4."""
+    width, tables, probes = embedding_neardup.shape(count, 64)
+    assert width == (3 if count == 10**6 else 4)
+    rng = np.random.default_rng(1)
+    a, other = embedding_neardup.unit(rng.normal(size=(1500, 64))), rng.normal(size=(1500, 64))
+    other = embedding_neardup.unit(other - (other * a).sum(1, keepdims=True) * a)
+    codes = [embedding_neardup.bucket_codes(x, tables, width, probes).reshape(len(a), tables, probes) for x in (a, 0.95 * a + np.sqrt(1 - 0.95**2) * other)]
+    shared = (codes[0][:, :, :, None] == codes[1][:, :, None, :]).any((1, 2, 3))
+    assert shared.mean() >= 0.999
+
+
 def test_embedding_empty(spark):
     assert embedding_neardup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
 
