@@ -11,18 +11,29 @@ their trigrams.  Two names are similar if their sets' resemblance exceeds a thre
    trigram there must be enough trigrams left for the overlap that t needs.
 4. What remains is verified on the whole sets.
 
+Names that share most of their trigrams, such as urls, pass these filters nearly all, once for each
+shared trigram.  ``similar_in_blocks`` compares them block by block: a pair of blocks is one task's
+product of two matrices of 0 and 1, so that only pairs above the threshold leave it.
+
 Nulls match nothing; a name of fewer characters than a trigram has the padding's trigrams.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docweave.shipping import ship
 from docweave.tables import table
 
+#: names of a block, and trigrams of one product of matrices
+BLOCK, COLUMNS = 1024, 4096
+
 
 def trigrams(name: Column) -> Column:
     padded = F.concat(F.lit("  "), F.lower(name), F.lit(" "))
@@ -67,6 +78,70 @@ def similar(left: DataFrame, right: DataFrame, threshold: float = 0.25, digits:
     return pairs.where(share > threshold).select("l", "r", F.round(share, digits).alias("similarity"))
 
 
+def _sets(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(name's place, trigram as a number) of each name's set."""
+    padded = [f"  {n} " for n in names]
+    points = np.frombuffer("".join(padded).encode("utf-32-le"), "<u4").astype(np.int64)
+    own = np.repeat(np.arange(len(padded)), [len(p) for p in padded])
+    grams = (points[:-2] << 42) | (points[1:-1] << 21) | points[2:]
+    whole = own[:-2] == own[2:]
+    order = np.lexsort((grams[whole], own[:-2][whole]))
+    own, grams = own[:-2][whole][order], grams[whole][order]
+    first = np.ones(len(own), bool)
+    first[1:] = (own[1:] != own[:-1]) | (grams[1:] != grams[:-1])
+    return own[first], grams[first]
+
+
+def _overlaps(left: list[str], right: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How many trigrams each left name shares with each right one, and the sizes of the sets."""
+    (a, g), (b, h) = _sets(left), _sets(right)
+    shared = np.intersect1d(g, h)
+    sizes = np.bincount(a, minlength=len(left)), np.bincount(b, minlength=len(right))
+    (a, g), (b, h) = ((x[k], np.searchsorted(shared, y[k])) for x, y, k in ((a, g, np.isin(g, shared)), (b, h, np.isin(h, shared))))
+    both = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, len(shared), COLUMNS):
+        m, n = np.zeros((len(left), COLUMNS), np.float32), np.zeros((len(right), COLUMNS), np.float32)
+        for cells, x, y in ((m, a, g), (n, b, h)):
+            here = (y >= at) & (y < at + COLUMNS)
+            cells[x[here], y[here] - at] = 1
+        both += m @ n.T
+    return both, *sizes
+
+
+def _compared(threshold: float) -> Callable[[tuple[pa.Scalar, ...], pa.Table], pa.Table]:
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        i, j = (k.as_py() for k in key)
+        rows = rows.combine_chunks()
+        names, block = rows["name"].to_pylist(), rows["block"].to_numpy()
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        both, a, b = _overlaps([names[k] for k in left], [names[k] for k in right])
+        either = a[:, None] + b[None, :] - both
+        share = both.astype(np.float64) / either
+        found = share > threshold
+        if i == j:
+            found &= np.triu(np.ones(found.shape, bool), 1)  # a block with itself: each pair once
+        x, y = np.nonzero(found)
+        share, x, y = share[x, y], left[x], right[y]
+        rank = np.empty(len(names), np.int64)
+        rank[sorted(range(len(names)), key=names.__getitem__)] = np.arange(len(names))
+        less = rank[x] < rank[y]
+        name = rows["name"]
+        return pa.table({"l": name.take(pa.array(np.where(less, x, y))), "r": name.take(pa.array(np.where(less, y, x))), "share": pa.array(share)})
+
+    return run
+
+
+def similar_in_blocks(names: DataFrame, threshold: float, digits: int = 6) -> DataFrame:
+    """(l, r, similarity) of all pairs l < r of different lower-cased names above the threshold; names come from ``distinct_names``."""
+    n = max(1, -(-names.count() // BLOCK))
+    block = F.pmod(F.xxhash64("name"), F.lit(n)).cast("int")
+    dealt = names.select("name", block.alias("block")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    pairs = dealt.select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "name", "block")
+    pairs = pairs.repartition(min(n * (n + 1) // 2, 4096), "i", "j")
+    met = pairs.groupBy("i", "j").applyInArrow(_compared(threshold), "l string, r string, share double")
+    return met.select("l", "r", F.round("share", digits).alias("similarity"))
+
+
 def resolved(wanted: DataFrame, known: DataFrame, threshold: float = 0.25) -> DataFrame:
     """(wanted_id, id, similarity): the best known name of each wanted one.
 
@@ -112,8 +187,9 @@ URL_THRESHOLD = 0.6
 
 def q_similar_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages' urls that resemble each other by more than 0.6, each pair once."""
+    ship(spark)
     names = distinct_names(table(spark, sf_dir, "pages"), "url")
-    return similar(names, names.select(F.col("name").alias("name"), F.col("grams").alias("grams")), URL_THRESHOLD).where("l < r").select(F.col("l").alias("url"), F.col("r").alias("other"), "similarity")
+    return similar_in_blocks(names, URL_THRESHOLD).select(F.col("l").alias("url"), F.col("r").alias("other"), "similarity")
 
 
 URLS_SQL = f"""
