@@ -7,12 +7,13 @@ document whose rows are exploded by position; the oracle folds with recursive qu
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +23,8 @@ from docweave.tables import table
 
 #: chunk sizes in estimated tokens, and blocks repeated from the piece before: fixed values
 MOST_TOKENS, LEAST_TOKENS, OVERLAP = 512, 50, 2
+#: bytes of text that a worker cuts at a time, beyond those of the last text
+PORTION = 1 << 20
 
 _TAGS = [
     (r"(?is)<script\b.*?</script>|<style\b.*?</style>|<nav\b.*?</nav>|<footer\b.*?</footer>", ""),
@@ -147,11 +150,21 @@ def chunks(text: str, most: int = MOST_TOKENS, least: int = LEAST_TOKENS) -> lis
 CHUNK = ("heading_path", "heading_level", "content", "token_count", "parent_content")
 
 
+def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of batches (id, text) in portions of about ``PORTION`` bytes of text, so that a worker holds no more of them as Python objects."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        part = (np.cumsum(size) - size) // PORTION
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+        for a, b in itertools.pairwise(cuts):
+            yield batch.slice(a, b - a)
+
+
 def chunked(df: DataFrame, id_col: str, markdown_col: str) -> DataFrame:
     """(id, chunk_index, heading_path, heading_level, content, token_count, parent_content)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _portions(batches):
             own = [chunks(t or "") for t in batch.column(1).to_pylist()]
             size = np.array([len(c) for c in own], np.int64)
             flat = [c for cs in own for c in cs]
@@ -174,12 +187,18 @@ def as_markdown(docs: DataFrame) -> DataFrame:
 def sectioned(df: DataFrame, id_col: str, markdown_col: str) -> DataFrame:
     """(id, section_index, heading_path, heading_level, content)."""
 
-    @F.pandas_udf("array<struct<heading_path: string, heading_level: int, content: string>>")
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for series in texts:
-            yield series.map(lambda t: [{"heading_path": p, "heading_level": n, "content": c} for p, n, c in sections(t or "")])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _portions(batches):
+            own = [sections(t or "") for t in batch.column(1).to_pylist()]
+            size = np.array([len(c) for c in own], np.int64)
+            flat = [c for cs in own for c in cs]
+            ids = batch.column(0).take(pa.array(np.repeat(np.arange(len(own)), size)))
+            place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            kinds = (pa.string(), pa.int32(), pa.string())
+            yield pa.RecordBatch.from_arrays([ids, pa.array(place, pa.int32()), *(pa.array([c[k] for c in flat], t) for k, t in enumerate(kinds))], names=[id_col, "section_index", *CHUNK[:3]])
 
-    return df.select(id_col, F.posexplode(run(markdown_col)).alias("section_index", "s")).select(id_col, "section_index", "s.*")
+    kind = df.schema[id_col].dataType.simpleString()
+    return df.select(id_col, markdown_col).mapInArrow(run, f"`{id_col}` {kind}, section_index int, heading_path string, heading_level int, content string")
 
 
 def preview(chunk_rows: DataFrame, id_col: str) -> DataFrame:
