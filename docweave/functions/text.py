@@ -9,7 +9,7 @@ engines know: no look-around, explicit letter classes.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -89,6 +89,11 @@ def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+def bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value): what ``then`` names several times is formed once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def any_of(text: Column, patterns: list[str]) -> Column:
     return text.rlike("(?iu)" + "|".join(f"(?:{p})" for p in patterns))
 

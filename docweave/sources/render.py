@@ -16,9 +16,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docweave.functions.text import bound
 from docweave.shipping import ship
 from docweave.sources.specs import METHODS, SCALARS, _type
-from docweave.tables import table
+from docweave.tables import dealt
 
 #: headings of XML elements: fixed values
 HEADINGS = {
@@ -56,7 +57,7 @@ def grid(head: list[str], rows: Column) -> Column:
     """A table of rows, which are arrays of cells; null without rows."""
     top = f"| {' | '.join(head)} |\n|{'---|' * len(head)}\n"
     lines = F.transform(rows, lambda r: F.concat(F.lit("| "), F.array_join(r, " | "), F.lit(" |")))
-    return F.when(F.size(rows) > 0, F.concat(F.lit(top), F.array_join(lines, "\n")))
+    return bound(lines, lambda x: F.when(F.size(x) > 0, F.concat(F.lit(top), F.array_join(x, "\n"))))
 
 
 def _strings(*cells: Column | str) -> Column:
@@ -82,13 +83,15 @@ def json_of_yaml(text: Column) -> Column:
     """YAML as JSON; JSON stays.  Null for what is neither.  Without a YAML parser this raises at once, on the driver."""
     import yaml
 
+    loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)  # the same loader in C, where it is built
+
     def one(value: str | None) -> str | None:
         try:
             return json.dumps(json.loads(value or ""))
         except ValueError:
             pass
         try:
-            parsed = yaml.safe_load(value or "")
+            parsed = yaml.load(value or "", Loader=loader)
         except yaml.YAMLError:
             return None
         return json.dumps(parsed, default=str) if isinstance(parsed, dict) else None
@@ -481,17 +484,19 @@ def is_document_xml(head: Column) -> Column:
 
 def wsdl_markdown(text: Column) -> Column:
     """Services with ports, port types with operations, bindings with actions, messages with parts, types with elements."""
+    return bound(F.regexp_replace(text, F.lit(r"(?s)<!--.*?-->"), F.lit("")), _wsdl_markdown)
+
+
+def _wsdl_markdown(bare: Column) -> Column:
     tag = lambda name: rf"(?s)<(?:\w+:)?{name}\b[^>]*?(?:/>|>.*?</(?:\w+:)?{name}\s*>)"
     found = lambda c, name: F.regexp_extract_all(c, F.lit(tag(name)), F.lit(0))
     attribute = lambda c, name: F.regexp_extract(c, rf"""^<[^>]*?\b{name}\s*=\s*["']([^"']*)""", 1)
     local = lambda c: F.regexp_extract(c, r"([^:]*)$", 1)
     of = lambda c, child, name: local(attribute(F.get(found(c, child), 0), name))
-    bare = F.regexp_replace(text, F.lit(r"(?s)<!--.*?-->"), F.lit(""))
     namespace = F.regexp_extract(bare, r"""targetNamespace\s*=\s*["']([^"']*)""", 1)
-    services, ports = found(bare, "service"), found(bare, "portType")
+    ports = found(bare, "portType")
     outside = F.regexp_replace(bare, F.lit(tag("portType")), F.lit(""))
-    bindings = F.filter(found(outside, "binding"), lambda b: b.rlike(r"(?s)^<[^>]*\btype\s*="))
-    title = F.coalesce(F.nullif(attribute(F.get(services, 0), "name"), F.lit("")), F.lit("Service"))
+    title = lambda services: F.coalesce(F.nullif(attribute(F.get(services, 0), "name"), F.lit("")), F.lit("Service"))
 
     def service(s: Column) -> Column:
         lines = F.transform(found(s, "port"), lambda p: F.concat_ws("\n", F.concat(F.lit("- **Port** "), code(attribute(p, "name")), F.lit(", binding "), code(local(attribute(p, "binding")))), F.concat(F.lit("  - Address: "), code(F.nullif(attribute(F.get(found(F.regexp_replace(p, F.lit(r"^<[^>]*>"), F.lit("")), "address"), 0), "location"), F.lit(""))))))
@@ -519,14 +524,17 @@ def wsdl_markdown(text: Column) -> Column:
         return document(F.array(F.concat(F.lit("### "), attribute(t, "name")), grid(["Element", "Type", "Min", "Max"], rows)))
 
     def part(head: str, items: Column) -> Column:
-        return F.when(F.size(items) > 0, F.concat(F.array(F.lit(head)), items)).otherwise(F.array().cast("array<string>"))
+        return bound(items, lambda x: F.when(F.size(x) > 0, F.concat(F.array(F.lit(head)), x)).otherwise(F.array().cast("array<string>")))
+
+    def outer(x: Column) -> Column:
+        """Bindings and messages, which stand outside of port types."""
+        bindings = F.filter(found(x, "binding"), lambda b: b.rlike(r"(?s)^<[^>]*\btype\s*="))
+        return F.concat(part("## Bindings", F.transform(bindings, binding)), part("## Messages", F.array_sort(F.transform(found(x, "message"), message))))
 
-    messages = F.array_sort(F.transform(found(outside, "message"), message))
     types = F.transform(F.filter(found(bare, "complexType"), lambda t: attribute(t, "name") != ""), kind)
-    first = F.array(F.concat(F.lit("# "), title), F.concat(F.lit("**Target namespace**: "), code(F.nullif(namespace, F.lit("")))))
-    return document(
-        F.concat(first, part("## Services", F.transform(services, service)), F.transform(ports, port_type), part("## Bindings", F.transform(bindings, binding)), part("## Messages", messages), part("## Types", types))
-    )
+    first = lambda s: F.array(F.concat(F.lit("# "), title(s)), F.concat(F.lit("**Target namespace**: "), code(F.nullif(namespace, F.lit("")))))
+    head = bound(found(bare, "service"), lambda s: F.concat(first(s), part("## Services", F.transform(s, service))))
+    return document(F.concat(head, F.transform(ports, port_type), bound(outside, outer), part("## Types", types)))
 
 
 _ENTRIES = """array<struct<type: string, url: string, title: string, name: string, description: string, `group`: string, groupTitle: string,
@@ -536,7 +544,10 @@ _ENTRIES = """array<struct<type: string, url: string, title: string, name: strin
 def apidoc_markdown(script: Column) -> Column:
     """The calls of a script of the documentation tool, by group; null for what holds no list of calls."""
     listed = F.coalesce(F.nullif(F.regexp_extract(script, r"(?s)define\(\s*(\{.*\})\s*\)\s*;?\s*$", 1), F.lit("")), F.nullif(F.regexp_extract(script, r"(?s)=\s*(\[.*\])\s*;?\s*$", 1), F.lit("")), script)
-    calls = F.from_json(F.coalesce(F.get_json_object(listed, "$.api"), listed), _ENTRIES)
+    return bound(F.from_json(bound(listed, lambda x: F.coalesce(F.get_json_object(x, "$.api"), x)), _ENTRIES), _apidoc_markdown)
+
+
+def _apidoc_markdown(calls: Column) -> Column:
     bare = lambda c: F.btrim(F.regexp_replace(c, F.lit("</?p>"), F.lit("")), F.lit(" \t\r\n"))
     group = lambda c: F.coalesce(c["group"], F.lit("default"))
 
@@ -563,7 +574,7 @@ def apidoc_markdown(script: Column) -> Column:
 
 def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
-    return table(spark, sf_dir, "part")
+    return dealt(spark, sf_dir, "part")
 
 
 def q_openapi(spark: SparkSession, sf_dir: str) -> DataFrame:
