@@ -14,7 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.tables import table
+from docweave.functions.text import bound
+from docweave.tables import dealt
 
 #: order of methods in a section list, and formats by extension: fixed values
 METHODS = ["get", "post", "put", "patch", "delete", "options", "head"]
@@ -59,7 +60,7 @@ def _type(schema: Column) -> Column:
     def inner(state: Column, _: Column) -> Column:
         held = F.get_json_object(state["schema"], "$.items")
         plain = (_named(state["schema"]) == "") & (F.get_json_object(state["schema"], "$.type") == "array")
-        return F.struct(F.when(plain, F.coalesce(held, F.lit("{}"))).otherwise(state["schema"]).alias("schema"), F.when(plain, F.concat(state["words"], F.lit("array of "))).otherwise(state["words"]).alias("words"))
+        return F.when(plain, F.struct(F.coalesce(held, F.lit("{}")).alias("schema"), F.concat(state["words"], F.lit("array of ")).alias("words"))).otherwise(state)
 
     last = F.aggregate(F.sequence(F.lit(0), levels), start, inner)
     return F.transform(F.array(last), lambda x: F.concat(x["words"], _simple_type(x["schema"])))[0]
@@ -73,8 +74,9 @@ def _simple_type(schema: Column) -> Column:
     get = lambda key: F.get_json_object(schema, f"$.{key}")
     kind = F.coalesce(get("type"), F.lit(""))
     values = F.from_json(get("enum"), "array<string>")
-    out = F.when(_named(schema) != "", _named(schema)).when(F.size(values) > 0, F.concat(kind, F.lit(" (enum: "), F.array_join(values, ", "), F.lit(")")))
-    return out.when(get("format").isNotNull(), F.concat(kind, F.lit(" ("), get("format"), F.lit(")"))).otherwise(kind)
+    listed = bound(values, lambda v: F.when(F.size(v) > 0, F.concat(kind, F.lit(" (enum: "), F.array_join(v, ", "), F.lit(")"))))
+    plain = F.coalesce(listed, F.concat(kind, F.lit(" ("), get("format"), F.lit(")")), kind)
+    return bound(_named(schema), lambda n: F.when(n != "", n).otherwise(plain))
 
 
 def _some(text: Column) -> Column:
@@ -84,7 +86,9 @@ def _some(text: Column) -> Column:
 def openapi_sections(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, heading_path, heading_level, content): the overview, each operation, each model; a text that is no such JSON gives none."""
     spec = F.from_json(F.col(text_col), _SPEC)
-    docs = df.select(F.col(id_col).alias("_id"), spec.alias("s")).where("s.info IS NOT NULL OR s.paths IS NOT NULL")
+    # kept as a column of its own, so that no filter on what it holds parses a text again, before the rows are dealt
+    held = F.filter(F.array(spec), lambda s: s["info"].isNotNull() | s["paths"].isNotNull())
+    docs = df.select(F.col(id_col).alias("_id"), F.explode_outer(held).alias("s")).where("s IS NOT NULL")
     docs = docs.withColumn("title", F.coalesce("s.info.title", F.lit("API")))
     about = F.concat_ws("\n\n", F.concat(F.lit("# "), "title", F.lit(" v"), F.coalesce("s.info.version", F.lit(""))), _some(F.col("s.info.description")))
     overview = docs.select("_id", F.col("title").alias("heading_path"), F.lit(1).alias("heading_level"), about.alias("content"))
@@ -219,7 +223,7 @@ def postman_requests(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part")
+    return dealt(spark, sf_dir, "part")
 
 
 def q_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
