@@ -15,9 +15,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docweave.functions.text import quoted
+from docweave.functions.text import bound, quoted
 from docweave.shipping import ship
-from docweave.tables import table
+from docweave.tables import dealt, table
 
 BLANK = " \t\r\n"
 #: kinds of documents, and keys of a chunk's entities: fixed values
@@ -47,15 +47,20 @@ LINK_FORMATS = {".pdf": "pdf", ".wsdl": "wsdl", ".yaml": "swagger", ".yml": "swa
 
 def unfenced(raw: Column) -> Column:
     """The text without a code fence around it."""
-    text = F.btrim(raw, F.lit(BLANK))
+    return bound(F.btrim(raw, F.lit(BLANK)), lambda text: F.when(F.startswith(text, F.lit("```")), _inside(text)).otherwise(text))
+
+
+def _inside(text: Column) -> Column:
     body = F.when(F.locate("\n", text) > 0, F.regexp_replace(text, F.lit(r"(?s)\A[^\n]*\n"), F.lit(""))).otherwise("")
-    inner = F.when(F.endswith(body, F.lit("```")), F.btrim(F.left(body, F.length(body) - 3), F.lit(BLANK))).otherwise(body)
-    return F.when(F.startswith(text, F.lit("```")), inner).otherwise(text)
+    return bound(body, lambda b: F.when(F.endswith(b, F.lit("```")), F.btrim(F.left(b, F.length(b) - 3), F.lit(BLANK))).otherwise(b))
 
 
 def answered_list(raw: Column) -> Column:
     """The elements of a JSON list, as JSON each; an object alone is a list of one, anything broken an empty one."""
-    text = unfenced(raw)
+    return bound(unfenced(raw), _listed)
+
+
+def _listed(text: Column) -> Column:
     listed = F.from_json(text, "array<string>")
     alone = F.when(F.startswith(text, F.lit("{")) & F.from_json(text, "map<string, string>").isNotNull(), F.array(text))
     return F.coalesce(F.when(F.startswith(text, F.lit("[")), listed), alone, F.array().cast("array<string>"))
@@ -63,16 +68,19 @@ def answered_list(raw: Column) -> Column:
 
 def metadata(raw: Column, expected: Column) -> Column:
     """An array of ``expected`` (doc_type, entities): unknown kinds are other, entities hold the fixed keys."""
-    items = answered_list(raw)
 
-    def one(i: Column) -> Column:
-        item = F.from_json(F.get(items, i), "doc_type string, entities string")
+    def one(item: Column) -> Column:
         kind = F.when(item["doc_type"].isin(DOC_TYPES), item["doc_type"]).otherwise("other")
-        held = F.from_json(item["entities"], "map<string, string>")
+        return bound(F.from_json(item["entities"], "map<string, string>"), lambda held: with_entities(kind, held))
+
+    def with_entities(kind: Column, held: Column) -> Column:
         values = [F.filter(F.coalesce(F.from_json(held[k], "array<string>"), F.array().cast("array<string>")), lambda v: v != "") for k in ENTITY_KEYS]
         return F.struct(kind.alias("doc_type"), *[v.alias(k) for k, v in zip(ENTITY_KEYS, values, strict=True)])
 
-    return F.transform(F.sequence(F.lit(0), expected - 1), one)
+    def of(items: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), expected - 1), lambda i: bound(F.from_json(F.get(items, i), "doc_type string, entities string"), one))
+
+    return bound(answered_list(raw), of)
 
 
 def scores(content: Column, expected: Column) -> Column:
@@ -280,7 +288,7 @@ def has_code(content: Column, parent: Column, code_language: str) -> Column:
 
 def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
-    return table(spark, sf_dir, "part")
+    return dealt(spark, sf_dir, "part")
 
 
 def q_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
