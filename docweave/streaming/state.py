@@ -3,7 +3,9 @@
 All are processors for ``transformWithState`` with event-time timers.  Rows wait in the
 state until the watermark has passed them and are then taken in their event order, so
 the result does not depend on how rows are cut into batches; rows behind the watermark are
-late and ignored, as in every Spark window.  State lives in RocksDB, and a query that is
+late and ignored, as in every Spark window.  A key's rows of a batch are put into the state at once,
+and it waits for one timer, that of its first row: when it fires, all that the watermark has
+passed is taken, and the next timer is set for what is left.  State lives in RocksDB, and a query that is
 started again from its checkpoint goes on where it was.
 
 The plain versions (``ALERT_SQL``, ``STALE_SQL``, ``pairs_of``) say the same over a finished table.
@@ -29,6 +31,11 @@ MINUTE_MS = 60_000
 DAY_MS = 24 * 60 * MINUTE_MS
 
 
+def _minute_end(at_us: int) -> int:
+    """The end of a moment's minute, in milliseconds: when the watermark has passed it, the minute is settled."""
+    return (at_us // 1000 // MINUTE_MS + 1) * MINUTE_MS
+
+
 class AlertState(StatefulProcessor):
     """pending → firing → resolved for each key, over tumbling windows.
 
@@ -42,46 +49,59 @@ class AlertState(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.windows = handle.getMapState("windows", "start long", "n long, bad long")
+        self.windows = handle.getListState("windows", "start long, n long, bad long")
         self.alert = handle.getValueState("alert", "streak long, last long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         watermark = timerValues.getCurrentWatermarkInMs()
+        new: dict[int, tuple[int, int]] = {}
         for df in rows:
             start = df["at_ms"] // self.width * self.width
             for own, bad in zip(start.tolist(), df["bad"].tolist(), strict=True):
                 if own + self.width <= watermark:
                     continue  # late: its window is closed
-                n, b = self.windows.getValue((own,)) if self.windows.containsKey((own,)) else (0, 0)
-                if not n:
-                    self.handle.registerTimer(own + self.width)
-                self.windows.updateValue((own,), (n + 1, b + bool(bad)))
+                n, b = new.get(own, (0, 0))
+                new[own] = (n + 1, b + bool(bad))
+        if new:
+            self.windows.appendList([(own, n, b) for own, (n, b) in new.items()])
+            self.handle.registerTimer(min(new) + self.width)
         yield pd.DataFrame()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        end = expiredTimerInfo.getExpiryTimeInMs()
-        start = end - self.width
-        if not self.windows.containsKey((start,)):
-            return
-        n, bad = self.windows.getValue((start,))
-        self.windows.removeKey((start,))
-        streak, last = self.alert.get() if self.alert.exists() else (0, start)
+        watermark = timerValues.getCurrentWatermarkInMs()
+        held: dict[int, tuple[int, int]] = {}
+        for own, n, b in self.windows.get():
+            before = held.get(own, (0, 0))
+            held[own] = (before[0] + n, before[1] + b)
+        closed = sorted(own for own in held if own + self.width <= watermark)
+        if not closed:
+            return  # another timer took them
+        streak, last = self.alert.get() if self.alert.exists() else (0, closed[0])
         out = []
-        if streak and last + self.width < start:  # windows without rows lie between
-            if streak >= self.hold:
-                out.append((last + 2 * self.width, "resolved"))
-            streak = 0
-        if 100.0 * bad / n > self.percent:
-            streak += 1
-            if streak == 1:
-                out.append((end, "pending"))
-            if streak == self.hold:
-                out.append((end, "firing"))
+        for start in closed:
+            n, bad = held.pop(start)
+            end = start + self.width
+            if streak and last + self.width < start:  # windows without rows lie between
+                if streak >= self.hold:
+                    out.append((last + 2 * self.width, "resolved"))
+                streak = 0
+            if 100.0 * bad / n > self.percent:
+                streak += 1
+                if streak == 1:
+                    out.append((end, "pending"))
+                if streak == self.hold:
+                    out.append((end, "firing"))
+            else:
+                if streak >= self.hold:
+                    out.append((end, "resolved"))
+                streak = 0
+            last = start
+        self.alert.update((streak, last))
+        if held:
+            self.windows.put([(own, n, b) for own, (n, b) in held.items()])
+            self.handle.registerTimer(min(held) + self.width)
         else:
-            if streak >= self.hold:
-                out.append((end, "resolved"))
-            streak = 0
-        self.alert.update((streak, start))
+            self.windows.clear()
         if out:
             yield pd.DataFrame({"key": [key[0]] * len(out), "at_ms": [t for t, _ in out], "state": [s for _, s in out]})
 
@@ -130,16 +150,15 @@ class Pairing(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         watermark = timerValues.getCurrentWatermarkInMs()
-        minutes = set()
+        new = []
         for df in rows:
             for at, own, publish in zip(df["at_us"].tolist(), df["id"].tolist(), df["publish"].tolist(), strict=True):
-                minute = (at // 1000 // MINUTE_MS + 1) * MINUTE_MS
-                if minute <= watermark:
+                if _minute_end(at) <= watermark:
                     continue  # late: its minute is settled
-                self.ahead.appendValue((at, own, bool(publish)))
-                minutes.add(minute)
-        for m in minutes:
-            self.handle.registerTimer(m)
+                new.append((at, own, bool(publish)))
+        if new:
+            self.ahead.appendList(new)
+            self.handle.registerTimer(_minute_end(min(new)[0]))
         yield pd.DataFrame()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -150,11 +169,15 @@ class Pairing(StatefulProcessor):
             (ready if row[0] < end else rest).append(tuple(row))
         waiting = deque(sorted(tuple(r) for r in self.waiting.get()))
         out = _settled(sorted(ready), waiting, self.within * 1000, end)
-        self.ahead.put(rest) if rest else self.ahead.clear()
+        if rest:
+            self.ahead.put(rest)
+            self.handle.registerTimer(_minute_end(min(rest)[0]))
+        else:
+            self.ahead.clear()
         if waiting:
             self.waiting.put(list(waiting))
             # the first to expire, in the minute behind its last moment
-            self.handle.registerTimer(((waiting[0][0] // 1000 + self.within) // MINUTE_MS + 1) * MINUTE_MS)
+            self.handle.registerTimer(_minute_end(waiting[0][0] + self.within * 1000))
         else:
             self.waiting.clear()
         if out:
@@ -211,19 +234,12 @@ class Staleness(StatefulProcessor):
         self.ahead = handle.getListState("ahead", "at_us long")
         self.alive = handle.getValueState("alive", "last_us long, done int")
 
-    def _arm(self, at_us: int) -> None:
-        """A timer at the end of a moment's minute."""
-        self.handle.registerTimer((at_us // 1000 // MINUTE_MS + 1) * MINUTE_MS)
-
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        watermark, minutes = timerValues.getCurrentWatermarkInMs(), set()
-        for df in rows:
-            for at in df["at_us"].tolist():
-                if (at // 1000 // MINUTE_MS + 1) * MINUTE_MS > watermark:
-                    self.ahead.appendValue((at,))
-                    minutes.add(at // 1000 // MINUTE_MS)
-        for m in minutes:
-            self.handle.registerTimer((m + 1) * MINUTE_MS)
+        watermark = timerValues.getCurrentWatermarkInMs()
+        new = [at for df in rows for at in df["at_us"].tolist() if _minute_end(at) > watermark]
+        if new:
+            self.ahead.appendList([(at,) for at in new])
+            self.handle.registerTimer(_minute_end(min(new)))
         yield pd.DataFrame()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -233,11 +249,15 @@ class Staleness(StatefulProcessor):
         ready, rest = [t for t in seen if t < end], [(t,) for t in seen if t >= end]
         last, done = self.alive.get() if self.alive.exists() else (None, 0)
         out, last, done = stale_actions(ready, last, done, end, self.idle * 1000, self.retries)
-        self.ahead.put(rest) if rest else self.ahead.clear()
+        if rest:
+            self.ahead.put(rest)
+            self.handle.registerTimer(_minute_end(rest[0][0]))
+        else:
+            self.ahead.clear()
         if last is not None:
             self.alive.update((last, done))
             if done <= self.retries:
-                self._arm(last + (done + 1) * self.idle * 1000)
+                self.handle.registerTimer(_minute_end(last + (done + 1) * self.idle * 1000))
         if out:
             yield pd.DataFrame(out, columns=["since_us", "attempt", "action"]).assign(key=key[0])[["key", "since_us", "attempt", "action"]]
 
