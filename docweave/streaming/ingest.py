@@ -61,10 +61,11 @@ def rounds(pages: DataFrame) -> list[DataFrame]:
 def q_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table after a stream of three crawls."""
     path = f"{shared_dir(spark)}/crawled-{uuid.uuid4().hex}"
-    for k, pages in enumerate(rounds(table(spark, sf_dir, "pages"))):
-        pages.coalesce(1).write.mode("append").parquet(f"{path}-source")
-    stream = spark.readStream.schema("url string, version int, content string").option("maxFilesPerTrigger", 1).parquet(f"{path}-source")
-    ingest(stream, path, f"{path}-state")
+    # a crawl is one batch of as many files as it has, so no task reads all of it
+    stream = lambda: spark.readStream.schema("url string, version int, content string").parquet(f"{path}-source")
+    for pages in rounds(table(spark, sf_dir, "pages")):
+        pages.write.mode("append").parquet(f"{path}-source")
+        ingest(stream(), path, f"{path}-state")
     return Slots(spark, path, PAGES, "url").read().select("url", "version", "hash")
 
 
