@@ -33,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docweave.llm.blocks import BLOCK, block_pairs, dealt, grouped, keyed_join, labels, split_sides, star_edges
@@ -282,28 +282,23 @@ def _candidates(check_radius: int):
 def _shingle_sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(shingle_hashes(t.as_py(), words)).astype("<u8").tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "hashes"])
+            sets = [np.unique(shingle_hashes(t.as_py(), words)).view(np.int64) for t in batch.column(1)]
+            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["node", "hashes"])
 
     return run
 
 
-def _hashes(value: pa.Scalar) -> np.ndarray:
-    return np.frombuffer(value.as_buffer(), "<u8")
-
-
-def _resemble_enough(shared: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int) -> np.ndarray | bool:
+def _resemble_enough(shared: np.ndarray | Column, a: np.ndarray | Column, b: np.ndarray | Column) -> np.ndarray | Column:
     """shared / (a + b - shared) >= 0.8, in whole numbers."""
     return 9 * shared >= 4 * (a + b)
 
 
-def _verify_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep = []
-        for left, right in zip(batch.column("left"), batch.column("right"), strict=True):
-            a, b = _hashes(left), _hashes(right)
-            keep.append(bool(_resemble_enough(len(np.intersect1d(a, b, assume_unique=True)), len(a), len(b))))
-        yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose sets (node, hashes) resemble each other; the sets stay in Spark's rows, of which one pair is compared at a time."""
+    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("hashes").alias("left")), "u").join(sets.select(F.col("node").alias("v"), F.col("hashes").alias("right")), "v")
+    return both.where(_resemble_enough(F.size(F.array_intersect("left", "right")), F.size("left"), F.size("right"))).select("u", "v")
 
 
 def links_within(nodes: np.ndarray, component: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -329,7 +324,7 @@ def links_within(nodes: np.ndarray, component: np.ndarray, sets: list[np.ndarray
 
 def _verify_teams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for table in grouped(batches, ["team"]):
-        links = links_within(table["node"].to_numpy(), table["component"].to_numpy(), [_hashes(x) for x in table["hashes"]])
+        links = links_within(table["node"].to_numpy(), table["component"].to_numpy(), [x.values.to_numpy() for x in table["hashes"]])
         if links:
             u, v = np.array(links, np.int64).T.copy()
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
@@ -378,11 +373,10 @@ def resembling_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     wanted = teams.select("node").distinct().join(classes.select(F.col("key").alias("node"), F.col("_id").alias("_rep"), F.col("_hash").alias("_rep_hash")), "node")
     chosen = texts.join(wanted, F.col("_id").eqNullSafe(F.col("_rep")) & (F.col("_hash") == F.col("_rep_hash"))).select("node", "_text")
-    sets = saved(chosen.mapInArrow(_shingle_sets(words), "node long, hashes binary").dropDuplicates(["node"]), "shingles")
+    sets = saved(chosen.mapInArrow(_shingle_sets(words), "node long, hashes array<long>").dropDuplicates(["node"]), "shingles")
 
     pairs = teams.where("node <> centre").select(F.col("centre").alias("u"), F.col("node").alias("v")).distinct()
-    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("hashes").alias("left")), "u").join(sets.select(F.col("node").alias("v"), F.col("hashes").alias("right")), "v")
-    links = saved(both.mapInArrow(_verify_pairs, "u long, v long"), "verified")
+    links = saved(_verified(pairs, sets), "verified")
     joined = components(links).withColumnRenamed("node", "_node")
     rest = teams.where("node <> centre").join(joined, F.col("node") == F.col("_node"), "left").select("team", "node", F.coalesce("component", "node").alias("component"))
     apart = rest.groupBy("team").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a <> _b").select("team")
