@@ -12,8 +12,10 @@ their trigrams.  Two names are similar if their sets' resemblance exceeds a thre
 4. What remains is verified on the whole sets.
 
 Names that share most of their trigrams, such as urls, pass these filters nearly all, once for each
-shared trigram.  ``similar_in_blocks`` compares them block by block: a pair of blocks is one task's
-product of two matrices of 0 and 1, so that only pairs above the threshold leave it.
+shared trigram.  ``similar_in_blocks`` compares them block by block.  For a pair of blocks trigrams
+of many names are a product of two matrices of 0 and 1, and those of few are counted name by name;
+only pairs above the threshold leave it.  Blocks travel in sides of several, so that a name is
+sent once for each side that its own one meets, and found pairs leave a task block by block.
 
 Nulls match nothing; a name of fewer characters than a trigram has the padding's trigrams.
 """
@@ -21,7 +23,7 @@ Nulls match nothing; a name of fewer characters than a trigram has the padding's
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,12 @@ from docweave.tables import table
 
 #: names of a block, and trigrams of one product of matrices
 BLOCK, COLUMNS = 1024, 4096
+#: blocks of a side at most, and sides at least where there are as many blocks
+SIDE, SIDES = 8, 24
+#: found pairs that leave a task at once
+ROWS = 1 << 16
+#: a trigram with more pairs of names than these in a pair of blocks is a column of the matrices
+FEW = 2048
 
 
 def trigrams(name: Column) -> Column:
@@ -92,41 +100,93 @@ def _sets(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return own[first], grams[first]
 
 
-def _overlaps(left: list[str], right: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """How many trigrams each left name shares with each right one, and the sizes of the sets."""
-    (a, g), (b, h) = _sets(left), _sets(right)
-    shared = np.intersect1d(g, h)
-    sizes = np.bincount(a, minlength=len(left)), np.bincount(b, minlength=len(right))
-    (a, g), (b, h) = ((x[k], np.searchsorted(shared, y[k])) for x, y, k in ((a, g, np.isin(g, shared)), (b, h, np.isin(h, shared))))
-    both = np.zeros((len(left), len(right)), np.float32)
-    for at in range(0, len(shared), COLUMNS):
-        m, n = np.zeros((len(left), COLUMNS), np.float32), np.zeros((len(right), COLUMNS), np.float32)
-        for cells, x, y in ((m, a, g), (n, b, h)):
-            here = (y >= at) & (y < at + COLUMNS)
-            cells[x[here], y[here] - at] = 1
-        both += m @ n.T
-    return both, *sizes
-
-
-def _compared(threshold: float) -> Callable[[tuple[pa.Scalar, ...], pa.Table], pa.Table]:
-    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+class _Block:
+    """Names and their sets; the trigrams are numbered over all blocks of a task."""
+
+    def __init__(self, places: np.ndarray, own: np.ndarray, grams: np.ndarray, kinds: int):
+        self.places, self.sizes = places, np.bincount(own, minlength=len(places))
+        order = np.argsort(grams, kind="stable")
+        self.own, self.grams = own[order], grams[order]
+        self.counts = np.bincount(grams, minlength=kinds)
+        self.begins = np.cumsum(self.counts) - self.counts
+
+
+def _blocks(names: list[str], block: np.ndarray) -> dict[int, _Block]:
+    own, grams = _sets(names)
+    kinds, grams = np.unique(grams, return_inverse=True)
+    order = np.argsort(block, kind="stable")
+    numbers, begins = np.unique(block[order], return_index=True)
+    within = np.empty(len(block), np.int64)
+    within[order] = np.arange(len(block)) - np.repeat(begins, np.diff(np.append(begins, len(block))))
+    out = {}
+    for n, places in zip(numbers.tolist(), np.split(order, begins[1:]), strict=True):
+        here = block[own] == n
+        out[n] = _Block(places, within[own[here]], grams[here], len(kinds))
+    return out
+
+
+def _overlaps(left: _Block, right: _Block) -> np.ndarray:
+    """How many trigrams each left name shares with each right one."""
+    both, pairs = None, left.counts * right.counts
+    # of many names: columns of two matrices
+    many = np.flatnonzero(pairs > FEW)
+    column = np.full(len(pairs), -1)
+    column[many] = np.arange(len(many))
+    for begin in range(0, max(1, len(many)), COLUMNS):
+        wide = min(COLUMNS, len(many) - begin)
+        m, n = np.zeros((len(left.places), wide), np.float32), np.zeros((len(right.places), wide), np.float32)
+        for cells, side in ((m, left), (n, right)):
+            c = column[side.grams] - begin
+            here = np.flatnonzero((c >= 0) & (c < wide))
+            cells[side.own[here], c[here]] = 1
+        both = m @ n.T if both is None else both + m @ n.T
+    # of few names: each left name with a trigram meets the right names with it
+    few = np.flatnonzero(((pairs > 0) & (pairs <= FEW))[left.grams])
+    own, grams = left.own[few], left.grams[few]
+    times = right.counts[grams]
+    at = np.repeat(right.begins[grams] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+    np.add.at(both.reshape(-1), np.repeat(own, times) * both.shape[1] + right.own[at], np.float32(1))
+    return both
+
+
+def _found(left: _Block, right: _Block, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which left names and right names are above the threshold, and their resemblance; a block with itself gives each pair once."""
+    both = _overlaps(left, right)
+    # the overlap is larger than t / (1 + t) of both sizes; what may be is then decided in doubles
+    a, b = (threshold / (1 + threshold) * x.sizes for x in (left, right))
+    cells = np.flatnonzero(both > (a[:, None] - 0.01).astype(np.float32) + b.astype(np.float32))
+    x, y = np.divmod(cells, both.shape[1])
+    shared = both.reshape(-1)[cells].astype(np.float64)
+    share = shared / (left.sizes[x] + right.sizes[y] - shared)
+    kept = (share > threshold) & ((x < y) if left is right else True)
+    return x[kept], y[kept], share[kept]
+
+
+def _compared(threshold: float, side: int, digits: int) -> Callable[[tuple[pa.Scalar, ...], Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         i, j = (k.as_py() for k in key)
-        rows = rows.combine_chunks()
-        names, block = rows["name"].to_pylist(), rows["block"].to_numpy()
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        both, a, b = _overlaps([names[k] for k in left], [names[k] for k in right])
-        either = a[:, None] + b[None, :] - both
-        share = both.astype(np.float64) / either
-        found = share > threshold
-        if i == j:
-            found &= np.triu(np.ones(found.shape, bool), 1)  # a block with itself: each pair once
-        x, y = np.nonzero(found)
-        share, x, y = share[x, y], left[x], right[y]
+        rows = pa.Table.from_batches(batches).combine_chunks()
+        name = rows["name"].combine_chunks()
+        names, block = name.to_pylist(), rows["block"].to_numpy()
+        blocks = _blocks(names, block)
         rank = np.empty(len(names), np.int64)
         rank[sorted(range(len(names)), key=names.__getitem__)] = np.arange(len(names))
-        less = rank[x] < rank[y]
-        name = rows["name"]
-        return pa.table({"l": name.take(pa.array(np.where(less, x, y))), "r": name.take(pa.array(np.where(less, y, x))), "share": pa.array(share)})
+        for n, left in blocks.items():
+            for m, right in blocks.items():
+                if n // side != i or m // side != j or n > m:
+                    continue
+                x, y, share = _found(left, right, threshold)
+                # a pair is two places among the names of both blocks, which are sent once
+                places = left.places if n == m else np.concatenate([left.places, right.places])
+                y += len(places) - len(right.places)
+                order = rank[places]
+                x, y = np.where(order[x] < order[y], (x, y), (y, x)).astype(np.int32)
+                share = np.floor(share * 10**digits + 0.5) / 10**digits  # half up, as Spark's round
+                for at in range(0, len(x), ROWS):
+                    own = slice(at, at + ROWS)
+                    pairs = pa.StructArray.from_arrays([pa.array(x[own]), pa.array(y[own]), pa.array(share[own])], names=["l", "r", "similarity"])
+                    columns = (name.take(pa.array(places)), pairs)
+                    yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns], names=["names", "pairs"])
 
     return run
 
@@ -134,12 +194,15 @@ def _compared(threshold: float) -> Callable[[tuple[pa.Scalar, ...], pa.Table], p
 def similar_in_blocks(names: DataFrame, threshold: float, digits: int = 6) -> DataFrame:
     """(l, r, similarity) of all pairs l < r of different lower-cased names above the threshold; names come from ``distinct_names``."""
     n = max(1, -(-names.count() // BLOCK))
+    side = max(1, min(SIDE, n // SIDES))
+    sides = -(-n // side)
     block = F.pmod(F.xxhash64("name"), F.lit(n)).cast("int")
-    dealt = names.select("name", block.alias("block")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    pairs = dealt.select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "name", "block")
-    pairs = pairs.repartition(min(n * (n + 1) // 2, 4096), "i", "j")
-    met = pairs.groupBy("i", "j").applyInArrow(_compared(threshold), "l string, r string, share double")
-    return met.select("l", "r", F.round("share", digits).alias("similarity"))
+    own = F.floor(F.col("block") / side).cast("int")
+    dealt = names.select("name", block.alias("block")).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(sides - 1))))
+    pairs = dealt.select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "name", "block")
+    pairs = pairs.repartition(min(sides * (sides + 1) // 2, 4096), "i", "j")
+    met = pairs.groupBy("i", "j").applyInArrow(_compared(threshold, side, digits), "names array<string>, pairs array<struct<l: int, r: int, similarity: double>>")
+    return met.select("names", F.inline("pairs")).select(F.get("names", "l").alias("l"), F.get("names", "r").alias("r"), "similarity")
 
 
 def resolved(wanted: DataFrame, known: DataFrame, threshold: float = 0.25) -> DataFrame:
